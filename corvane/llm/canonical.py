@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.pairs import expand_class_pairs
+from corvane.operators.durable import cut
 
 # Code points that are drawn as nothing (the Unicode property Default_Ignorable_Code_Point).
 IGNORABLE_RANGES = [
@@ -130,9 +131,8 @@ def look_alike_pairs(rows: DataFrame, *, id_col: str = "source_id", text_col: st
     """
     form = ["form_hi", "form_lo"]
     members = _keys(rows, id_col, text_col).distinct()
-    classes = members.groupBy(*form, "text_key").agg(F.lit(1).alias("one"))
-    several = classes.groupBy(*form).agg(F.count("*").alias("k")).where("k > 1").select(*form)
-    shared = members.join(several, form, "left_semi")
+    several = members.groupBy(*form).agg(F.min("text_key").alias("low"), F.max("text_key").alias("high")).where("low < high").select(*form)
+    shared = cut(members.join(several, form, "left_semi"))
     a, b = (shared.select(*form, "text_key").distinct().select(*[F.col(k).alias(f"{k}_{x}") for k in (*form, "text_key")]) for x in "ab")
     pairs = a.join(b, (F.col("form_hi_a") == F.col("form_hi_b")) & (F.col("form_lo_a") == F.col("form_lo_b")) & (F.col("text_key_a") < F.col("text_key_b")))
     return expand_class_pairs(pairs, shared, [*form, "text_key"], id_col, rows_per_task)

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from corvane.llm.canonical import canonical
 from corvane.llm.pairs import connected_groups, expand_class_pairs
+from corvane.operators.durable import cut
 
 
 @dataclass(frozen=True)
@@ -165,17 +166,19 @@ def _class_links(prepared: DataFrame, rule: NearDuplicateRule) -> DataFrame:
             kept = [F.col("signature")[s * rule.components + j] for j in range(rule.components) if j != out]
             variants.append(F.xxhash64(F.lit(s), F.lit(out), *kept))
     indexed = classes.select("c_hi", "s1", F.explode(F.array(*variants)).alias("variant"))
-    a, b = (indexed.select("variant", F.col("c_hi").alias(f"c_hi_{x}"), F.col("s1").alias(f"s1_{x}")) for x in "ab")
-    near = F.bit_count(F.col("s1_a").bitwiseXOR(F.col("s1_b"))) <= rule.sketch_distance
-    met = a.join(b, "variant").where((F.col("c_hi_a") < F.col("c_hi_b")) & near).select("c_hi_a", "c_hi_b").distinct()
+    a, b = indexed.alias("a"), indexed.alias("b")  # unrenamed, so that both sides read one exchange
+    near = F.bit_count(F.col("a.s1").bitwiseXOR(F.col("b.s1"))) <= rule.sketch_distance
+    joined = a.join(b, (F.col("a.variant") == F.col("b.variant")) & (F.col("a.c_hi") < F.col("b.c_hi")) & near)
+    met = joined.select(F.col("a.c_hi").alias("c_hi_a"), F.col("b.c_hi").alias("c_hi_b")).distinct()
     for x in "ab":
         met = met.join(_sketches(prepared, x), f"c_hi_{x}")
     distance = F.bit_count(F.col("s1_a").bitwiseXOR(F.col("s1_b"))) + F.bit_count(F.col("s2_a").bitwiseXOR(F.col("s2_b")))
-    close = met.where(distance <= rule.long_sketch_distance).select("c_hi_a", "c_lo_a", "c_hi_b", "c_lo_b")
-    texts = prepared.groupBy("c_hi", "c_lo").agg(F.min("text").alias("text"))
+    close = cut(met.where(distance <= rule.long_sketch_distance).select("c_hi_a", "c_lo_a", "c_hi_b", "c_lo_b"))
+    needed = close.select(F.explode(F.array(*[F.struct(F.col(f"c_hi_{x}").alias("c_hi"), F.col(f"c_lo_{x}").alias("c_lo")) for x in "ab"])).alias("c")).select("c.*").distinct()
+    texts = prepared.join(needed, ["c_hi", "c_lo"], "left_semi").groupBy("c_hi", "c_lo").agg(F.min("text").alias("text"))
     for x in "ab":
         close = close.join(texts.select(*[F.col(c).alias(f"{c}_{x}") for c in ("c_hi", "c_lo", "text")]), [f"c_hi_{x}", f"c_lo_{x}"])
-    return _verified(close, rule)
+    return cut(_verified(close, rule))
 
 
 def _sketches(prepared: DataFrame, side: str) -> DataFrame:
