@@ -30,8 +30,8 @@ KINDS = ("email", "phone", "id_number", "address", "person")
 
 # Words that name a kind of street or a part of a building, as written before or after the proper name.
 STREET_AFTER = "street road lane avenue drive court way blvd boulevard mews place square close crescent terrace hill row str st rd ave ln dr ct"
-STREET_BEFORE = "calle avenida plaza paseo camino rua travessa via viale piazza corso rue allée avenue boulevard chemin impasse quai place"
-STREET_ENDINGS = "straße strasse str. weg gasse platz allee ufer ring"
+STREET_BEFORE = "c/ calle avenida plaza paseo camino rua travessa via viale piazza corso rue allée avenue boulevard chemin impasse quai place"
+STREET_ENDINGS = "straße strasse str. str weg gasse platz allee ufer ring"
 DWELLINGS = "flat apt apartment unit suite wohnung piso apto appartement"
 LINKS = "de la|de las|de los|de l'|del|des|de|du|do|da|dos|das|della|dello|degli|di|d'"
 
@@ -54,9 +54,9 @@ _DOT = r"(?:\.| ?[\[(]dot[\])] ?| (?:dot|DOT) )"
 _SAID_DOT = r"(?: ?[\[(]dot[\])] ?| (?:dot|DOT) )"
 _LOCAL = r"(?<![\w.+-])[\w+-]+(?:\.[\w+-]+)*"
 EMAIL = re.compile(
-    rf"{_LOCAL}(?:(?: (?:dot|DOT) [\w+-]+)*(?: ?[\[(]at[\])] ?)[\w-]+(?:{_DOT}[\w-]+)+"
+    rf"{_LOCAL}(?:(?:{_SAID_DOT}[\w+-]+)*(?: ?[\[(]at[\])] ?)[\w-]+(?:{_DOT}[\w-]+)+"
     rf"| ?@ ?[\w-]+(?:{_DOT}[\w-]+)+"
-    rf"|(?: (?:dot|DOT) [\w+-]+)* (?:at|AT) [\w-]+(?:\.[\w-]+)*{_SAID_DOT}[\w-]+(?:{_DOT}[\w-]+)*)",
+    rf"|(?:{_SAID_DOT}[\w+-]+)* (?:at|AT) [\w-]+(?:\.[\w-]+)*{_SAID_DOT}[\w-]+(?:{_DOT}[\w-]+)*)",
 )
 NUMBER = re.compile(
     r"(?<![\w@#.+/-])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\) ?)?\d[\d .-]*\d"
@@ -177,7 +177,7 @@ class _Classes(dict):
         if bare in self.names:
             return "N"
         low = bare.lower()
-        if low in _STREETS or low.endswith(tuple(STREET_ENDINGS.split())):
+        if low in _STREETS or token.lower().lstrip(_EDGE) in _STREETS or low.endswith(tuple(STREET_ENDINGS.split())):
             return "S"
         return "C" if bare[:1].isupper() and bare[1:].islower() and bare.isalpha() else "-"
 
@@ -245,7 +245,7 @@ class Finder:
         """(kind or number, start, end, shape, contexts) of every candidate, without overlaps."""
         tokens = folded.split()
         classes = "".join(map(self.classes.__getitem__, tokens))
-        mail = "@" in folded or "(at" in folded or "[at" in folded or " dot " in folded or "dot]" in folded or " DOT " in folded
+        mail = "@" in folded or "(at" in folded or "[at" in folded or " dot " in folded or "dot]" in folded or "dot)" in folded or " DOT " in folded
         street, number = "S" in classes, _LONG_NUMBER.search(classes)
         person = "N" in classes or (strong is None and "C" in classes) or bool(strong)
         if not (mail or street or number or person):
