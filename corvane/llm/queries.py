@@ -4,10 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import canonical, near_duplicates
+from corvane.llm import canonical, languages, near_duplicates, pii
 from corvane.sources.tables import table
 
 
+def p2_found(spark: SparkSession, directory: str) -> DataFrame:
+    """The language stretches of comments whose label is missing or wrong, or that have several."""
+    return languages.relabelled(table(spark, directory, "comments"), table(spark, directory, "lang_codes"))
+
+
+def p2_stretches(spark: SparkSession, directory: str) -> DataFrame:
+    """Every stretch of every comment, with its confidence."""
+    comments, codes = table(spark, directory, "comments"), table(spark, directory, "lang_codes")
+    return languages.label_languages(comments, languages.train_languages(comments, codes)).distinct()
+
+
 def p3_found(spark: SparkSession, directory: str) -> DataFrame:
     """Pairs of comments that look the same and differ in characters."""
     return canonical.look_alike_pairs(table(spark, directory, "comments"))
@@ -28,10 +39,25 @@ def p5_groups(spark: SparkSession, directory: str) -> DataFrame:
     return near_duplicates.near_duplicate_groups(table(spark, directory, "comments"))
 
 
+def p6_found(spark: SparkSession, directory: str) -> DataFrame:
+    """Where personal information begins in the texts of comments, and its kind."""
+    found = pii.find_personal_information(table(spark, directory, "comments"), table(spark, directory, "name_list"))
+    return found.select("source_id", "pii_kind", "start_pos").distinct()
+
+
+def p6_clean(spark: SparkSession, directory: str) -> DataFrame:
+    """Every comment's text with typed placeholders."""
+    return pii.replace_personal_information(table(spark, directory, "comments"), table(spark, directory, "name_list")).distinct()
+
+
 QUERIES = {
+    "p2_found": p2_found,
+    "p2_stretches": p2_stretches,
     "p3_found": p3_found,
     "p3_forms": p3_forms,
     "p5_found": p5_found,
     "p5_groups": p5_groups,
+    "p6_found": p6_found,
+    "p6_clean": p6_clean,
 }
 ORACLES: dict[str, str] = {}
