@@ -10,6 +10,7 @@ through the words, where a change of language costs less at a sentence's end.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
@@ -17,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.canonical import canonical
@@ -52,20 +53,29 @@ def codewords(n: int) -> np.ndarray:
     return matrix[1 : n + 1, 1:]
 
 
+_NO_WORD = re.compile(r"[@\d]")
+
+
 class _Bare(dict):
     """Token to its word: punctuation and digits at its ends removed; empty for handles, tags, codes and numbers."""
 
     def __missing__(self, token: str) -> str:
         if len(self) > 500_000:
             self.clear()
+        if _NO_WORD.search(token) or token[0] == "#":
+            self[token] = ""
+            return ""
+        if token.isalpha():
+            self[token] = token
+            return token
         start, end = 0, len(token)
         while start < end and unicodedata.category(token[start])[0] not in "LM":
             start += 1
         while end > start and unicodedata.category(token[end - 1])[0] not in "LM":
             end -= 1
         word = token[start:end]
-        self[token] = "" if "@" in token or token[:1] == "#" or any(c.isdigit() for c in token) or "." in word else word
-        return self[token]
+        self[token] = word = "" if "." in word else word
+        return word
 
 
 _BARE = _Bare()
@@ -97,38 +107,42 @@ class Reader(dict):
         self._start()
 
     def _start(self) -> None:
+        """Numbers 0 and 1 stand for every token that tells nothing, without and with a sentence's end after it."""
         self.clear()
-        self.losses: list[np.ndarray] = []
-        self.bits: list[np.ndarray] = []
-        self.evident: list[bool] = []
-        self.ends: list[bool] = []
+        nothing = np.zeros(self.model.codes.shape[1], np.float32)
+        self.losses: list[np.ndarray] = [np.zeros(len(self.model.languages), np.float32)] * 2
+        self.bits: list[np.ndarray] = [nothing, nothing]
+        self.evident, self.ends = [False, False], [False, True]
 
     def __missing__(self, token: str) -> int:
-        bits, evident = self._word_bits(token)
+        bits, end = self._word_bits(token), token[-1] in ".!?…।:\n" or token in "-/|"
+        if bits is None:
+            self[token] = int(end)
+            return int(end)
         losses = np.logaddexp(0, -self.model.codes * bits).mean(1)
         self.losses.append(np.minimum((losses - losses.min()) * 4, self.model.rule.word_limit).astype(np.float32))
         self.bits.append(bits.astype(np.float32))
-        self.evident.append(evident)
-        self.ends.append(token[-1] in ".!?…।:\n" or token in "-/|")
+        self.evident.append(True)
+        self.ends.append(end)
         self[token] = len(self.losses) - 1
         return self[token]
 
-    def _word_bits(self, token: str) -> tuple[np.ndarray, bool]:
-        """Log-odds of the bits, and whether the token is a word that tells a language: not a name, code or number."""
-        word, nothing = _BARE[token], np.zeros(self.model.codes.shape[1])
+    def _word_bits(self, token: str) -> np.ndarray | None:
+        """Log-odds of the bits, or nothing for a token that tells no language: a name, code, number or symbol."""
+        word = _BARE[token]
         if not word:
-            return nothing, False
+            return None
         low = word.lower()
         if low in self.model.neutral:
-            return nothing, False
+            return None
         if low in self.model.words:
-            return self.model.words[low], True
+            return self.model.words[low]
         if word[0].isupper():
-            return nothing, False
+            return None
         known = [self.model.grams[g] for g in _grams(low, self.model.rule.grams) if g in self.model.grams]
         if not known:
-            return nothing, False
-        return np.mean(known, axis=0) * self.model.rule.gram_weight * min(len(known), 6) / 2, True
+            return None
+        return np.mean(known, axis=0) * self.model.rule.gram_weight * min(len(known), 6) / 2
 
     def paths(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(starts, ids, path) over the tokens of all texts in a row: the language of each on its text's best path."""
@@ -260,9 +274,17 @@ def train_languages(rows: DataFrame, lang_codes: DataFrame, *, id_col: str = "so
     rule = rule or LanguageRule()
     known = lang_codes.select(F.col("code").alias("label"), F.col("lang").alias("language")).distinct()
     labelled = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).alias("label")).where("text is not null").join(F.broadcast(known), "label")
-    rank = F.row_number().over(Window.partitionBy("language").orderBy(F.xxhash64("id"), "id"))
-    sample = labelled.withColumn("rank", rank).where(F.col("rank") <= rule.sample_per_language).select("language", "text").collect()
     languages = sorted({r.language for r in known.select("language").distinct().collect()})
+    if len(languages) > 1000:
+        raise ValueError("more than 1000 languages")
+    sizes = {r.language: r["count"] for r in labelled.groupBy("language").count().collect()}
+    chance = F.lit(None).cast("double")
+    for x, n in sizes.items():
+        chance = F.when(F.col("language") == x, min(1.0, 1.1 * rule.sample_per_language / n + 1e-9)).otherwise(chance)
+    place = F.pmod(F.xxhash64("id"), F.lit(1 << 40))
+    drawn = labelled.where(place < chance * float(1 << 40)).select("language", "text", place.alias("place"), "id").collect()
+    taken: Counter = Counter()
+    sample = [r for r in sorted(drawn, key=lambda r: (r.place, str(r.id), r.text)) if not taken.update([r.language]) and taken[r.language] <= rule.sample_per_language]
     at = {x: k for k, x in enumerate(languages)}
     split = [_tokens(r.text) for r in sample]
     counts = [Counter() for _ in languages]

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from corvane.llm.canonical import canonical
 from corvane.llm.pairs import connected_groups, expand_class_pairs
-from corvane.operators.durable import cut
+from corvane.operators.durable import broadcast_below, cut
 
 
 @dataclass(frozen=True)
@@ -98,7 +98,7 @@ def _signatures(runs: np.ndarray, starts: np.ndarray, rule: NearDuplicateRule) -
     odd = rng.integers(0, 2**31, _SKETCH, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
     short = ((runs ^ (runs >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(32)).astype(np.uint32)
     kept = rule.segments * rule.components
-    values = np.empty((kept, len(starts)), np.uint32)
+    values = np.empty((kept, len(starts)), np.int16)
     bits = np.zeros((2, len(starts)), np.uint64)
     for j in range(_SKETCH):
         mixed = (short ^ xor[j]) * odd[j]
@@ -106,7 +106,7 @@ def _signatures(runs: np.ndarray, starts: np.ndarray, rule: NearDuplicateRule) -
         mixed *= np.uint32(0x2C1B3C6D)
         least = np.minimum.reduceat(mixed, starts)
         if j < kept:
-            values[j] = least
+            values[j] = (least >> np.uint32(16)).astype(np.uint16).view(np.int16)
         bits[j // 64] |= ((least * np.uint32(0x9E3779B1)) >> np.uint32(31)).astype(np.uint64) << np.uint64(j % 64)
     return values.T, bits
 
@@ -125,7 +125,7 @@ def _prepared(rows: DataFrame, id_col: str, text_col: str, rule: NearDuplicateRu
                 values, bits = _signatures(runs, bounds[:-1], rule)
                 whole = [xxhash.xxh3_128_digest(runs[a:z].tobytes()) for a, z in zip(bounds[:-1], bounds[1:])]
                 class_key = np.frombuffer(b"".join(whole), np.int64).reshape(-1, 2)
-                signature = pa.ListArray.from_arrays(np.arange(0, values.size + 1, values.shape[1], dtype=np.int32), pa.array(values.ravel().view(np.int32)))
+                signature = pa.ListArray.from_arrays(np.arange(0, values.size + 1, values.shape[1], dtype=np.int32), pa.array(values.ravel()))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0).take(pa.array(keep)), part.column(1).take(pa.array(keep)), pa.array(class_key[:, 0]), pa.array(class_key[:, 1]), signature, pa.array(bits[0].view(np.int64)), pa.array(bits[1].view(np.int64))],
                     ["id", "text", "c_hi", "c_lo", "signature", "s1", "s2"],
@@ -133,7 +133,14 @@ def _prepared(rows: DataFrame, id_col: str, text_col: str, rule: NearDuplicateRu
 
     kind = rows.schema[id_col].dataType.simpleString()
     needed = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
-    return needed.mapInArrow(run, f"id {kind}, text string, c_hi long, c_lo long, signature array<int>, s1 long, s2 long")
+    return needed.mapInArrow(run, f"id {kind}, text string, c_hi long, c_lo long, signature array<short>, s1 long, s2 long")
+
+
+def _kept(prepared: DataFrame) -> DataFrame:
+    """prepared, held where it was made and filled at once, so that stages that start together don't each make it."""
+    held = prepared.persist(StorageLevel.MEMORY_AND_DISK)
+    held.count()
+    return held
 
 
 def _verified(candidates: DataFrame, rule: NearDuplicateRule) -> DataFrame:
@@ -158,8 +165,7 @@ def _verified(candidates: DataFrame, rule: NearDuplicateRule) -> DataFrame:
 
 def _class_links(prepared: DataFrame, rule: NearDuplicateRule) -> DataFrame:
     """(c_hi_a, c_lo_a, c_hi_b, c_lo_b): links between classes of equal sets, each once."""
-    first = [F.first(c).alias(c) for c in ("signature", "s1", "s2")]
-    classes = prepared.groupBy("c_hi", "c_lo").agg(*first)
+    classes = cut(prepared.groupBy("c_hi", "c_lo").agg(*[F.first(c).alias(c) for c in ("signature", "s1", "s2")]))
     variants = []
     for s in range(rule.segments):
         for out in range(rule.components):
@@ -171,20 +177,16 @@ def _class_links(prepared: DataFrame, rule: NearDuplicateRule) -> DataFrame:
     joined = a.join(b, (F.col("a.variant") == F.col("b.variant")) & (F.col("a.c_hi") < F.col("b.c_hi")) & near)
     met = joined.select(F.col("a.c_hi").alias("c_hi_a"), F.col("b.c_hi").alias("c_hi_b")).distinct()
     for x in "ab":
-        met = met.join(_sketches(prepared, x), f"c_hi_{x}")
+        met = met.join(classes.select(*[F.col(c).alias(f"{c}_{x}") for c in ("c_hi", "c_lo", "s1", "s2")]), f"c_hi_{x}")
     distance = F.bit_count(F.col("s1_a").bitwiseXOR(F.col("s1_b"))) + F.bit_count(F.col("s2_a").bitwiseXOR(F.col("s2_b")))
     close = cut(met.where(distance <= rule.long_sketch_distance).select("c_hi_a", "c_lo_a", "c_hi_b", "c_lo_b"))
-    needed = close.select(F.explode(F.array(*[F.struct(F.col(f"c_hi_{x}").alias("c_hi"), F.col(f"c_lo_{x}").alias("c_lo")) for x in "ab"])).alias("c")).select("c.*").distinct()
-    texts = prepared.join(needed, ["c_hi", "c_lo"], "left_semi").groupBy("c_hi", "c_lo").agg(F.min("text").alias("text"))
+    needed = cut(close.select(F.explode(F.array(*[F.struct(F.col(f"c_hi_{x}").alias("c_hi"), F.col(f"c_lo_{x}").alias("c_lo")) for x in "ab"])).alias("c")).select("c.*").distinct())
+    texts = prepared.join(broadcast_below(needed, 500_000), ["c_hi", "c_lo"], "left_semi").groupBy("c_hi", "c_lo").agg(F.min("text").alias("text"))
     for x in "ab":
         close = close.join(texts.select(*[F.col(c).alias(f"{c}_{x}") for c in ("c_hi", "c_lo", "text")]), [f"c_hi_{x}", f"c_lo_{x}"])
     return cut(_verified(close, rule))
 
 
-def _sketches(prepared: DataFrame, side: str) -> DataFrame:
-    return prepared.select(*[F.col(c).alias(f"{c}_{side}") for c in ("c_hi", "c_lo", "s1", "s2")]).distinct()
-
-
 def near_duplicate_pairs(rows: DataFrame, *, id_col: str = "source_id", text_col: str = "text", rule: NearDuplicateRule | None = None) -> DataFrame:
     """(id_a, id_b), id_a < id_b: rows whose word-run sets have at least the rule's similarity.
 
@@ -195,7 +197,7 @@ def near_duplicate_pairs(rows: DataFrame, *, id_col: str = "source_id", text_col
     text counts once.
     """
     rule = rule or NearDuplicateRule()
-    prepared = _prepared(rows, id_col, text_col, rule).persist(StorageLevel.MEMORY_AND_DISK)
+    prepared = _kept(_prepared(rows, id_col, text_col, rule))
     members = prepared.select("id", "c_hi", "c_lo").distinct()
     links = _class_links(prepared, rule)
     own = members.groupBy("c_hi", "c_lo").count().where("count > 1").select(*[F.col(c).alias(f"{c}_{x}") for x in "ab" for c in ("c_hi", "c_lo")])
@@ -210,7 +212,7 @@ def near_duplicate_groups(rows: DataFrame, *, id_col: str = "source_id", text_co
     Same treatment of nulls and repeats as near_duplicate_pairs.
     """
     rule = rule or NearDuplicateRule()
-    prepared = _prepared(rows, id_col, text_col, rule).persist(StorageLevel.MEMORY_AND_DISK)
+    prepared = _kept(_prepared(rows, id_col, text_col, rule))
     members = prepared.select("id", "c_hi", "c_lo").distinct()
     names = members.groupBy("c_hi", "c_lo").agg(F.min("id").alias("name"))
     links = _class_links(prepared, rule)

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corvane.llm import canonical, languages, near_duplicates, pii
+from corvane.llm import canonical, languages, mixing, near_duplicates, pii, splitting, tokens
 from corvane.sources.tables import table
 
 
@@ -29,6 +30,26 @@ def p3_forms(spark: SparkSession, directory: str) -> DataFrame:
     return canonical.normalise_text(table(spark, directory, "comments")).distinct()
 
 
+def p4_found(spark: SparkSession, directory: str) -> DataFrame:
+    """Comments and chunks over 512 code points, and which of them have no white space to cut at."""
+    parts = []
+    for kind, name, key in (("comment", "comments", "source_id"), ("chunk", "chunks", "chunk_id")):
+        pieces = splitting.split_items(table(spark, directory, name), id_col=key, only_oversized=True)
+        case = F.explode(F.when(F.col("boundary") == splitting.CHARACTER, F.array(F.lit("oversized"), F.lit("unbreakable"))).otherwise(F.array(F.lit("oversized"))))
+        parts.append(pieces.select(F.lit(kind).alias("item_kind"), F.col(key).alias("item_id"), case.alias("case_kind")))
+    return parts[0].union(parts[1]).distinct()
+
+
+def p4_comment_pieces(spark: SparkSession, directory: str) -> DataFrame:
+    """The pieces of every comment."""
+    return splitting.split_items(table(spark, directory, "comments").select("source_id", "text").distinct(), id_col="source_id")
+
+
+def p4_chunk_pieces(spark: SparkSession, directory: str) -> DataFrame:
+    """The pieces of every chunk, with the comments that each touches."""
+    return splitting.split_chunks(table(spark, directory, "chunks"), table(spark, directory, "pseudo_spans"))
+
+
 def p5_found(spark: SparkSession, directory: str) -> DataFrame:
     """Pairs of comments of at least 30 words whose three-word runs have a similarity of at least 0.7."""
     return near_duplicates.near_duplicate_pairs(table(spark, directory, "comments"))
@@ -50,14 +71,40 @@ def p6_clean(spark: SparkSession, directory: str) -> DataFrame:
     return pii.replace_personal_information(table(spark, directory, "comments"), table(spark, directory, "name_list")).distinct()
 
 
+def p7_ids(spark: SparkSession, directory: str) -> DataFrame:
+    """The token ids of every document."""
+    return tokens.encode_corpus(table(spark, directory, "documents"))
+
+
+def _mixture(spark: SparkSession, directory: str) -> tuple[DataFrame, DataFrame]:
+    sized = tokens.count_tokens(table(spark, directory, "documents"), keep=["doc_id", "source"])
+    return mixing.mix_sources(sized, table(spark, directory, "mix_targets"))
+
+
+def p8_selection(spark: SparkSession, directory: str) -> DataFrame:
+    """The documents of the mixture, with how often each is used."""
+    return _mixture(spark, directory)[0]
+
+
+def p8_shares(spark: SparkSession, directory: str) -> DataFrame:
+    """The share that each source reached in the mixture."""
+    return _mixture(spark, directory)[1]
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_stretches": p2_stretches,
     "p3_found": p3_found,
     "p3_forms": p3_forms,
+    "p4_found": p4_found,
+    "p4_comment_pieces": p4_comment_pieces,
+    "p4_chunk_pieces": p4_chunk_pieces,
     "p5_found": p5_found,
     "p5_groups": p5_groups,
     "p6_found": p6_found,
     "p6_clean": p6_clean,
+    "p7_ids": p7_ids,
+    "p8_selection": p8_selection,
+    "p8_shares": p8_shares,
 }
 ORACLES: dict[str, str] = {}
