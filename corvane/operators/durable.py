@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
 
@@ -31,3 +32,8 @@ def cut(rows: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/corvane-{uuid.uuid4().hex}"
     rows.write.parquet(path)
     return spark.read.schema(rows.schema).parquet(path)
+
+
+def broadcast_below(rows: DataFrame, most: int) -> DataFrame:
+    """rows marked for broadcast if they are at most so many (they should be cheap to count), else as they are, to be shuffled."""
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
