@@ -56,7 +56,7 @@ class _Fold(dict):
         if ch == "\t" or unicodedata.category(ch) == "Zs":
             return " "
         kind, _, codes = unicodedata.decomposition(ch).partition(" ")
-        if kind in SAME_LOOK and not codes.startswith("0020 "):
+        if kind in SAME_LOOK and "0020" not in codes.split():
             return "".join(self._form(chr(int(c, 16))) for c in codes.split())
         return LOOK_ALIKES.get(ch, ch) if self.look_alikes else ch
 

@@ -5,7 +5,7 @@ components playing the part of bits: two sets of similarity s agree in a
 component with probability s.  It is cut into few segments, so few that similar
 sets differ by at most one component in some segment.  Each segment is indexed
 under its variants with one component left out; sets meeting under a variant
-are compared by a 64-bit and a 128-bit sketch and then by the sets themselves.
+are compared by a 64-bit and a 96-bit sketch and then by the sets themselves.
 """
 
 from __future__ import annotations
@@ -41,7 +41,7 @@ class NearDuplicateRule:
     segments: int = 6
     components: int = 4
     sketch_distance: int = 20
-    long_sketch_distance: int = 36
+    long_sketch_distance: int = 29
     seed: int = 20_011
 
 
@@ -52,7 +52,7 @@ class _NoPunctuation(dict):
 
 
 _NO_PUNCTUATION = _NoPunctuation()
-_SKETCH = 128
+_SKETCH = 96
 
 
 def words_of(text: str) -> list[str]:
@@ -92,7 +92,7 @@ def runs_of(texts: list[list[str]], k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _signatures(runs: np.ndarray, starts: np.ndarray, rule: NearDuplicateRule) -> tuple[np.ndarray, np.ndarray]:
-    """(components by text, 2 x 64 sketch bits by text). Every text has at least one run."""
+    """(components by text, 64 and 32 sketch bits by text). Every text has at least one run."""
     rng = np.random.default_rng(rule.seed)
     xor = rng.integers(0, 2**32, _SKETCH, dtype=np.uint32)
     odd = rng.integers(0, 2**31, _SKETCH, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -117,8 +117,9 @@ def _prepared(rows: DataFrame, id_col: str, text_col: str, rule: NearDuplicateRu
             for start in range(0, b.num_rows, 2000):
                 part = b.slice(start, 2000)
                 texts = part.column(1).to_pylist()
-                words = [words_of(t) for t in texts]
-                keep = [i for i, w in enumerate(words) if len(w) >= max(rule.least_words, rule.words)]
+                least = max(rule.least_words, rule.words)
+                words = [words_of(t) if len(t.split()) >= least else [] for t in texts]
+                keep = [i for i, w in enumerate(words) if len(w) >= least]
                 if not keep:
                     continue
                 runs, bounds = runs_of([words[i] for i in keep], rule.words)
@@ -156,7 +157,7 @@ def _verified(candidates: DataFrame, rule: NearDuplicateRule) -> DataFrame:
             similar = []
             for x, y in zip(b.column("text_a").to_pylist(), b.column("text_b").to_pylist()):
                 p, q = (runs[bounds[at[t]] : bounds[at[t] + 1]] for t in (x, y))
-                both = len(np.intersect1d(p, q, assume_unique=True))
+                both = int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum())
                 similar.append(both >= rule.similarity * (len(p) + len(q) - both) - 1e-9)
             yield pa.RecordBatch.from_arrays([b.column(k) for k in keys], keys).filter(pa.array(similar))
 

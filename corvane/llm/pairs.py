@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.operators.durable import cut
+from corvane.operators.durable import broadcast_below, cut
 
 
 def expand_class_pairs(pairs: DataFrame, members: DataFrame, key: list[str], id_col: str, rows_per_task: int = 20_000) -> DataFrame:
@@ -16,10 +16,11 @@ def expand_class_pairs(pairs: DataFrame, members: DataFrame, key: list[str], id_
     pairs that are results are enumerated, and the members of a large class are
     spread over count / rows_per_task tasks, so no hot class fills one task.
     """
-    parts = members.groupBy(*key).agg(F.ceil(F.count("*") / rows_per_task).cast("int").alias("parts"))
+    pairs = cut(pairs)
     used = pairs.select(*[F.col(f"{k}_a").alias(k) for k in key]).union(pairs.select(*[F.col(f"{k}_b").alias(k) for k in key])).distinct()
-    parts = parts.join(used, key, "left_semi")
-    salted = members.join(parts, key).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    concerned = cut(members.join(broadcast_below(cut(used), 500_000), key, "left_semi"))
+    parts = concerned.groupBy(*key).agg(F.ceil(F.count("*") / rows_per_task).cast("int").alias("parts"))
+    salted = concerned.join(parts, key).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     for x in "ab":
         named = [f"{k}_{x}" for k in key]
         sizes = parts.select(*[F.col(k).alias(f"{k}_{x}") for k in key], "parts")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.canonical import canonical
+from corvane.llm.canonical import IGNORABLE_RANGES, canonical
 from corvane.operators.durable import cut
 
 KINDS = ("email", "phone", "id_number", "address", "person")
@@ -31,7 +31,7 @@ KINDS = ("email", "phone", "id_number", "address", "person")
 # Words that name a kind of street or a part of a building, as written before or after the proper name.
 STREET_AFTER = "street road lane avenue drive court way blvd boulevard mews place square close crescent terrace hill row str st rd ave ln dr ct"
 STREET_BEFORE = "c/ calle avenida plaza paseo camino rua travessa via viale piazza corso rue allée avenue boulevard chemin impasse quai place"
-STREET_ENDINGS = "straße strasse str. str weg gasse platz allee ufer ring"
+STREET_ENDINGS = "straße strasse str. str weg gasse platz allee"
 DWELLINGS = "flat apt apartment unit suite wohnung piso apto appartement"
 LINKS = "de la|de las|de los|de l'|del|des|de|du|do|da|dos|das|della|dello|degli|di|d'"
 
@@ -80,6 +80,8 @@ class _Fold(dict):
 
 
 _FOLD = _Fold()
+# Characters that vanish or join the one before: in texts without them, folding to the same length keeps every place.
+_UNEVEN = re.compile("[" + "".join(f"{chr(a)}-{chr(z)}" for a, z in [*IGNORABLE_RANGES, (0x0300, 0x034E), (0x0483, 0x0487), (0x0591, 0x05BD), (0x1AB0, 0x1AFF), (0x1DC0, 0x1DFF), (0x20D0, 0x20FF), (0xFE20, 0xFE2F)]) + "]")
 
 
 def fold(text: str) -> tuple[str, list[int] | None]:
@@ -87,7 +89,7 @@ def fold(text: str) -> tuple[str, list[int] | None]:
     if text.isascii():
         return (text.replace("\n", " ").replace("\r", " ").replace("\t", " "), None)
     folded = text.translate(_FOLD)
-    if len(folded) == len(text) and not any(unicodedata.combining(c) and not 0x900 <= ord(c) < 0xE80 for c in text):
+    if len(folded) == len(text) and not _UNEVEN.search(text):
         return folded, None
     out, at, i = [], [], 0
     while i < len(text):
@@ -131,7 +133,11 @@ class NameForms:
         low = word.casefold()
         if low in self.listed:
             return True
-        return any(low[:n] in s and low[n:] in e for s, e in zip(self.starts, self.endings) for n in range(3, len(low) - 1))
+        for s, e in zip(self.starts, self.endings):
+            for n in range(3, len(low) - 1):
+                if low[:n] in s and low[n:] in e:
+                    return True
+        return False
 
 
 @dataclass
@@ -168,20 +174,22 @@ class _Classes(dict):
         return found
 
     def _class(self, token: str) -> str:
-        word = token.strip(_EDGE)
-        bare = word.rstrip(".").removesuffix("'s").removesuffix("’s")
-        if digits := sum(c.isdigit() for c in token):
-            return str(min(digits, 9))
-        if _INITIAL.fullmatch(word) and word[0].isupper():
+        if digits := _DIGIT.findall(token):
+            return str(min(len(digits), 9))
+        word = token if token.isalpha() else token.strip(_EDGE)
+        bare = word if word.isalpha() else word.rstrip(".").removesuffix("'s").removesuffix("’s")
+        if len(word) == 2 and _INITIAL.fullmatch(word) and word[0].isupper():
             return "i"
         if bare in self.names:
             return "N"
         low = bare.lower()
-        if low in _STREETS or token.lower().lstrip(_EDGE) in _STREETS or low.endswith(tuple(STREET_ENDINGS.split())):
+        if low in _STREETS or token.lower().lstrip(_EDGE) in _STREETS or low.endswith(_ENDINGS):
             return "S"
         return "C" if bare[:1].isupper() and bare[1:].islower() and bare.isalpha() else "-"
 
 
+_DIGIT = re.compile(r"\d")
+_ENDINGS = tuple(STREET_ENDINGS.split())
 _STREETS = set((STREET_AFTER + " " + STREET_BEFORE).split())
 _ENDS = (".", ",", ";", ":", "!", "?", ")", "…", "]")
 _LONG_NUMBER = re.compile(r"[6-9]|[1-9]{2}|[iSNC-][1-9][1-9iSNC-][1-9]")
