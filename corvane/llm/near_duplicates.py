@@ -13,6 +13,7 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -76,15 +77,16 @@ _WORD_HASHES = _WordHashes()
 def runs_of(texts: list[list[str]], k: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct hashes of k consecutive words, ascending within each text, and where each text's begin (and the end)."""
     counts = np.array([len(t) for t in texts], np.int64)
-    flat = np.fromiter((_WORD_HASHES[w] for t in texts for w in t), np.uint64, int(counts.sum()))
+    flat = np.fromiter(map(_WORD_HASHES.__getitem__, chain.from_iterable(texts)), np.uint64, int(counts.sum()))
     mixed = np.zeros(max(len(flat) - k + 1, 0), np.uint64)
     for j in range(k):
         mixed = (mixed ^ flat[j : len(flat) - k + 1 + j]) * np.uint64(0x9E3779B97F4A7C15)
         mixed ^= mixed >> np.uint64(29)
-    owner = np.repeat(np.arange(len(texts)), counts)
+    owner = np.repeat(np.arange(len(texts), dtype=np.uint16 if len(texts) < 65_536 else np.uint32), counts)
     whole = owner[: len(mixed)] == owner[k - 1 : k - 1 + len(mixed)]
     mixed, owner = mixed[whole], owner[: len(mixed)][whole]
-    order = np.lexsort((mixed, owner))
+    order = np.argsort(mixed)
+    order = order[np.argsort(owner[order], kind="stable")]  # by counting, as owners are small numbers
     mixed, owner = mixed[order], owner[order]
     fresh = np.ones(len(mixed), bool)
     fresh[1:] = (mixed[1:] != mixed[:-1]) | (owner[1:] != owner[:-1])

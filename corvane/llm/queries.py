@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import canonical, languages, mixing, near_duplicates, pii, splitting, tokens
+from corvane.llm import canonical, languages, mixing, near_duplicates, pii, splitting, subjects, tokens
 from corvane.sources.tables import table
 
 
@@ -91,6 +91,24 @@ def p8_shares(spark: SparkSession, directory: str) -> DataFrame:
     return _mixture(spark, directory)[1]
 
 
+def _subjects(spark: SparkSession, directory: str) -> DataFrame:
+    documents = table(spark, directory, "documents")
+    model = subjects.train_subjects(documents, table(spark, directory, "subjects"), table(spark, directory, "subject_examples"))
+    return subjects.document_subjects(documents, model)
+
+
+def p9_found(spark: SparkSession, directory: str) -> DataFrame:
+    """The subjects of each document."""
+    return _subjects(spark, directory).select("doc_id", "subject").distinct()
+
+
+def p9_composition(spark: SparkSession, directory: str) -> DataFrame:
+    """Documents by source and subject; those without subject count under null."""
+    documents = table(spark, directory, "documents").select("doc_id", "source").distinct()
+    found = _subjects(spark, directory).select("doc_id", "subject").distinct()
+    return documents.join(found, "doc_id", "left").groupBy("source", "subject").agg(F.count("*").alias("documents"))
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_stretches": p2_stretches,
@@ -106,5 +124,7 @@ QUERIES = {
     "p7_ids": p7_ids,
     "p8_selection": p8_selection,
     "p8_shares": p8_shares,
+    "p9_found": p9_found,
+    "p9_composition": p9_composition,
 }
 ORACLES: dict[str, str] = {}
