@@ -67,8 +67,7 @@ class Engine:
     @property
     def index(self) -> bm25.Bm25Index:
         if self._index is None:
-            made = bm25.build_bm25(self.chunks)
-            self._index = bm25.Bm25Index(cut(made.postings), cut(made.idf), cut(made.totals), made.chunks)
+            self._index = bm25.build_bm25(self.chunks)
         return self._index
 
     def candidates(self, questions: DataFrame, n: int) -> DataFrame:

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.functions.text import tokens
-from corvane.operators.durable import broadcast_below
+from corvane.functions.text import TOKEN, tokens
+from corvane.operators.durable import broadcast_below, cut
 from corvane.operators.ranking import rounded, top_k
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
+_TERM = re.compile(TOKEN).findall
 
 
 @dataclass(frozen=True)
@@ -24,22 +29,41 @@ class Bm25Index:
     chunks: DataFrame
 
 
+def _counted(chunks: DataFrame) -> DataFrame:
+    """(chunk_id, dl, counts): a chunk's terms are counted where its text is, so no term is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lengths, bounds, terms, counts = [], [0], [], []
+            for text in b.column(1).to_pylist():
+                found = Counter(_TERM(text.lower())) if text else Counter()
+                lengths.append(found.total())
+                terms += found.keys()
+                counts += found.values()
+                bounds.append(len(terms))
+            pairs = pa.StructArray.from_arrays([pa.array(terms, pa.string()), pa.array(counts, pa.int64())], ["term", "tf"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lengths, pa.int32()), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pairs)], ["chunk_id", "dl", "counts"])
+
+    return chunks.mapInArrow(run, "chunk_id string, dl int, counts array<struct<term: string, tf: bigint>>")
+
+
 def build_bm25(chunks: DataFrame) -> Bm25Index:
-    """The index of (chunk_id, text); chunks that occur twice count once.
+    """The index of (chunk_id, text), written to the shared folder, so that texts are cut into terms once; chunks that occur twice count once.
 
     A term that more than half of the chunks hold would get a negative weight
     and gets EPSILON times the mean weight instead.  A chunk without tokens
     counts for the averages.
     """
     once = chunks.select("chunk_id", "text").distinct()
-    cut = once.select("chunk_id", tokens(F.col("text")).alias("terms")).withColumn("dl", F.coalesce(F.size("terms"), F.lit(0)))
-    totals = cut.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    postings = cut.select("chunk_id", "dl", F.explode("terms").alias("term")).groupBy("chunk_id", "term", "dl").agg(F.count("*").alias("tf"))
+    counted = cut(_counted(once))
+    totals = cut(counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")))
+    postings = counted.select("chunk_id", "dl", F.explode("counts").alias("c")).select("chunk_id", "c.term", "c.tf", "dl")
     found = postings.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(totals.select("n")))
     raw = found.select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
+    raw = cut(raw)
     mean = raw.agg(F.avg("raw").alias("mean"))
     idf = raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-    return Bm25Index(postings, idf, totals, once.select("chunk_id"))
+    return Bm25Index(postings, idf, totals, counted.select("chunk_id"))
 
 
 def question_terms(questions: DataFrame) -> DataFrame:
@@ -54,11 +78,11 @@ def search_bm25(index: Bm25Index, questions: DataFrame, n: int) -> DataFrame:
     shorter than n, in order of chunk_id.  Question terms are broadcast where
     they are few, so that postings stay where they are and only scores move.
     """
-    terms = question_terms(questions).join(index.idf, "term")
+    terms = cut(question_terms(questions).join(index.idf, "term"))
     hits = index.postings.join(broadcast_below(terms, 200_000), "term").crossJoin(F.broadcast(index.totals))
     weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scored = hits.groupBy("qid", "chunk_id").agg(rounded(F.sum(F.col("qtf") * F.col("idf") * weight)).alias("score"))
-    best = top_k(scored, n).select("qid", "chunk_id", "score")
+    best = cut(top_k(scored, n).select("qid", "chunk_id", "score"))
     short = questions.select("qid").join(best.groupBy("qid").count(), "qid", "left").where(F.coalesce("count", F.lit(0)) < n).select("qid")
     spare = index.chunks.orderBy("chunk_id").limit(2 * n)
     filled = short.crossJoin(F.broadcast(spare)).join(best, ["qid", "chunk_id"], "left_anti").select("qid", "chunk_id", F.lit(0.0).alias("score"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corvane.config import RetrievalConfig
 from corvane.functions.text import tokens
 from corvane.operators.bm25 import Bm25Index
-from corvane.operators.durable import broadcast_below
+from corvane.operators.durable import broadcast_below, cut
 from corvane.operators.ranking import rounded, top_k
 
 
@@ -45,7 +45,7 @@ def coverage_scores(pairs: DataFrame, questions: DataFrame, texts: DataFrame, in
     asked = questions.select("qid", F.explode(F.array_distinct(tokens(F.col("question")))).alias("term"))
     unseen = F.log(F.col("n") + 0.5) - F.log(F.lit(0.5))
     weighed = asked.join(index.idf, "term", "left").crossJoin(F.broadcast(index.totals.select("n"))).select("qid", "term", F.coalesce("idf", unseen).alias("w"))
-    needed = weighed.groupBy("qid").agg(F.sum("w").alias("whole"), F.collect_list(F.struct("term", "w")).alias("terms"))
+    needed = cut(weighed.groupBy("qid").agg(F.sum("w").alias("whole"), F.collect_list(F.struct("term", "w")).alias("terms")))
     once = texts.select("chunk_id", "text").distinct()
     held = pairs.select("qid", "chunk_id").distinct().join(broadcast_below(needed, 50_000), "qid", "left").join(once, "chunk_id")
     words = held.withColumn("words", tokens(F.col("text")))

@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from corvane.functions.text import TOKEN
 from corvane.operators.ranking import DECIMALS, top_k
@@ -64,6 +65,7 @@ def search_vectors(queries: DataFrame, vectors: DataFrame, k: int, *, query_id:
     leave_out_self an item with the query's id isn't an answer to it.
     """
     kind, item_kind = (queries.schema[query_id].dataType.simpleString(), vectors.schema[item_id].dataType.simpleString())
+    id_type = to_arrow_type(queries.schema[query_id].dataType)
     asked = queries.select(F.col(query_id).alias("q"), F.col(column).cast("array<double>").alias("v"))
     parts = max(1, -(-asked.count() // block))
     found = None
@@ -91,7 +93,7 @@ def search_vectors(queries: DataFrame, vectors: DataFrame, k: int, *, query_id:
                     q, i = np.nonzero((scores >= least[:, None]) & np.isfinite(scores))
                 else:
                     q, i = np.nonzero(np.isfinite(scores))
-                yield pa.RecordBatch.from_arrays([pa.array([names[x] for x in q]), b.column(0).take(pa.array(i)), pa.array(scores[q, i])], ["q", "item", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array([names[x] for x in q], id_type), b.column(0).take(pa.array(i)), pa.array(scores[q, i])], ["q", "item", "score"])
 
         answers = vectors.select(F.col(item_id).alias("item"), column).where(F.col(column).isNotNull()).mapInArrow(run, f"q {kind}, item {item_kind}, score double")
         found = answers if found is None else found.union(answers)
