@@ -43,14 +43,16 @@ class LanguageRule:
 
 
 def codewords(n: int) -> np.ndarray:
-    """n codewords of ±1 with pairwise distance of at least half their length: rows of a Hadamard matrix without its constant column."""
+    """n codewords of ±1, rows of a Hadamard matrix, which differ in half of its columns; columns in which all n agree are left out."""
     size = 2
     while size < max(n + 1, 16):
         size *= 2
     matrix = np.array([[1]])
     while len(matrix) < size:
         matrix = np.block([[matrix, matrix], [matrix, -matrix]])
-    return matrix[1 : n + 1, 1:]
+    rows = matrix[1 : n + 1]
+    telling = (rows != rows[:1]).any(0)
+    return rows[:, telling] if telling.any() else np.ones((n, 1), int)
 
 
 _NO_WORD = re.compile(r"[@\d]")
@@ -249,7 +251,7 @@ def _fit(counts: list[Counter], languages: list[str], rule: LanguageRule) -> Lan
 
     def odds(share: np.ndarray, floor: float) -> np.ndarray:
         positive = (codes > 0).astype(float)
-        p, q = share @ (positive / positive.sum(0)), share @ ((1 - positive) / (1 - positive).sum(0))
+        p, q = share @ (positive / np.maximum(positive.sum(0), 1)), share @ ((1 - positive) / np.maximum((1 - positive).sum(0), 1))
         return np.log((p + floor) / (q + floor))
 
     common = table.sum(1) >= rule.least_count

@@ -219,7 +219,7 @@ class Finder:
 
         A capitalised word that is no known name part is tried alone where a context
         is to be counted (strong is None), and begins a run where the context before
-        it is strong.
+        it is strong; right before a known name part less strength is needed.
         """
         k, n = 0, len(tokens)
         while k < n:
@@ -235,7 +235,8 @@ class Finder:
                     k += 1
                     continue
                 two, one = self.contexts(tokens, k, False)
-                if not k or self.ends_sentence(tokens[k - 1]) or strong.get(two, strong.get(one, 0.0)) < 0.95:
+                needed = 0.5 if k + 1 < n and classes[k + 1] == "N" and not tokens[k].endswith(_ENDS) else 0.95
+                if not k or self.ends_sentence(tokens[k - 1]) or strong.get(two, strong.get(one, 0.0)) < needed:
                     k += 1
                     continue
             while k < n and len(kinds) < 4 and (classes[k] in "Ni" or (classes[k] == "C" and (not kinds or kinds[0] == "C"))):
