@@ -281,7 +281,7 @@ class Converter:
 def is_exact_utc(column: Column) -> Column:
     """Whether a string is a valid time written exactly as YYYY-MM-DDTHH:MM:SSZ (null: null)."""
     shaped = column.rlike(r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}Z\z")
-    return shaped & F.try_to_timestamp(F.when(shaped, column), F.lit("yyyy-MM-dd'T'HH:mm:ss'Z'")).isNotNull()
+    return F.when(column.isNotNull(), shaped & F.try_to_timestamp(F.when(shaped, column), F.lit("yyyy-MM-dd'T'HH:mm:ss'Z'")).isNotNull())
 
 
 def normalise_timestamps(
