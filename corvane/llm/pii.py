@@ -56,7 +56,7 @@ _LOCAL = r"(?<![\w.+-])[\w+-]+(?:\.[\w+-]+)*"
 EMAIL = re.compile(
     rf"{_LOCAL}(?:(?:{_SAID_DOT}[\w+-]+)*(?: ?[\[(]at[\])] ?)[\w-]+(?:{_DOT}[\w-]+)+"
     rf"| ?@ ?[\w-]+(?:{_DOT}[\w-]+)+"
-    rf"|(?:{_SAID_DOT}[\w+-]+)* (?:at|AT) [\w-]+(?:\.[\w-]+)*{_SAID_DOT}[\w-]+(?:{_DOT}[\w-]+)*)",
+    rf"|(?:{_SAID_DOT}[\w+-]+)* (?:at|AT) [\w-]+(?:\.[\w-]+)*{_SAID_DOT}[\w-]+(?:{_DOT}[\w-]+)*(?![\w-])(?! ?(?:@|[\[(]at|at |AT )))",
 )
 NUMBER = re.compile(
     r"(?<![\w@#.+/-])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\) ?)?\d[\d .-]*\d"
@@ -109,15 +109,16 @@ def shape(number: str) -> str:
 
 @dataclass
 class NameForms:
-    """Listed name parts, and the starts and endings that several of them share: unlisted parts built the same way are names too."""
+    """Listed name parts, and the starts and endings that they share: an unlisted part built of two of them, one of which at least `least` listed parts have, is a name too."""
 
     listed: set[str]
-    starts: list[set[str]] = field(default_factory=list)
-    endings: list[set[str]] = field(default_factory=list)
+    starts: list[dict[str, int]] = field(default_factory=list)
+    endings: list[dict[str, int]] = field(default_factory=list)
+    least: int = 3
 
     @classmethod
     def learn(cls, parts: list[tuple[str, str]], least: int = 3) -> NameForms:
-        found = cls({canonical(p, casefold=True) for p, _ in parts})
+        found = cls({canonical(p, casefold=True) for p, _ in parts}, least=least)
         for kind in sorted({k for _, k in parts}):
             words = {canonical(p, casefold=True) for p, k in parts if k == kind}
             starts = Counter(w[:n] for w in words for n in range(3, len(w) - 1))
@@ -125,8 +126,8 @@ class NameForms:
             splits = [max(range(3, len(w) - 1), key=lambda n, w=w: starts[w[:n]] * endings[w[n:]]) for w in words if len(w) > 4]
             best = [(w[:n], w[n:]) for w, n in zip((w for w in words if len(w) > 4), splits)]
             first, last = Counter(a for a, _ in best), Counter(z for _, z in best)
-            found.starts.append({a for a, n in first.items() if n >= least})
-            found.endings.append({z for z, n in last.items() if n >= least})
+            found.starts.append({a: n for a, n in first.items() if n > 1})
+            found.endings.append({z: n for z, n in last.items() if n > 1})
         return found
 
     def __contains__(self, word: str) -> bool:
@@ -135,7 +136,7 @@ class NameForms:
             return True
         for s, e in zip(self.starts, self.endings):
             for n in range(3, len(low) - 1):
-                if low[:n] in s and low[n:] in e:
+                if low[:n] in s and low[n:] in e and max(s[low[:n]], e[low[n:]]) >= self.least:
                     return True
         return False
 
@@ -236,7 +237,8 @@ class Finder:
                     continue
                 two, one = self.contexts(tokens, k, False)
                 needed = 0.5 if k + 1 < n and classes[k + 1] == "N" and not tokens[k].endswith(_ENDS) else 0.95
-                if not k or self.ends_sentence(tokens[k - 1]) or strong.get(two, strong.get(one, 0.0)) < needed:
+                alone = k <= 1 or self.ends_sentence(tokens[k - 2])  # the word before has no other before it in its sentence
+                if not k or self.ends_sentence(tokens[k - 1]) or max(strong.get(two, 0.0), strong.get(one, 0.0) if alone else 0.0) < needed:
                     k += 1
                     continue
             while k < n and len(kinds) < 4 and (classes[k] in "Ni" or (classes[k] == "C" and (not kinds or kinds[0] == "C"))):
