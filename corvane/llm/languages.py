@@ -35,8 +35,9 @@ class LanguageRule:
     least_count: int = 3
     grams: int = 4
     smoothing: float = 0.02
-    change_cost: float = 9.0
-    change_cost_at_end: float = 4.5
+    change_cost: float = 12.0
+    change_cost_at_end: float = 7.0
+    least_words: int = 3
     word_limit: float = 4.0
     gram_weight: float = 0.6
     ambiguous_under: float = 0.8
@@ -114,7 +115,7 @@ class Reader(dict):
         nothing = np.zeros(self.model.codes.shape[1], np.float32)
         self.losses: list[np.ndarray] = [np.zeros(len(self.model.languages), np.float32)] * 2
         self.bits: list[np.ndarray] = [nothing, nothing]
-        self.evident, self.ends = [False, False], [False, True]
+        self.evident, self.plain, self.ends = [False, False], [False, False], [False, True]
 
     def __missing__(self, token: str) -> int:
         bits, end = self._word_bits(token), token[-1] in ".!?…।:\n" or token in "-/|"
@@ -125,6 +126,7 @@ class Reader(dict):
         self.losses.append(np.minimum((losses - losses.min()) * 4, self.model.rule.word_limit).astype(np.float32))
         self.bits.append(bits.astype(np.float32))
         self.evident.append(True)
+        self.plain.append(not _BARE[token][0].isupper())
         self.ends.append(end)
         self[token] = len(self.losses) - 1
         return self[token]
@@ -210,7 +212,12 @@ class Reader(dict):
             share = np.exp(-(losses - losses.min(1, keepdims=True)) / np.sqrt(np.maximum(weight, 1))[:, None])
             confidence = share[np.arange(len(firsts)), path[firsts]] / share.sum(1)
             ends = np.append(firsts[1:], len(ids))
-            for k in np.flatnonzero(weight > 0).tolist():
+            plain = np.add.reduceat((told & np.array(self.plain)[ids]).astype(np.int64), firsts)
+            of_text = np.bincount(owner[firsts[weight > 0]], minlength=len(texts))
+            # Beside other stretches, one of few words but names is an address or the like and belongs to its surroundings.
+            kept = (weight > 0) & ((of_text[owner[firsts]] == 1) | (plain >= self.model.rule.least_words))
+            kept |= (weight > 0) & (np.bincount(owner[firsts[kept]], minlength=len(texts)) == 0)[owner[firsts]]
+            for k in np.flatnonzero(kept).tolist():
                 i = int(owner[firsts[k]])
                 first, end, lang, sure = int(firsts[k] - starts[i]), int(ends[k] - starts[i]), names[path[firsts[k]]], float(confidence[k])
                 found = result[i]
