@@ -27,10 +27,16 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(rows: DataFrame) -> DataFrame:
-    """rows written as Parquet to the shared folder and read again: the lineage ends there."""
+    """rows written as Parquet to the shared folder and read again: the lineage ends there.
+
+    The table lasts as long as this process, since plans read it lazily; on file
+    systems other than a mounted one the folder's owner clears it.
+    """
     spark = rows.sparkSession
     path = f"{shared_folder(spark)}/corvane-{uuid.uuid4().hex}"
     rows.write.parquet(path)
+    if path.startswith("file://"):
+        atexit.register(shutil.rmtree, path.removeprefix("file://"), ignore_errors=True)
     return spark.read.schema(rows.schema).parquet(path)
 
 

@@ -62,10 +62,10 @@ class Artifacts:
             raise FileNotFoundError(f"no artifact {self.path(name)}; build it first") from problem
 
     def write_bm25(self, index: Bm25Index) -> Bm25Index:
-        return Bm25Index(self.write("bm25_postings", index.postings), self.write("bm25_idf", index.idf), self.write("bm25_totals", index.totals), self.write("bm25_chunks", index.chunks))
+        return Bm25Index(self.write("bm25_counted", index.counted), self.write("bm25_idf", index.idf), self.write("bm25_totals", index.totals))
 
     def read_bm25(self) -> Bm25Index:
-        index = Bm25Index(*(self.read(f"bm25_{n}") for n in ("postings", "idf", "totals", "chunks")))
+        index = Bm25Index(*(self.read(f"bm25_{n}") for n in ("counted", "idf", "totals")))
         counted = index.totals.first()
         if counted is None or counted.n != index.chunks.count():
             raise ValueError("the sparse index and its chunks differ in number; build it again")
