@@ -84,10 +84,13 @@ _FOLD = _Fold()
 _UNEVEN = re.compile("[" + "".join(f"{chr(a)}-{chr(z)}" for a, z in [*IGNORABLE_RANGES, (0x0300, 0x034E), (0x0483, 0x0487), (0x0591, 0x05BD), (0x1AB0, 0x1AFF), (0x1DC0, 0x1DFF), (0x20D0, 0x20FF), (0xFE20, 0xFE2F)]) + "]")
 
 
+_BREAKS = re.compile(r"[\n\r\t]")
+
+
 def fold(text: str) -> tuple[str, list[int] | None]:
     """The text in one form, and for each of its characters the position in the original (None: the same position)."""
     if text.isascii():
-        return (text.replace("\n", " ").replace("\r", " ").replace("\t", " "), None)
+        return (" ".join(_BREAKS.split(text)) if _BREAKS.search(text) else text, None)
     folded = text.translate(_FOLD)
     if len(folded) == len(text) and not _UNEVEN.search(text):
         return folded, None
@@ -235,10 +238,13 @@ class Finder:
                         yield k, k + 1, "C"
                     k += 1
                     continue
+                if not k or self.ends_sentence(tokens[k - 1]):
+                    k += 1
+                    continue
                 two, one = self.contexts(tokens, k, False)
                 needed = 0.5 if k + 1 < n and classes[k + 1] == "N" and not tokens[k].endswith(_ENDS) else 0.95
                 alone = k <= 1 or self.ends_sentence(tokens[k - 2])  # the word before has no other before it in its sentence
-                if not k or self.ends_sentence(tokens[k - 1]) or max(strong.get(two, 0.0), strong.get(one, 0.0) if alone else 0.0) < needed:
+                if max(strong.get(two, 0.0), strong.get(one, 0.0) if alone else 0.0) < needed:
                     k += 1
                     continue
             while k < n and len(kinds) < 4 and (classes[k] in "Ni" or (classes[k] == "C" and (not kinds or kinds[0] == "C"))):
