@@ -14,7 +14,7 @@ import base64
 import importlib.util
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import chain
 from pathlib import Path
@@ -159,18 +159,28 @@ class Lexicon:
 
     arrays: dict[str, np.ndarray]
 
+    def __post_init__(self) -> None:
+        self._first, self._target, self._skip, self._final = (memoryview(self.arrays[k]) for k in ("first", "target", "skip", "final"))
+        self._labels, self._root = self.arrays["label"].tobytes(), int(self.arrays["root"][0])
+
+    def __getstate__(self) -> dict:
+        return {"arrays": {k: np.array(v) for k, v in self.arrays.items()}}
+
+    def __setstate__(self, state: dict) -> None:
+        self.arrays = state["arrays"]
+        self.__post_init__()
+
     def number(self, word: bytes) -> int:
         """The word's place in byte order, or -1."""
-        first, label, target, skip = (self.arrays[k] for k in ("first", "label", "target", "skip"))
-        state, number = int(self.arrays["root"][0]), 0
+        first, target, skip, find = self._first, self._target, self._skip, self._labels.find
+        state, number = self._root, 0
         for byte in word:
-            a, z = int(first[state]), int(first[state + 1])
-            k = a + int(np.searchsorted(label[a:z], byte))
-            if k == z or label[k] != byte:
+            k = find(byte, first[state], first[state + 1])
+            if k < 0:
                 return -1
-            number += int(skip[k])
-            state = int(target[k])
-        return number if self.arrays["final"][state] else -1
+            number += skip[k]
+            state = target[k]
+        return number if self._final[state] else -1
 
     def ids(self, word: bytes) -> list[int] | None:
         k = self.number(word)
@@ -211,19 +221,31 @@ def open_lexicon(place: str | Lexicon) -> Lexicon:
     return Lexicon({p.stem: np.load(p, mmap_mode="r") for p in Path(place).glob("*.npy")})
 
 
+def _compiled_merger(ranks: dict[bytes, int]) -> Callable[[str], list[int]] | None:
+    """The same merging in compiled code, where a library for it is installed."""
+    try:
+        import tiktoken
+    except ImportError:
+        return None
+    return tiktoken.Encoding("lexicon", pat_str=r"(?s:.+)", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+
 class WordIds(dict):
     """Word to ids, through the lexicon or by merging; remembered until it holds a million words."""
 
     def __init__(self, lexicon: Lexicon, ranks: dict[bytes, int]):
         super().__init__()
         self.lexicon, self.ranks = lexicon, ranks
+        self.quick = _compiled_merger(ranks)
 
     def __missing__(self, word: str) -> tuple[int, ...]:
         if len(self) > 1_000_000:
             self.clear()
         raw = word.encode("utf-8", "surrogatepass")
         found = self.lexicon.ids(raw) if len(raw) <= 64 else None
-        self[word] = ids = tuple(merge_word(raw, self.ranks) if found is None else found)
+        if found is None:
+            found = self.quick(word) if self.quick and len(raw) <= 200 else merge_word(raw, self.ranks)
+        self[word] = ids = tuple(found)
         return ids
 
 
