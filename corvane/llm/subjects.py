@@ -4,8 +4,8 @@ A sentence is the average of its words' embeddings, frequent words counting
 less, a word the average of its own and its character n-grams'; every subject has a logistic output of its own,
 so a sentence may treat none, one or several.  Training is synchronous: each
 partition sends the gradient of its sentences, the sum moves the parameters.
-Labelled sentences come first; then sentences of a bounded sample of documents
-join in, once the model is sure of them and knows enough of their words.
+Labelled sentences come first; then sentences of all documents join in, once
+the model is sure of them and knows enough of their words.
 """
 
 from __future__ import annotations
@@ -22,15 +22,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm.canonical import canonical
+from corvane.operators.durable import cut
 
 
 @dataclass(frozen=True)
 class SubjectRule:
-    """sample_documents and sample_sentences bound what the classifier is fitted on; scoring reads every document."""
+    """labelled_share is what the examples keep of the training, block_words how many words a task's arrays hold at a time."""
 
     least_share: float = 0.25
-    sample_documents: int = 1500
-    sample_sentences: int = 12_000
+    labelled_share: float = 0.06
+    block_words: int = 400_000
     dimensions: int = 16
     buckets: int = 8192
     rounds: int = 10
@@ -125,82 +126,207 @@ class SubjectModel:
         return (np.array(weights, np.float32) @ self.embeddings[rows]) @ self.outputs if rows else np.zeros(self.outputs.shape[1], np.float32)
 
 
-@dataclass
-class _Words2Features:
-    """The sparse matrix that makes word vectors of embeddings: of word w the entries bounds[w] to bounds[w + 1]."""
+def _packed(values: list | np.ndarray, kind: type) -> bytes:
+    return np.asarray(values, kind).tobytes()
+
+
+def _bounds(lengths: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
+
+
+class _Block:
+    """Sentences of some documents as arrays: the bags of words that occur in them, each once, and which one every sentence is.
+
+    A bag's words are numbers in `local` (rows of the vocabulary), then in the
+    block's own words, which no other sentence of the corpus has; `part` is a
+    word's share in the bag's average.  `targets` counts a bag's sentences by output.
+    """
+
+    COLUMNS = {"local": np.int32, "grams": np.int32, "gram_lengths": np.int32, "words": np.int32, "lengths": np.int32, "part": np.float32, "bags": np.int32, "sentences": np.int32, "targets": np.float32}
+    SCHEMA = ", ".join(f"{c} binary" for c in COLUMNS) + ", given boolean"
+
+    def __init__(self, row: dict) -> None:
+        for name, kind in self.COLUMNS.items():
+            setattr(self, name, np.frombuffer(row[name], kind))
+        self.given = row["given"]
+        self.starts = _bounds(self.lengths)
+
+    def vectors(self, embeddings: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """Dimensions by words; own are the vectors of the vocabulary, embeddings end with those of the n-grams."""
+        if not len(self.gram_lengths):
+            return np.ascontiguousarray(own[self.local].T)
+        rest = np.add.reduceat(embeddings[self.grams], _bounds(self.gram_lengths), axis=0) / self.gram_lengths[:, None]
+        return np.ascontiguousarray(np.concatenate([own[self.local], rest]).T)
+
+    def means(self, vectors: np.ndarray, part: np.ndarray) -> np.ndarray:
+        return np.stack([np.add.reduceat(v[self.words] * part, self.starts) for v in vectors], 1)
+
+
+def _block(documents: list[list[list[str]]], vocabulary: dict[str, int], importance: np.ndarray, rule: SubjectRule, targets: np.ndarray | None = None) -> dict:
+    """The row of a _Block; targets are those of the sentences, which then aren't merged."""
+    local: dict[int, int] = {}
+    rest: dict[str, int] = {}
+    bags: dict[tuple, int] = {}
+    which = []
+    for d in documents:
+        for s in d:
+            key = tuple(sorted(s)) if targets is None else (len(which),)
+            k = bags.get(key)
+            if k is None:
+                bags[key] = k = len(bags)
+                which.append((k, s))
+            else:
+                which.append((k, None))
+    words, counts, lengths = [], [], []
+    for s in (s for _, s in which if s is not None):
+        found: dict[int, int] = {}
+        for w in s:
+            v = vocabulary.get(w)
+            n = local.setdefault(v, len(local)) if v is not None else -1 - rest.setdefault(w, len(rest))
+            found[n] = found.get(n, 0) + 1
+        words += found.keys()
+        counts += found.values()
+        lengths.append(len(found))
+    ids, sizes, starts = np.array(words, np.int32), np.array(lengths, np.int32), _bounds(np.array(lengths))
+    ids = np.where(ids < 0, len(local) - 1 - ids, ids)
+    known = np.fromiter(local, np.int32, len(local))
+    weights = np.concatenate([importance[known], np.full(len(rest), rule.unknown_weight)])[ids] * np.array(counts)
+    part = weights / np.repeat(np.add.reduceat(weights, starts), sizes)
+    grams = [_grams(w, rule.buckets) for w in rest]
+    return {
+        "local": _packed(known, np.int32),
+        "grams": _packed([g for x in grams for g in x], np.int32),
+        "gram_lengths": _packed([len(x) for x in grams], np.int32),
+        "words": _packed(ids, np.int32),
+        "lengths": _packed(sizes, np.int32),
+        "part": _packed(part, np.float32),
+        "bags": _packed([k for k, _ in which], np.int32),
+        "sentences": _packed([len(d) for d in documents], np.int32),
+        "targets": _packed([] if targets is None else targets, np.float32),
+        "given": targets is not None,
+    }
+
+
+def _rows(rows: list[dict]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pylist(rows, pa.schema([*[(c, pa.binary()) for c in _Block.COLUMNS], ("given", pa.bool_())]))
+
+
+def _blocks_of(documents: Iterator[list[list[str]]], size: int) -> Iterator[list[list[list[str]]]]:
+    """Whole documents, until a block has `size` words."""
+    part, held = [], 0
+    for d in documents:
+        if d:
+            part.append(d)
+            held += sum(map(len, d))
+            if held >= size:
+                yield part
+                part, held = [], 0
+    if part:
+        yield part
+
+
+def _texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[list[list[str]]]:
+    return (sentences_of(t) for b in batches for start in range(0, b.num_rows, 500) for t in b.column(0).slice(start, 500).to_pylist())
+
+
+def _counted(texts: DataFrame) -> DataFrame:
+    """(word, sentences, occurrences) over all sentences of the column text."""
 
-    bounds: np.ndarray
-    rows: np.ndarray
-    weights: np.ndarray
-    importance: np.ndarray
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sentences, occurrences = Counter(), Counter()
 
-    def owners(self) -> np.ndarray:
-        return np.repeat(np.arange(len(self.bounds) - 1), np.diff(self.bounds))
+        def flush() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(list(occurrences), pa.string()), pa.array([sentences[w] for w in occurrences], pa.int64()), pa.array(list(occurrences.values()), pa.int64())], ["word", "sentences", "occurrences"])
+            sentences.clear()
+            occurrences.clear()
+            return out
 
+        for d in _texts_of(batches):
+            for s in d:
+                occurrences.update(s)
+                sentences.update(set(s))
+            if len(occurrences) > 300_000:
+                yield flush()
+        yield flush()
 
-def _summed(owner: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    """Rows of values added up by owner."""
-    return np.stack([np.bincount(owner, values[:, d], n) for d in range(values.shape[1])], 1).astype(np.float32)
+    parts = texts.mapInArrow(run, "word string, sentences bigint, occurrences bigint")
+    return parts.groupBy("word").agg(F.sum("sentences").alias("sentences"), F.sum("occurrences").alias("occurrences"))
 
 
-def _gradient(bounds: np.ndarray, ids: np.ndarray, labels: np.ndarray, weights: np.ndarray, matrix: _Words2Features, embeddings: np.ndarray, outputs: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The gradient of the weighted logistic losses of sentences, given as word numbers, to all parameters."""
-    n, words = len(bounds) - 1, len(matrix.bounds) - 1
-    counts = np.diff(bounds)
-    owner, word_owner = np.repeat(np.arange(n), counts), matrix.owners()
-    vectors = _summed(word_owner, embeddings[matrix.rows] * matrix.weights[:, None], words)
-    part = matrix.importance[ids]
-    part = part / np.bincount(owner, part, n)[owner]
-    means = _summed(owner, vectors[ids] * part[:, None], n)
+@dataclass
+class _Vocabulary:
+    """Of every word of the vocabulary, the n-grams; the rows of word w from bounds[w] on."""
+
+    grams: np.ndarray
+    lengths: np.ndarray
+
+    def vectors(self, embeddings: np.ndarray) -> np.ndarray:
+        """The vectors of the words: half their own embedding, half the mean of their n-grams'."""
+        own = embeddings[: len(self.lengths)]
+        if not len(own):
+            return own
+        starts = _bounds(self.lengths)
+        return np.stack([0.5 * own[:, d] + 0.5 * np.add.reduceat(embeddings[len(own) :, d][self.grams], starts) / self.lengths for d in range(own.shape[1])], 1)
+
+    def back(self, words: np.ndarray, grams: np.ndarray) -> np.ndarray:
+        """The gradient to the embeddings from that to the words and, from words outside the vocabulary, to the n-grams."""
+        to_grams = [np.bincount(self.grams, np.repeat(0.5 * words[:, d] / np.maximum(self.lengths, 1), self.lengths), len(grams)) for d in range(words.shape[1])]
+        return np.concatenate([0.5 * words, grams + np.stack(to_grams, 1)]).astype(np.float32)
+
+
+def _gradient(block: _Block, balance: np.ndarray, times: float, smoothing: float, own: np.ndarray, grams: np.ndarray, outputs: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, float]:
+    """Of the block's weighted logistic losses: the gradient to its local words, to the n-grams, the outputs and the bias; the sum of weights."""
+    targets = block.targets.reshape(len(block.lengths), -1)
+    if block.given:
+        weights = targets @ balance * times
+        wanted = targets * weights[:, None]
+    else:
+        wanted = targets * balance
+        weights = wanted.sum(1)
+    means = block.means(block.vectors(grams, own), block.part)
     scores = 1 / (1 + np.exp(-np.clip(means @ outputs + bias, -30, 30)))
-    error = (scores - labels) * weights[:, None]
-    back = _summed(ids, (error @ outputs.T)[owner] * part[:, None], words)
-    return _summed(matrix.rows, back[word_owner] * matrix.weights[:, None], len(embeddings)), means.T @ error, error.sum(0)
+    error = (scores - smoothing) * weights[:, None] - (1 - 2 * smoothing) * wanted
+    down = np.ascontiguousarray((error @ outputs.T).T)
+    owner = np.repeat(np.arange(len(block.lengths)), block.lengths)
+    back = np.stack([np.bincount(block.words, d[owner] * block.part, len(block.local) + len(block.gram_lengths)) for d in down], 1)
+    spread = np.repeat(back[len(block.local) :] / block.gram_lengths[:, None], block.gram_lengths, axis=0)
+    to_grams = np.stack([np.bincount(block.grams, spread[:, k], len(grams)) for k in range(len(down))], 1)
+    return back[: len(block.local)], to_grams, means.T @ error, error.sum(0), float(weights.sum())
 
 
-def _train(spark: SparkSession, model: SubjectModel, matrix: _Words2Features, sentences: list[list[int]], labels: np.ndarray, weights: np.ndarray) -> None:
+def _train(model: SubjectModel, words: _Vocabulary, data: DataFrame, balance: np.ndarray, times: float) -> None:
     """Full-batch steps of Adam; the gradient is the sum over partitions, each a task of its own."""
-    rule = model.rule
-    soft = labels * (1 - 2 * rule.smoothing) + rule.smoothing
-    table = pa.table({"ids": pa.array(sentences, pa.list_(pa.int32())), "labels": pa.array(soft.tolist(), pa.list_(pa.float32())), "weight": pa.array(weights, pa.float32()), "part": pa.array(np.arange(len(sentences)) % rule.partitions, pa.int32())})
-    data = spark.createDataFrame(table, "ids array<int>, labels array<float>, weight float, part int").repartition(rule.partitions, "part").drop("part").persist()
+    rule, context = model.rule, data.sparkSession.sparkContext
     parameters = (model.embeddings, model.outputs, model.bias)
     state = [[np.zeros_like(p), np.zeros_like(p)] for p in parameters]
-    fixed = spark.sparkContext.broadcast(matrix)
+    known, shapes = len(words.lengths), None
     for step in range(1, rule.steps + 1):
-        sent = spark.sparkContext.broadcast(parameters)
+        sent = context.broadcast((words.vectors(model.embeddings).astype(np.float32), model.embeddings[known:], model.outputs, model.bias))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             total = None
             for b in batches:
-                if b.num_rows:
-                    lists, flags = b.column(0), b.column(1)
-                    part = _gradient(lists.offsets.to_numpy() - lists.offsets[0].as_py(), lists.flatten().to_numpy(), flags.flatten().to_numpy().reshape(b.num_rows, -1), b.column(2).to_numpy(), fixed.value, *sent.value)
-                    total = part if total is None else tuple(x + y for x, y in zip(total, part))
+                for row in b.to_pylist():
+                    block = _Block(row)
+                    to_words, *rest = _gradient(block, balance, times, rule.smoothing, *sent.value)
+                    if total is None:
+                        total = [np.zeros(sent.value[0].shape), *[np.zeros_like(x) for x in rest]]
+                    total[0][block.local] += to_words
+                    for k, x in enumerate(rest):
+                        total[k + 1] = total[k + 1] + x
             if total is not None:
-                yield pa.RecordBatch.from_arrays([pa.array([g.astype(np.float32).tobytes()], pa.binary()) for g in total], ["e", "o", "b"])
-
-        parts = data.mapInArrow(run, "e binary, o binary, b binary").collect()
-        sent.unpersist()
-        for k, (name, parameter) in enumerate(zip(("e", "o", "b"), parameters)):
-            grad = sum(np.frombuffer(p[name], np.float32).reshape(parameter.shape) for p in parts) / weights.sum()
+                yield pa.RecordBatch.from_arrays([pa.array([np.asarray(x, np.float32).tobytes()], pa.binary()) for x in total], ["w", "g", "o", "b", "n"])
+
+        parts = data.mapInArrow(run, "w binary, g binary, o binary, b binary, n binary").collect()
+        sent.destroy()
+        shapes = {"w": (known, rule.dimensions), "g": (rule.buckets, rule.dimensions), "o": model.outputs.shape, "b": model.bias.shape, "n": ()}
+        total = {k: sum(np.frombuffer(p[k], np.float32).reshape(shape) for p in parts) for k, shape in shapes.items()}
+        for k, (grad, parameter) in enumerate(zip((words.back(total["w"], total["g"]), total["o"], total["b"]), parameters)):
+            grad = grad / total["n"]
             first, second = state[k]
             first += 0.1 * (grad - first)
             second += 0.02 * (grad * grad - second)
             parameter -= rule.rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.98**step)) + 1e-8)
-    fixed.unpersist()
-    data.unpersist()
-
-
-def _scores(model: SubjectModel, sentences: list[list[str]]) -> np.ndarray:
-    memo: dict[str, np.ndarray] = {}
-    out = np.empty((len(sentences), model.outputs.shape[1]), np.float32)
-    for k, words in enumerate(sentences):
-        for w in words:
-            if w not in memo:
-                memo[w] = model.word_scores(w)
-        out[k] = np.average([memo[w] for w in words], axis=0, weights=[model.weight(w) for w in words]) + model.bias
-    return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
 
 
 def _with_context(scores: np.ndarray, home: np.ndarray) -> np.ndarray:
@@ -213,37 +339,83 @@ def _with_context(scores: np.ndarray, home: np.ndarray) -> np.ndarray:
     return weighed / np.maximum(weighed.sum(1, keepdims=True), 1e-9)
 
 
-def _balanced(labels: np.ndarray) -> np.ndarray:
-    """Weights by which every output has about as much of the positive cases as every other."""
-    per_output = np.maximum(labels.sum(0), 1)
-    weights = (labels / per_output).sum(1)
-    return (weights * len(labels) / weights.sum()).astype(np.float32)
+def _told(blocks: DataFrame, model: SubjectModel, words: _Vocabulary, seen: np.ndarray, least_known: float) -> DataFrame:
+    """Of each block the bags of sentences that join the training, with how many of them by output."""
+    rule = model.rule
+    sent = blocks.sparkSession.sparkContext.broadcast((words.vectors(model.embeddings).astype(np.float32), model.embeddings[len(seen) :], model.outputs, model.bias, seen))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, grams, outputs, bias, seen = sent.value
+        for b in batches:
+            for row in b.to_pylist():
+                block = _Block(row)
+                inside = np.concatenate([seen[block.local], np.zeros(len(block.gram_lengths), bool)])
+                vocabulary = np.arange(len(inside)) < len(block.local)
+                part = block.part * np.where(inside | ~seen.any(), 1, rule.unknown_weight)[block.words].astype(np.float32)
+                means = block.means(block.vectors(grams, own), part) / np.add.reduceat(part, block.starts)[:, None]
+                scores = (1 / (1 + np.exp(-np.clip(means @ outputs + bias, -30, 30))))[block.bags]
+                shares = _with_context(scores, np.repeat(np.arange(len(block.sentences)), block.sentences))
+                told, sure = (np.add.reduceat(block.part * flag[block.words], block.starts) for flag in (vocabulary, inside))
+                certain = ((shares > rule.sure).sum(1) == 1) & ((told > 0) & (sure >= least_known * told))[block.bags]
+                n, k = len(block.lengths), outputs.shape[1]
+                targets = np.bincount(block.bags[certain] * k + shares[certain].argmax(1), minlength=n * k).reshape(n, k)
+                kept = targets.sum(1) > 0
+                if kept.any():
+                    inner = np.repeat(kept, block.lengths)
+                    row |= {"words": _packed(block.words[inner], np.int32), "lengths": _packed(block.lengths[kept], np.int32), "part": _packed(block.part[inner], np.float32), "targets": _packed(targets[kept], np.float32), "bags": b"", "sentences": b""}
+                    yield _rows([row])
+
+    return blocks.mapInArrow(run, _Block.SCHEMA)
+
+
+def _summary(data: DataFrame, known: int, outputs: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many sentences each output has in data, and which words of the vocabulary occur."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        targets, seen = np.zeros(outputs), np.zeros(known, bool)
+        for b in batches:
+            for row in b.to_pylist():
+                block = _Block(row)
+                targets += block.targets.reshape(-1, outputs).sum(0, dtype=float)
+                seen[block.local[np.unique(block.words[block.words < len(block.local)])]] = True
+        yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in (targets.tobytes(), np.packbits(seen).tobytes())], ["t", "s"])
+
+    parts = data.mapInArrow(run, "t binary, s binary").collect()
+    targets = sum((np.frombuffer(p.t, float) for p in parts), np.zeros(outputs))
+    seen = np.zeros(known, bool)
+    for p in parts:
+        seen |= np.unpackbits(np.frombuffer(p.s, np.uint8), count=known).astype(bool)
+    return targets, seen
 
 
 def train_subjects(documents: DataFrame, subjects: DataFrame, examples: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rule: SubjectRule | None = None) -> SubjectModel:
-    """Fits the classifier on all examples and on sentences of at most sample_documents documents, chosen by the hash of their id.
+    """Fits the classifier on all examples and on the sentences of all documents.
 
     Besides the subjects there is an output for treating none of them, so that
-    a sentence of unknown words is not taken for one of no subject.  Sentences join
-    the training where one output is sure, in the light of their document's other
-    sentences, and half of their weight is in known words, less in later rounds.
+    a sentence of unknown words is not taken for one of no subject.  Words are
+    counted over all texts; the vocabulary has those of at least two sentences,
+    and the driver and each task hold it.  Sentences join the training where one
+    output is sure, in the light of their document's other sentences, and half of
+    their weight is in known words, less in later rounds.  However many join, the
+    examples keep labelled_share of the training.  id_col isn't used: rows count,
+    whatever their id.
     """
     rule = rule or SubjectRule()
+    spark = documents.sparkSession
     names = sorted({r.subject for r in subjects.select("subject").where("subject is not null").distinct().limit(10_000).collect()})
     given = examples.select("subject", "text").where("text is not null").limit(1_000_000).collect()
     by_text: dict[str, set[str]] = {}
     for r in given:
         by_text.setdefault(r.text, set()).update([r.subject] if r.subject in names else [])
     labelled = [(s, [*(float(n in found) for n in names), float(not found)]) for text, found in by_text.items() if (s := [w for part in sentences_of(text) for w in part])]
-    texts = documents.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    share = min(1.0, rule.sample_documents / max(texts.count(), 1))
-    drawn = texts.where(F.pmod(F.xxhash64("id"), F.lit(1 << 40)) < F.lit(share * float(1 << 40))).select("text").collect()
-    found = {(d, tuple(s)) for d, r in enumerate(sorted(drawn, key=lambda r: r.text)) for s in sentences_of(r.text) if len(s) <= 60}
-    kept = sorted(found, key=lambda s: xxhash.xxh64_intdigest(f"{s[0]} {' '.join(s[1])}".encode("utf-8", "surrogatepass")))[: rule.sample_sentences]
-    sample, home = [list(s) for _, s in kept], np.array([d for d, _ in kept], np.int64)
-
-    counts = Counter(w for s in [*(s for s, _ in labelled), *sample] for w in set(s))
-    vocabulary = {w: k for k, w in enumerate(sorted(w for w, n in counts.items() if n > 1))}
+    texts = documents.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"))
+
+    sentences = spark.createDataFrame(pa.table({"text": pa.array([" ".join(s) for s, _ in labelled], pa.string())}), "text string")
+    counts = cut(_counted(texts.union(sentences)))
+    total = counts.agg(F.coalesce(F.sum("occurrences"), F.lit(0))).first()[0]
+    told = counts.where("sentences > 1").orderBy("word").select("word", "occurrences").toArrow()
+    vocabulary = {w: k for k, w in enumerate(told.column(0).to_pylist())}
+    importance = rule.common / (rule.common + told.column(1).to_numpy() / max(total, 1))
     rng = np.random.default_rng(rule.seed)
     model = SubjectModel(
         names,
@@ -256,28 +428,38 @@ def train_subjects(documents: DataFrame, subjects: DataFrame, examples: DataFram
     if not labelled:
         model.outputs[:], model.bias[:] = 0, -30
         return model
-    words = sorted(counts)
-    number = {w: k for k, w in enumerate(words)}
-    features = [model.word_features(w) for w in words]
-    bounds = np.concatenate([[0], np.cumsum([len(r) for r, _ in features])])
-    occurrences = Counter(w for s in [*(s for s, _ in labelled), *sample] for w in s)
-    model.importance = {w: rule.common / (rule.common + occurrences[w] / occurrences.total()) for w in vocabulary}
-    matrix = _Words2Features(bounds, np.array([x for r, _ in features for x in r], np.int64), np.array([x for _, p in features for x in p], np.float32), np.array([model.weight(w) for w in words]))
-    base_x, base_y = [[number[w] for w in s] for s, _ in labelled], np.array([y for _, y in labelled], np.float32)
-    numbers = [[number[w] for w in s] for s in sample]
-    told = [[number[w] for w in s if w in vocabulary] for s in sample]
-    train_x, train_y = base_x, base_y
+    model.importance = dict(zip(vocabulary, importance.tolist()))
+    lists = pa.array((_grams(w, rule.buckets) for w in vocabulary), pa.list_(pa.int32()))
+    words = _Vocabulary(lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy()))
+    shared = spark.sparkContext.broadcast((vocabulary, importance))
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _blocks_of(_texts_of(batches), rule.block_words):
+            yield _rows([_block(part, *shared.value, rule)])
+
+    tasks = max(rule.partitions, spark.sparkContext.defaultParallelism)
+    blocks = cut(texts.mapInArrow(number, _Block.SCHEMA)).repartition(tasks).persist()
+    shares = np.array([y for _, y in labelled], np.float32)
+    own = [_block([[s] for s, _ in labelled[k : k + 20_000]], vocabulary, importance, rule, shares[k : k + 20_000]) for k in range(0, len(labelled), 20_000)]
+    base = spark.createDataFrame(pa.Table.from_batches([_rows(own)]), _Block.SCHEMA).repartition(min(len(own), tasks)).persist()
+    base_targets, base_seen = _summary(base, len(vocabulary), len(names) + 1)
+    joined, targets, seen, times = None, np.zeros(len(names) + 1), base_seen, 1.0
     for turn in range(rule.rounds):
-        _train(documents.sparkSession, model, matrix, train_x, train_y, _balanced(train_y))
-        seen = {k for s in train_x for k in s if words[k] in vocabulary}
-        model.seen = {words[k] for k in seen}
-        if turn < rule.rounds - 1 and sample:
-            scores = _with_context(_scores(model, sample), home)
-            certain = (scores > rule.sure).sum(1) == 1
-            certain &= np.array([bool(s) and sum(matrix.importance[k] for k in s if k in seen) >= rule.known_words * min(1.0, 3 / (turn + 1)) * sum(matrix.importance[k] for k in s) for s in told])
-            chosen = np.flatnonzero(certain)
-            train_x = base_x * 4 + [numbers[k] for k in chosen]
-            train_y = np.concatenate([base_y] * 4 + [(scores[chosen] > 0.5).astype(np.float32)])
+        balance = 1 / np.maximum(times * base_targets + targets, 1)
+        _train(model, words, base if joined is None else base.union(joined), balance, times)
+        if turn < rule.rounds - 1:
+            before = joined
+            joined = _told(blocks, model, words, seen, rule.known_words * min(1.0, 3 / (turn + 1))).persist()
+            targets, found = _summary(joined, len(vocabulary), len(names) + 1)
+            if before is not None:
+                before.unpersist()
+            seen = base_seen | found
+            times = max(4.0, rule.labelled_share / (1 - rule.labelled_share) * targets.sum() / len(labelled))
+    model.seen = {w for w, k in vocabulary.items() if seen[k]}
+    for x in (joined, base, blocks):
+        if x is not None:
+            x.unpersist()
+    shared.unpersist()
     return model
 
 

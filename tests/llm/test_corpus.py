@@ -219,3 +219,20 @@ def test_subjects_held_out(spark):
     for r in subjects.document_subjects(frame, subjects.train_subjects(frame, topics, examples)).collect():
         got[r.doc_id].add(r.subject)
     assert sum(got[i] == truth[i] for i in truth) / len(truth) > 0.95
+
+
+def test_subjects_count_every_document(spark):
+    texts = [" ".join(f"word{chr(97 + i // 2 % 26)}{chr(97 + i // 52 % 26)}{chr(97 + i // 1352)} battery{'s' * (k % 3)}." for k in range(7)) for i in range(2000)]
+    texts.append(" ".join(["endless"] * 70) + ". An endless line.")
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    topics = spark.createDataFrame([("power",)], "subject string")
+    examples = spark.createDataFrame([("power", "The battery drains")], "subject string, text string")
+    rule = subjects.SubjectRule(rounds=1, steps=1)
+    model = subjects.train_subjects(frame, topics, examples, rule=rule)
+    counts = {}
+    for t in [*texts, "The battery drains"]:
+        for w in t.lower().replace(".", "").split():
+            counts[w] = counts.get(w, 0) + 1
+    once = {"the", "drains", "an", "line"}
+    assert set(model.vocabulary) == set(counts) - once
+    assert all(model.importance[w] == pytest.approx(rule.common / (rule.common + counts[w] / sum(counts.values()))) for w in model.vocabulary)
