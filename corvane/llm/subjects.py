@@ -44,6 +44,8 @@ class SubjectRule:
     common: float = 0.0005
     unknown_weight: float = 0.25
     least_margin: float = -2.0
+    most_subjects: int = 10_000
+    most_examples: int = 1_000_000
     seed: int = 11
 
 
@@ -402,8 +404,12 @@ def train_subjects(documents: DataFrame, subjects: DataFrame, examples: DataFram
     """
     rule = rule or SubjectRule()
     spark = documents.sparkSession
-    names = sorted({r.subject for r in subjects.select("subject").where("subject is not null").distinct().limit(10_000).collect()})
-    given = examples.select("subject", "text").where("text is not null").limit(1_000_000).collect()
+    names = sorted(r.subject for r in subjects.select("subject").where("subject is not null").distinct().limit(rule.most_subjects + 1).collect())
+    if len(names) > rule.most_subjects:
+        raise ValueError(f"more than {rule.most_subjects} subjects")
+    given = examples.select("subject", "text").where("text is not null").limit(rule.most_examples + 1).collect()
+    if len(given) > rule.most_examples:
+        raise ValueError(f"more than {rule.most_examples} labelled examples")
     by_text: dict[str, set[str]] = {}
     for r in given:
         by_text.setdefault(r.text, set()).update([r.subject] if r.subject in names else [])

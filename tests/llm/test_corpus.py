@@ -236,3 +236,13 @@ def test_subjects_count_every_document(spark):
     once = {"the", "drains", "an", "line"}
     assert set(model.vocabulary) == set(counts) - once
     assert all(model.importance[w] == pytest.approx(rule.common / (rule.common + counts[w] / sum(counts.values()))) for w in model.vocabulary)
+
+
+def test_subjects_refuse_more_than_they_take(spark):
+    frame = spark.createDataFrame([(1, "The battery drains.")], "doc_id long, text string")
+    topics = spark.createDataFrame([("power",), ("screen",)], "subject string")
+    examples = spark.createDataFrame([("power", "The battery drains"), ("screen", "The display flickers")], "subject string, text string")
+    with pytest.raises(ValueError, match="subjects"):
+        subjects.train_subjects(frame, topics, examples, rule=subjects.SubjectRule(most_subjects=1))
+    with pytest.raises(ValueError, match="examples"):
+        subjects.train_subjects(frame, topics, examples, rule=subjects.SubjectRule(most_examples=1))
