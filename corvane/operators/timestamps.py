@@ -51,7 +51,7 @@ _DATES = [
 ]
 _TIME = r"(?P<H>99?):(?P<M>99)(?::(?P<S>99)(?:[.,](?P<f>9+))?)?"
 _COMPACT_TIME = r"(?P<H>99)(?P<M>99)(?P<S>99)?(?:[.,](?P<f>9+))?"
-_TAIL = r"(?: ?(?P<word1>A+))?(?: ?(?P<sign>[-+])(?P<oh>99):?(?P<om>99)?)?(?: ?[\[(]?(?P<word2>A[A/_+-]*)[\])]?)?"
+_TAIL = r"(?: ?(?P<word1>A+)(?![A/_]))?(?: ?(?P<sign>[-+])(?P<oh>99):?(?P<om>99)?)?(?: ?[\[(]?(?P<word2>A[A/_+-]*)[\])]?)?"
 _SHAPES = [re.compile(f"{d}(?:(?:(?P<t>A)|,? ){_TIME}{_TAIL})?") for d in _DATES]
 _SHAPES.append(re.compile(f"{_DATES[1]}(?P<t>A){_COMPACT_TIME}{_TAIL}"))
 _SHAPES.append(re.compile(f"{_DATES[1]}{_COMPACT_TIME}"))
@@ -82,8 +82,6 @@ def _plain(text: str) -> str:
 @lru_cache(maxsize=50_000)
 def compile_mask(mask: str) -> tuple[dict[str, tuple[int, int]], ...]:
     """The readings of a mask: the span of each field in it, or () where it is no time."""
-    if len(mask) > 64:
-        return ()
     if _COUNT.fullmatch(mask) and len(mask) not in (12, 14):
         return ({"count": (0, len(mask))},)
     found = []
@@ -106,8 +104,8 @@ def _days(y: np.ndarray, m: np.ndarray, d: np.ndarray, ok: np.ndarray) -> tuple[
 class Converter:
     """Turns arrays of (written time, source) into UTC strings or marks. One per worker; holds only small tables."""
 
-    def __init__(self, zones: ZoneTable, homes: dict[str, tuple[str, str]], abbreviations: dict[str, int], first_us: int, last_us: int):
-        self.zones, self.homes, self.first_us, self.last_us = zones, homes, first_us, last_us
+    def __init__(self, zones: ZoneTable, homes: dict[str, tuple[str, str]], abbreviations: dict[str, int], first_us: int, last_us: int, longest: int = 128):
+        self.zones, self.homes, self.first_us, self.last_us, self.longest = zones, homes, first_us, last_us, longest
         self.abbreviations = {k.upper(): v for k, v in abbreviations.items()} | {"Z": 0}
         self.by_lower = {z.lower(): z for z in zones.rules}
 
@@ -128,7 +126,8 @@ class Converter:
         plain = [_plain(t) for t in times]
         groups: dict[str, list[int]] = {}
         for i, t in enumerate(plain):
-            groups.setdefault(t.translate(_CLASSES), []).append(i)
+            if len(t) <= self.longest:
+                groups.setdefault(t.translate(_CLASSES), []).append(i)
         for mask, rows in groups.items():
             readings = compile_mask(mask)
             if not readings:
@@ -294,11 +293,13 @@ def normalise_timestamps(
     source_col: str = "source",
     first_year: int = 2022,
     last_year: int = 2026,
+    longest: int = 128,
 ) -> DataFrame:
     """(id, utc_ts): one row per input row whose time is not null.
 
     `utc_ts` is YYYY-MM-DDTHH:MM:SS.ffffffZ or one of ambiguous, skipped,
-    unreadable.  Empty, blank and very long texts are unreadable, as is an
+    unreadable.  Empty and blank texts are unreadable, as is one that has more
+    than `longest` characters once padding and quotes around it are gone, an
     instant outside first_year..last_year, a zone-less time of a source without
     home zone, and a numeric date of a source without date order.  Rows with a
     null id keep it; repeated rows stay repeated; other columns are left out, so
@@ -317,7 +318,7 @@ def normalise_timestamps(
     high = int(np.datetime64(f"{last_year + 1:04d}-01-01", "us").astype(np.int64)) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        converter = Converter(zones, homes, short, low, high)
+        converter = Converter(zones, homes, short, low, high, longest)
         for b in batches:
             if b.num_rows:
                 texts = converter.convert(b.column(1).to_pylist(), b.column(2).to_pylist())

@@ -50,6 +50,15 @@ CASES = [
     ("forum", "26 Mar 2023", "2023-03-25T23:00:00.000000Z"),
     ("yt", "2023-06-01 12:00:00[Europe/London]", "2023-06-01T11:00:00.000000Z"),
     ("yt", "2023-06-01T12:00:00 (UTC)", "2023-06-01T12:00:00.000000Z"),
+    ("yt", "2023-02-13 15:23:57 America/Los_Angeles", "2023-02-13T23:23:57.000000Z"),
+    ("forum", "2023-02-13T15:23:57 America/Los_Angeles", "2023-02-13T23:23:57.000000Z"),
+    ("yt", "2023-02-13 15:23:57 Asia/Kolkata", "2023-02-13T09:53:57.000000Z"),
+    ("yt", "2023-02-13T15:23:57 Asia/Kolkata", "2023-02-13T09:53:57.000000Z"),
+    ("yt", "2023-02-13 03:23:57 PM Asia/Kolkata", "2023-02-13T09:53:57.000000Z"),
+    ("yt", "2023-11-05 01:30:00 America/Los_Angeles", "ambiguous"),
+    ("yt", "2023-02-13 15:23:57 Nowhere/Atall", "unreadable"),
+    ("yt", "2023-02-13T15:23:57." + "1234567890" * 10 + "Z", "2023-02-13T15:23:57.123456Z"),
+    ("yt", "2023-02-13T15:23:57." + "1" * 200 + "Z", "unreadable"),
     ("yt", "1672553429", "2023-01-01T06:10:29.000000Z"),
     ("yt", "1672553429123", "2023-01-01T06:10:29.123000Z"),
     ("yt", "1672553429123456", "2023-01-01T06:10:29.123456Z"),
