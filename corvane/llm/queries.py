@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from corvane.llm import canonical, languages, mixing, near_duplicates, pii, splitting, subjects, tokens
 from corvane.sources.tables import table
 
+# Every character that counts as white space; patterns that Java and RE2 both read.
+SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+BLANK_LINE = r"(?:\r\n?|\n)[^\S\r\n]*(?:\r\n?|\n)"
+EDGES = f"^{SPACE}+|{SPACE}+$"
+MARKUP = r"\n(?:#|<)"
+
 
 def p2_found(spark: SparkSession, directory: str) -> DataFrame:
     """The language stretches of comments whose label is missing or wrong, or that have several."""
@@ -45,6 +51,16 @@ def p4_comment_pieces(spark: SparkSession, directory: str) -> DataFrame:
     return splitting.split_items(table(spark, directory, "comments").select("source_id", "text").distinct(), id_col="source_id")
 
 
+def p4_whole_paragraphs(spark: SparkSession, directory: str) -> DataFrame:
+    """The paragraphs of oversized comments that stand whole in a piece: all that fit the limit."""
+    comments = table(spark, directory, "comments").select("source_id", "text").distinct()
+    long = comments.where(F.length("text") > splitting.SplitRule().limit)
+    parts = long.select("source_id", F.explode(F.split("text", BLANK_LINE)).alias("part"))
+    wanted = parts.select("source_id", F.regexp_replace("part", EDGES, "").alias("paragraph")).where(~F.col("paragraph").rlike(MARKUP) & (F.length("paragraph").between(1, splitting.SplitRule().limit))).distinct()
+    pieces = splitting.split_items(comments, id_col="source_id", only_oversized=True).select("source_id", "piece_text")
+    return wanted.join(pieces, "source_id").where(F.col("piece_text").contains(F.col("paragraph"))).select("source_id", "paragraph").distinct()
+
+
 def p4_chunk_pieces(spark: SparkSession, directory: str) -> DataFrame:
     """The pieces of every chunk, with the comments that each touches."""
     return splitting.split_chunks(table(spark, directory, "chunks"), table(spark, directory, "pseudo_spans"))
@@ -116,6 +132,7 @@ QUERIES = {
     "p3_forms": p3_forms,
     "p4_found": p4_found,
     "p4_comment_pieces": p4_comment_pieces,
+    "p4_whole_paragraphs": p4_whole_paragraphs,
     "p4_chunk_pieces": p4_chunk_pieces,
     "p5_found": p5_found,
     "p5_groups": p5_groups,
@@ -127,4 +144,16 @@ QUERIES = {
     "p9_found": p9_found,
     "p9_composition": p9_composition,
 }
-ORACLES: dict[str, str] = {}
+
+_TEXTS = "SELECT DISTINCT 'comment' AS item_kind, source_id AS item_id, text FROM comments UNION SELECT 'chunk', chunk_id, text FROM chunks"
+ORACLES: dict[str, str] = {
+    "p4_found": f"""
+        SELECT item_kind, item_id, unnest(CASE WHEN regexp_matches(text, '[^{SPACE[1:]}{{513}}')
+               THEN ['oversized', 'unbreakable'] ELSE ['oversized'] END) AS case_kind
+        FROM ({_TEXTS}) WHERE length(text) > 512""",
+    "p4_whole_paragraphs": f"""
+        SELECT DISTINCT source_id, paragraph FROM (
+            SELECT source_id, regexp_replace(unnest(regexp_split_to_array(text, '{BLANK_LINE}')), '{EDGES}', '', 'g') AS paragraph
+            FROM (SELECT DISTINCT source_id, text FROM comments WHERE length(text) > 512))
+        WHERE length(paragraph) BETWEEN 1 AND 512 AND NOT regexp_matches(paragraph, '{MARKUP}')""",
+}

@@ -1,9 +1,10 @@
 """Cutting oversized texts at natural boundaries, with an overlap between consecutive pieces.
 
-A text is read as a tree: sections (at headings), paragraphs, lines and list
-items, sentences, words, characters.  Siblings that fit together are merged up
-to the limit; only a node that is itself too large is opened.  Its last piece
-may still take in the siblings that follow.
+A text is read as a tree: sections nested by the depth of their headings,
+paragraphs, list items nested by indent, lines, sentences, words, characters.
+A node that fits the limit is a leaf and never cut; only an oversized node is
+opened.  Each opened node packs the pieces of its children, siblings merging
+while they fit together, and hands the result up to its parent.
 """
 
 from __future__ import annotations
@@ -17,14 +18,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvane.operators.durable import cut
+
+_BULLET = r"(?:[-*+•] |\d{1,3}[.)] |<li[ >])"
 # Where a node of each level ends; a separator stays with the node before it.
 LEVELS = [
-    ("section", re.compile(r"\n(?=#{1,6} |<h[1-6][ >])")),
-    ("paragraph", re.compile(r"(?:\r\n?|\n)[^\S\r\n]*(?:(?:\r\n?|\n)\s*)+")),
+    *[("section", re.compile(rf"\n(?=#{{1,{depth}}} |<h[1-{depth}][ >])")) for depth in range(1, 7)],
+    ("paragraph", re.compile(r"(?:\r\n?|\n)[^\S\r\n]*(?:(?:\r\n?|\n)\s*)+|\n(?=<(?:p|div|ul|ol|table|blockquote|pre)[ >])")),
+    *[("item", re.compile(rf"\n(?={indent}{_BULLET})")) for indent in ("", "(?: {2,3}|\t)?", "[ \t]*")],
     ("line", re.compile(r"(?:\r\n?|\n)")),
     ("sentence", re.compile(r"[.!?…।。！？]+[\"'”’)\]]*\s+")),
     ("word", re.compile(r"\s+")),
 ]
+_BELOW_SECTIONS = 6
+_BELOW_LINES = len(LEVELS) - 2
 CHARACTER = "character"
 
 
@@ -43,40 +50,62 @@ def _children(text: str, start: int, end: int, level: int) -> list[tuple[int, in
     return list(zip(bounds, bounds[1:]))
 
 
-def _solid(text: str, start: int, end: int) -> int:
-    """The length of a node without the white space at its end: what a piece must hold of it."""
+def _core(text: str, start: int, end: int) -> tuple[int, int]:
+    """The span without white space around it: what a piece must hold of it."""
     while end > start and text[end - 1].isspace():
         end -= 1
-    return end - start
+    while start < end and text[start].isspace():
+        start += 1
+    return start, end
 
 
-def _by_characters(text: str, start: int, end: int, room: int) -> Iterator[tuple[int, int]]:
+def _by_characters(text: str, start: int, end: int, rule: SplitRule) -> Iterator[tuple[int, int]]:
     """Cuts of a run without white space; a mark stays with the character that it is put on."""
+    room = rule.limit - rule.overlap
     while end - start > room:
-        cut = start + room
-        while cut > start + 1 and (unicodedata.combining(text[cut]) or text[cut] in "‍️"):
-            cut -= 1
-        yield start, cut if cut > start + 1 else start + room
-        start = cut if cut > start + 1 else start + room
+        at = start + room
+        while at > start + 1 and (unicodedata.combining(text[at]) or text[at] in "\u200d\ufe0f"):
+            at -= 1
+        if at == start + 1:
+            at = start + room
+        yield start, at
+        start = at
     yield start, end
 
 
-def _pack(text: str, start: int, end: int, level: int, rule: SplitRule, pieces: list[tuple[int, int, str]]) -> None:
-    """Appends (start, end, boundary at its end) for the node; merges into the last piece where both fit and touch."""
-    room = rule.limit - rule.overlap
-    for a, z in _children(text, start, end, level):
-        solid = _solid(text, a, z)
-        if pieces and pieces[-1][1] == a and a > start and a + solid - pieces[-1][0] <= room and pieces[-1][2] != CHARACTER:
-            pieces[-1] = (pieces[-1][0], z, LEVELS[level][0])
-        elif solid <= room:
-            pieces.append((a, z, LEVELS[level][0]))
-        elif level + 1 < len(LEVELS):
-            _pack(text, a, z, level + 1, rule, pieces)
-        elif solid <= rule.limit:
-            pieces.append((a, z, LEVELS[level][0]))
-        else:
-            cuts = list(_by_characters(text, a, a + solid, room))
-            pieces += [(p, q, CHARACTER) for p, q in cuts[:-1]] + [(cuts[-1][0], z, LEVELS[level][0])]
+def _packed(text: str, start: int, end: int, level: int, outer: str, rule: SplitRule, begin: int) -> list[tuple[int, int, str]]:
+    """(start, end, boundary at its end) of the node's pieces, which cover it; outer is the boundary at the node's own end.
+
+    Children are packed first; then neighbours merge as far as they fit together
+    and leave room for the overlap, which the piece at the text's begin doesn't need.
+    """
+    a, z = _core(text, start, end)
+    if z - a <= rule.limit:
+        return [(start, end, outer)]
+    if level == len(LEVELS):
+        cuts = list(_by_characters(text, a, z, rule))
+        cuts = [(start, cuts[0][1]), *cuts[1:]]
+        return [*((p, q, CHARACTER) for p, q in cuts[:-1]), (cuts[-1][0], end, outer)]
+    children = _children(text, start, end, level)
+    if len(children) == 1:
+        return _packed(text, start, end, level + 1, outer, rule, begin)
+    out: list[tuple[int, int, str]] = []
+    for k, (p, q) in enumerate(children, 1):
+        for piece in _packed(text, p, q, level + 1, outer if k == len(children) else LEVELS[level][0], rule, begin):
+            if out and out[-1][2] != CHARACTER:
+                low, high = _core(text, out[-1][0], piece[1])
+                if high - low <= rule.limit - (rule.overlap if low > begin else 0):
+                    out[-1] = (out[-1][0], *piece[1:])
+                    continue
+            out.append(piece)
+    return out
+
+
+def _first_level(text: str) -> int:
+    """The highest level at which a text can be cut at all: most have neither headings nor lines."""
+    if "\n#" in text or "\n<h" in text:
+        return 0
+    return _BELOW_SECTIONS if "\n" in text or "\r" in text else _BELOW_LINES
 
 
 def spans_of(text: str, rule: SplitRule) -> list[tuple[int, int, str]]:
@@ -84,31 +113,23 @@ def spans_of(text: str, rule: SplitRule) -> list[tuple[int, int, str]]:
 
     The boundary is where the piece's end was cut; the last one's is `end`.
     All characters but white space at cuts are in some piece.  A text within
-    the limit is one piece, as it is.
+    the limit is one piece, as it is.  No node that fits the limit is cut: the
+    overlap takes only the room that the piece's own nodes leave.
     """
     if len(text) <= rule.limit:
         return [(0, len(text), "end")]
-    fresh: list[tuple[int, int, str]] = []
-    _pack(text, 0, len(text), 0, rule, fresh)
-    pieces = []
-    for k, (a, z, boundary) in enumerate(fresh):
-        z = a + _solid(text, a, z)
-        while a < z and text[a].isspace():
-            a += 1
+    pieces: list[tuple[int, int, str]] = []
+    after_characters = False
+    for start, end, boundary in _packed(text, 0, len(text), _first_level(text), "end", rule, _core(text, 0, len(text))[0]):
+        a, z = _core(text, start, end)
         if a == z:
             continue
         if pieces:
             low = max(pieces[-1][0] + 1, a - rule.overlap, z - rule.limit)
-            first = a
-            for m in re.finditer(r"(?<=\s)\S", text[max(low - 1, 0) : a]):
-                first = max(low - 1, 0) + m.start()
-                break
-            if first == a and low < a and fresh[k - 1][2] == CHARACTER:
-                first = low
-            if first < low:
-                first = a
-            a = first
+            word = re.compile(r"(?<=\s)\S").search(text, low, a)
+            a = word.start() if word else min(low, a) if after_characters else a
         pieces.append((a, z, boundary))
+        after_characters = boundary == CHARACTER
     if pieces:
         pieces[-1] = (*pieces[-1][:2], "end")
     return pieces or [(0, 0, "end")]
@@ -156,15 +177,10 @@ def split_chunks(chunks: DataFrame, spans: DataFrame, *, rule: SplitRule | None
     several times with the same text and place counts once.
     """
     once = chunks.where("text is not null").select(F.struct("chunk_id", "doc_id", F.col("start_pos").alias("chunk_start")).alias("key"), "text").distinct()
-    pieces = split_items(once, id_col="key", rule=rule).select("key.*", "piece_no", "piece_text", "start_pos", "end_pos")
-    placed = pieces.select("chunk_id", "doc_id", "chunk_start", "piece_no", (F.col("chunk_start") + F.col("start_pos")).alias("a"), (F.col("chunk_start") + F.col("end_pos")).alias("z"))
+    pieces = cut(split_items(once, id_col="key", rule=rule).select("key.*", "piece_no", "piece_text", "start_pos", "end_pos").withColumn("piece_key", F.monotonically_increasing_id()))
+    placed = pieces.select("piece_key", "doc_id", (F.col("chunk_start") + F.col("start_pos")).alias("a"), (F.col("chunk_start") + F.col("end_pos")).alias("z"))
     known = spans.select(F.col("doc_id").alias("span_doc"), "source_id", F.col("start_pos").alias("from_pos"), F.col("end_pos").alias("to_pos")).distinct()
     touches = placed.join(known, (F.col("doc_id") == F.col("span_doc")) & (F.col("from_pos") < F.col("z")) & (F.col("to_pos") > F.col("a")))
-    piece = ["chunk_id", "doc_id", "chunk_start", "piece_no"]
-    ids = touches.groupBy(*piece).agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("from_pos", "source_id"))), lambda s: s.source_id)).alias("source_ids"))
-    ids = ids.select(*[F.col(c).alias(f"of_{c}") for c in piece], "source_ids")
-    match = F.lit(True)
-    for c in piece:
-        match = match & F.col(c).eqNullSafe(F.col(f"of_{c}"))
+    ids = touches.groupBy("piece_key").agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("from_pos", "source_id"))), lambda s: s.source_id)).alias("source_ids"))
     none = F.array().cast("array<string>")
-    return pieces.join(ids, match, "left").select("chunk_id", "piece_no", "piece_text", "start_pos", "end_pos", F.coalesce("source_ids", none).alias("source_ids"))
+    return pieces.join(ids, "piece_key", "left").select("chunk_id", "piece_no", "piece_text", "start_pos", "end_pos", F.coalesce("source_ids", none).alias("source_ids"))

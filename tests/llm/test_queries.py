@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
+import duckdb
 import pytest
 
-from corvane.llm.queries import QUERIES
+from corvane.llm.queries import ORACLES, QUERIES
 
 COLUMNS = {
     "p2_found": ["source_id", "seg_no", "lang"],
@@ -28,3 +31,13 @@ def test_query(spark, small, name):
             assert len(rows) == len(set(rows))
         if name.endswith("_a"):
             assert all(r[0] < r[1] for r in rows)
+
+
+@pytest.mark.parametrize("name", list(ORACLES))
+def test_against_sql(spark, small, name):
+    with duckdb.connect() as connection:
+        for p in Path(small).glob("*.parquet"):
+            connection.sql(f"CREATE VIEW {p.stem} AS SELECT * FROM '{p}'")
+        expected = connection.sql(ORACLES[name])
+        found = QUERIES[name](spark, small).select(*expected.columns)
+        assert sorted(map(tuple, found.collect())) == sorted(expected.fetchall())

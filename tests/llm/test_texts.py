@@ -70,6 +70,35 @@ def test_pieces(text, rule):
         assert pieces == [(0, len(text), "end")]
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(["word ", "ab. ", " ", "\n", "\n\n", "x" * 9, "# Head\n", "## Sub\n", "### Low\n", "\n- item ", "\n  - inner ", "!? ", "long sentence here. "]), max_size=80).map("".join), st.sampled_from([splitting.SplitRule(120, 30), splitting.SplitRule(60, 10), splitting.SplitRule(40, 39)]))
+def test_no_node_that_fits_is_cut(text, rule):
+    pieces = splitting.spans_of(text, rule)
+    headings = [(m.start(), len(m.group(1))) for m in re.finditer(r"(?m)^(#+) ", text)]
+    nodes = [(a, next((b for b, e in headings if b > a and e <= d), len(text))) for a, d in headings]
+    for between in (r"\n\s*\n\s*", r"\n", r"(?<=[.!?])\s+|\n", r"\s+"):
+        bounds = sorted({0, *(m.end() for m in re.finditer(between, text)), *(a for a, _ in headings), len(text)})
+        nodes += zip(bounds, bounds[1:])
+    for a, z in nodes:
+        a, z = a + len(text[a:z]) - len(text[a:z].lstrip()), a + len(text[a:z].rstrip())
+        if a < z and z - a <= rule.limit:
+            assert any(p <= a and z <= q for p, q, _ in pieces), (text[a:z], pieces)
+
+
+def test_a_paragraph_near_the_limit_stays_whole():
+    middle = "m" * 9 + (" word" * 94) + " e"
+    text = f"A short paragraph, but not so short that the next one fits beside it.\n\n{middle}\n\nThe last one is short too."
+    pieces = splitting.spans_of(text, splitting.SplitRule())
+    assert [b for *_, b in pieces] == ["paragraph", "paragraph", "end"]
+    assert any(text[a:z].endswith(middle) for a, z, _ in pieces)
+
+
+def test_sections_and_items_nest():
+    text = "# One\n" + "a b. " * 10 + "\n## Deep\n" + "c d. " * 20 + "\n# Two\n- x\n  - y y y\n  - z z z\n- w\n" + "e f. " * 8
+    pieces = splitting.spans_of(text, splitting.SplitRule(150, 10))
+    assert {b for *_, b in pieces[:-1]} == {"section"}
+
+
 def test_natural_cuts_come_first():
     text = "\n\n".join(f"Paragraph {i} has one sentence. And another one follows it here." for i in range(12))
     pieces = splitting.spans_of(text, splitting.SplitRule(200, 40))
