@@ -7,7 +7,12 @@ from dataclasses import dataclass, replace
 
 @dataclass(frozen=True)
 class RetrievalConfig:
-    """One arm's settings. retrieval: dense, sparse or hybrid; rerank: always, never, auto or llm."""
+    """One arm's settings.
+
+    retrieval: dense, sparse or hybrid; rerank: always, never, auto or llm; mode:
+    plain, crag (the corrective loop) or agent (with tools); grader: threshold or
+    llm; loop: plain or graph, two drivers of the same steps.
+    """
 
     retrieval: str = "dense"
     rerank: str = "never"
@@ -28,14 +33,17 @@ class RetrievalConfig:
     correction_rounds: int = 2
     widen_factor: int = 2
     relax_step: float = 0.1
+    reformulate: bool = True
+    grader: str = "threshold"
+    loop: str = "graph"
     tool_steps: int = 6
-    corrective: bool = False
+    mode: str = "plain"
 
     def __post_init__(self) -> None:
-        if self.retrieval not in ("dense", "sparse", "hybrid"):
-            raise ValueError(f"unknown retrieval {self.retrieval!r}")
-        if self.rerank not in ("always", "never", "auto", "llm"):
-            raise ValueError(f"unknown rerank policy {self.rerank!r}")
+        known = {"retrieval": ("dense", "sparse", "hybrid"), "rerank": ("always", "never", "auto", "llm"), "mode": ("plain", "crag", "agent"), "grader": ("threshold", "llm"), "loop": ("plain", "graph")}
+        for name, values in known.items():
+            if getattr(self, name) not in values:
+                raise ValueError(f"unknown {name} {getattr(self, name)!r}")
 
     @property
     def policy(self) -> str:
@@ -47,6 +55,11 @@ class RetrievalConfig:
         """Candidates of the first stage: as many as are asked for, more where they may be reranked."""
         return self.k if self.policy == "never" else max(self.rerank_candidates, self.k)
 
+    @property
+    def deepest(self) -> int:
+        """Candidates of the corrective loop's last round, were it only to widen."""
+        return self.rerank_candidates * self.widen_factor**self.correction_rounds
+
     @property
     def tag(self) -> str:
         """Names artifacts: chunk size and overlap, and the embedder, so that another embedder never meets old vectors."""

@@ -39,6 +39,29 @@ def phrase_pattern(phrase: str) -> str:
     return f"(?:^|[^{LETTER}])" + r"[\s-]+".join(words) + f"(?:$|[^{LETTER}])"
 
 
+_RUN = re.compile(r"[^\W]+")
+
+
+def phrase_anchor(phrases: list[str]) -> tuple[str, bool] | None:
+    """The longest run of letters and digits that a text must hold as a token to hold all phrases, and whether a longer token may begin with it; None without any.
+
+    Tokens are those of anchor_tokens.
+    """
+    found = []
+    for phrase in phrases:
+        for word in phrase.lower().split():
+            stem = word.endswith("*")
+            body = re.sub(r"(?<=[0-9])(?=[a-z])", " ", word.rstrip("*"))
+            runs = [(m.group(), stem and m.end() == len(body)) for m in _RUN.finditer(body)]
+            found += runs
+    return max(found, key=lambda r: (len(r[0]), not r[1], r[0]), default=None)
+
+
+def anchor_tokens(low: Column) -> Column:
+    """The distinct tokens of a lower-cased text, parted where a letter follows a digit."""
+    return F.array_distinct(F.split(low, f"[^{LETTER}]+|(?<=[0-9])(?=[a-z])"))
+
+
 def joined(items: Column) -> Column:
     """An array of strings as one text, parted by commas."""
     return F.array_join(items, ",")

@@ -9,13 +9,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from corvane.functions.text import TOKEN, tokens
 from corvane.operators.durable import cut
-from corvane.operators.ranking import DECIMALS, top_k
+from corvane.operators.ranking import DECIMALS, Best, top_k
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 _TERM = re.compile(TOKEN).findall
@@ -84,8 +85,8 @@ def search_bm25(index: Bm25Index, questions: DataFrame, n: int, *, block: int =
     """(qid, chunk_id, score, rank): the n best chunks of each question.
 
     Questions go out in blocks of a fixed size, as a matrix of their terms'
-    weights; each batch of chunks is a matrix over the same terms, and answers
-    with its own n best per question.  So postings are never joined or moved,
+    weights; each batch of chunks is a matrix over the same terms, and a task
+    answers with the n best per question of all it read.  So postings are never joined or moved,
     however common a term is.  A chunk without a common term scores 0; such
     chunks fill a list that would be shorter than n, in order of chunk_id.
     """
@@ -107,24 +108,22 @@ def search_bm25(index: Bm25Index, questions: DataFrame, n: int, *, block: int =
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             asked, known, weights, mean = sent.value
             step = max(64, min(4096, 4_000_000 // max(len(known), 1)))  # rows whose matrix takes 32 MB
+            vocabulary, best = pa.array(list(known), pa.string()), Best(len(asked), n)
             for whole in batches:
                 for start in range(0, whole.num_rows if asked else 0, step):
                     b = whole.slice(start, step)
                     counts = b.column(2)
                     owner = np.repeat(np.arange(b.num_rows), np.diff(counts.offsets.to_numpy()))
                     pairs = counts.flatten()
-                    at = np.fromiter((known.get(t, -1) for t in pairs.field(0).to_pylist()), np.int64, len(pairs))
+                    at = pc.fill_null(pc.index_in(pairs.field(0), value_set=vocabulary), -1).to_numpy(zero_copy_only=False)
                     hit = at >= 0
                     owner, at, tf = owner[hit], at[hit], pairs.field(1).to_numpy()[hit].astype(float)
                     norm = K1 * (1 - B + B * b.column(1).to_numpy().astype(float) / mean)
                     table = np.zeros((b.num_rows, len(known)))
                     table[owner, at] = tf * (K1 + 1) / (tf + norm[owner])
-                    scores = np.round(table @ weights, DECIMALS)
-                    best = scores != 0
-                    if b.num_rows > n:
-                        best &= scores >= np.partition(scores, b.num_rows - n, axis=0)[b.num_rows - n]
-                    i, q = np.nonzero(best)
-                    yield pa.RecordBatch.from_arrays([pa.array([asked[x] for x in q], id_type), b.column(0).take(pa.array(i)), pa.array(scores[i, q])], ["qid", "chunk_id", "score"])
+                    scores = np.round(table @ weights, DECIMALS).T
+                    best.add(scores, b.column(0), scores != 0)
+            yield from best.batches(pa.array(asked, id_type), ["qid", "chunk_id", "score"])
 
         answers = index.counted.select("chunk_id", "dl", "counts").mapInArrow(run, f"qid {id_kind.simpleString()}, chunk_id string, score double")
         found = answers if found is None else found.union(answers)

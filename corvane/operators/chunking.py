@@ -13,10 +13,11 @@ from corvane.operators.numbering import numbered
 GROUP = 40
 
 
-def pseudo_spans(corpus: DataFrame, *, group: int = GROUP) -> DataFrame:
-    """(doc_id, source_id, start_pos, end_pos): `group` consecutive comments make a document, parted by one newline."""
-    placed = numbered(corpus.select("ingested_at", "source_id", F.length("text").alias("size")), ["ingested_at", "source_id"], F.to_date("ingested_at"))
-    placed = placed.withColumn("d", F.floor(F.col("rn") / group))
+def pseudo_spans(corpus: DataFrame, *, order: list[str] | None = None, group: int = GROUP) -> DataFrame:
+    """(doc_id, source_id, start_pos, end_pos): `group` consecutive comments make a document, parted by one newline; null texts are left out."""
+    order = order or ["ingested_at", "source_id"]
+    known = corpus.where("text is not null").select("source_id", *(c for c in order if c != "source_id"), F.length("text").alias("size"))
+    placed = numbered(known, order).withColumn("d", F.floor(F.col("rn") / group))
     before = Window.partitionBy("d").orderBy("rn").rowsBetween(Window.unboundedPreceding, -1)
     start = F.coalesce(F.sum(F.col("size") + 1).over(before), F.lit(0)).cast("int")
     return placed.select(F.format_string("doc%04d", "d").alias("doc_id"), "source_id", start.alias("start_pos"), "size").select("doc_id", "source_id", "start_pos", (F.col("start_pos") + F.col("size")).alias("end_pos"))
@@ -114,5 +115,5 @@ def recursive_chunks(documents: DataFrame, *, size: int = 512, overlap: int = 64
 
 
 def chunk_ids(chunks: DataFrame) -> DataFrame:
-    """The chunks with `chunk_id`, c and a five-digit counter over all documents in order; counted by the first characters of doc_id first, so that no task sorts all."""
-    return numbered(chunks, ["doc_id", "chunk_no"], F.substring("doc_id", 1, 7)).withColumn("chunk_id", F.format_string("c%05d", "rn")).drop("rn")
+    """The chunks with `chunk_id`, c and a five-digit counter over all documents in order."""
+    return numbered(chunks, ["doc_id", "chunk_no"]).withColumn("chunk_id", F.format_string("c%05d", "rn")).drop("rn")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from typing import Protocol
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,12 +45,26 @@ def expand_citations(answers: DataFrame, contexts: DataFrame) -> DataFrame:
     return listed.select("qid", F.when(F.col("sources") == "", F.trim("answer")).otherwise(F.concat(F.trim("answer"), F.lit("\n\nSources:\n"), F.col("sources"))).alias("expanded"))
 
 
-def judge(samples: DataFrame) -> DataFrame:
-    """(qid, faithfulness, relevancy) by the default judge, from (qid, question, answer, context).
+class Judge(Protocol):
+    """(faithfulness, relevancy) of answers, each from 0 to 1, for lists of questions, answers and contexts."""
+
+    def judge(self, questions: list[str], answers: list[str], contexts: list[str]) -> list[tuple[float, float]]: ...
+
 
-    faithfulness is the share of the answer's distinct tokens that the contexts
-    hold, relevancy the share of the question's that the answer holds; 0 without tokens.
+def judge(samples: DataFrame, by: Judge | None = None) -> DataFrame:
+    """(qid, faithfulness, relevancy) from (qid, question, answer, context), by the given judge or the default one.
+
+    The default's faithfulness is the share of the answer's distinct tokens that
+    the contexts hold, its relevancy the share of the question's that the answer
+    holds; 0 without tokens.
     """
+    if by is not None:
+
+        @F.pandas_udf("faithfulness double, relevancy double")
+        def ask(questions: pd.Series, answers: pd.Series, contexts: pd.Series) -> pd.DataFrame:
+            return pd.DataFrame(by.judge(*(x.fillna("").tolist() for x in (questions, answers, contexts))), columns=["faithfulness", "relevancy"], dtype=float)
+
+        return samples.select("qid", ask("question", "answer", "context").alias("j")).select("qid", rounded(F.col("j.faithfulness")).alias("faithfulness"), rounded(F.col("j.relevancy")).alias("relevancy"))
 
     def share(part: Column, whole: Column) -> Column:
         distinct = F.array_distinct(part)

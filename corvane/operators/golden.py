@@ -2,41 +2,72 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.functions.text import phrase_pattern, squeeze
+from corvane.functions.text import anchor_tokens, phrase_anchor, phrase_pattern, squeeze
+from corvane.operators.durable import broadcast_below, cut
+
+
+FEW = 5_000
+
+
+def as_items(spark: SparkSession, items: list[tuple[str, list[str]]] | DataFrame) -> DataFrame:
+    """Items as a table (item_id, phrases)."""
+    return items if isinstance(items, DataFrame) else spark.createDataFrame(items, "item_id string, phrases array<string>")
 
 
-def resolve(items: list[tuple[str, list[str]]], comments: DataFrame) -> DataFrame:
-    """(item_id, source_id): the comments that hold all phrases of an item, in one scan of the comments.
+def _marked(mark: str) -> Callable[[Column], Column]:
+    """A token as a key: whole after w:, its first characters after their number."""
+    return lambda t: F.concat(F.lit(mark + ":"), t if mark == "w" else F.substring(t, 1, int(mark)))
 
-    Patterns are constants of the plan, compiled once, and a comment yields the
-    items it serves; nothing is joined.  An item without phrases or without
-    comment has one row with a null source_id.
+
+def resolve(items: list[tuple[str, list[str]]] | DataFrame, comments: DataFrame) -> DataFrame:
+    """(item_id, source_id): the comments that hold all phrases of an item.
+
+    An item's longest word, or stem, must stand in such a comment: comments meet
+    items by an equality join of their distinct tokens, or beginnings of tokens,
+    with these, and only pairs that meet are tested by the phrases' patterns.  An
+    item without phrases or without comment has one row with a null source_id;
+    phrases without any letter or digit are an error.
     """
-    if len(items) > 10_000:
-        raise ValueError("more than 10,000 items; resolve them in parts")
-    text = F.lower(squeeze(F.col("text")))
-    cases = []
-    for name, phrases in items:
-        if phrases:
-            every = F.lit(True)
-            for p in phrases:
-                every = every & F.col("low").rlike(phrase_pattern(p))
-            cases.append(F.when(every, F.lit(name)))
     spark = comments.sparkSession
-    names = spark.createDataFrame([(name,) for name, _ in items], "item_id string")
-    if not cases:
-        return names.select("item_id", F.lit(None).cast("string").alias("source_id"))
-    served = comments.select("source_id", text.alias("low")).select("source_id", F.explode(F.filter(F.array(*cases), lambda x: x.isNotNull())).alias("item_id")).distinct()
-    return names.join(served, "item_id", "left")
+    asked = as_items(spark, items).select("item_id", "phrases")
+
+    def prepare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for name, phrases in zip(b.item_id, b.phrases):
+                if phrases is None or not len(phrases):
+                    continue
+                anchor = phrase_anchor(list(phrases))
+                if anchor is None:
+                    raise ValueError(f"the phrases of {name} have no letter or digit")
+                rows.append((name, f"{len(anchor[0]) if anchor[1] else 'w'}:{anchor[0]}", [phrase_pattern(p) for p in phrases]))
+            yield pd.DataFrame(rows, columns=["item_id", "key", "patterns"])
+
+    anchors = cut(asked.mapInPandas(prepare, "item_id string, key string, patterns array<string>"))
+    marks = [r.mark for r in anchors.select(F.substring_index("key", ":", 1).alias("mark")).distinct().orderBy("mark").limit(1_000).collect()]  # a stem is a word: lengths are few
+    if not marks:
+        return asked.select("item_id", F.lit(None).cast("string").alias("source_id"))
+    keys = F.concat(*[F.transform("words", _marked(m)) for m in marks])
+    low = comments.where("text is not null").select("source_id", F.lower(squeeze(F.col("text"))).alias("low"))
+    low = low.withColumn("words", anchor_tokens(F.col("low")))
+    few = [r.key for r in anchors.select("key").distinct().limit(FEW + 1).collect()]
+    if len(few) <= FEW:  # a set of constants sorts the keys out before each makes a row
+        keys = F.filter(keys, lambda k: k.isin(few))
+    met = low.select("source_id", "low", F.explode(keys).alias("key")).join(broadcast_below(anchors, 50_000), "key")
+    served = met.where(F.forall("patterns", lambda p: F.rlike(F.col("low"), p))).select("item_id", "source_id").distinct()
+    return asked.select("item_id").join(served, "item_id", "left")
 
 
-def unresolved(items: list[tuple[str, list[str]]], resolved: DataFrame) -> DataFrame:
+def unresolved(items: list[tuple[str, list[str]]] | DataFrame, resolved: DataFrame) -> DataFrame:
     """The items that have phrases and found no comment; a golden set with such items shouldn't be written."""
-    asked = [name for name, phrases in items if phrases]
-    return resolved.where(F.col("source_id").isNull() & F.col("item_id").isin(asked)).select("item_id")
+    asked = as_items(resolved.sparkSession, items).where(F.size("phrases") > 0).select("item_id")
+    return resolved.where(F.col("source_id").isNull()).join(asked, "item_id", "left_semi").select("item_id")
 
 
 def golden_set(items: DataFrame) -> DataFrame:

@@ -16,20 +16,21 @@ def source_tag(path: Column) -> Column:
     return F.when(F.lower(F.element_at(F.split(path, "/"), -1)).contains("reddit"), "reddit").otherwise("yt")
 
 
-def parse_blocks(files: DataFrame, *, path_col: str = "path", content_col: str = "content") -> DataFrame:
-    """(path, block_no, timestamp, text): blocks parted by blank lines.
+def parse_blocks(files: DataFrame, *, path_col: str = "path", content_col: str = "content", keep: list[str] | None = None) -> DataFrame:
+    """(path, block_no, timestamp, text): blocks parted by blank lines, with the columns named in keep.
 
     Lines are stripped and empty ones dropped; a first line that is a timestamp
     becomes the block's timestamp, the others are joined by blanks.  A block
     that has no text is dropped, and keeps its number.  A null or empty content
     has no block.
     """
+    kept = keep or []
     unix = F.regexp_replace(F.col(content_col), r"\r\n?", "\n")
-    blocks = files.where(F.col(content_col).isNotNull()).select(F.col(path_col).alias("path"), F.posexplode(F.split(unix, rf"\n{SPACE}*\n")).alias("block_no", "block"))
+    blocks = files.where(F.col(content_col).isNotNull()).select(F.col(path_col).alias("path"), *kept, F.posexplode(F.split(unix, rf"\n{SPACE}*\n")).alias("block_no", "block"))
     lines = F.filter(F.transform(F.split("block", "\n"), lambda x: F.regexp_replace(x, f"^{SPACE}+|{SPACE}+$", "")), lambda x: x != "")
-    parsed = blocks.select("path", "block_no", lines.alias("lines")).where(F.size("lines") > 0)
+    parsed = blocks.select("path", *kept, "block_no", lines.alias("lines")).where(F.size("lines") > 0)
     dated = F.element_at("lines", 1).rlike(TIMESTAMP_LINE)
-    parsed = parsed.select("path", "block_no", F.when(dated, F.element_at("lines", 1)).alias("timestamp"), F.array_join(F.when(dated, F.slice("lines", F.lit(2), F.greatest(F.size("lines") - 1, F.lit(0)))).otherwise(F.col("lines")), " ").alias("text"))
+    parsed = parsed.select("path", *kept, "block_no", F.when(dated, F.element_at("lines", 1)).alias("timestamp"), F.array_join(F.when(dated, F.slice("lines", F.lit(2), F.greatest(F.size("lines") - 1, F.lit(0)))).otherwise(F.col("lines")), " ").alias("text"))
     return parsed.where(F.col("text") != "")
 
 
@@ -56,6 +57,5 @@ def deduplicated_corpus(comments: DataFrame) -> DataFrame:
 
 def corpus_ids(corpus: DataFrame) -> DataFrame:
     """The corpus with `corpus_id`, the tag and a five-digit counter of its survivors in order of ingestion."""
-    day = F.to_date("ingested_at")
-    counted = numbered(corpus, ["ingested_at", "source_id"], day, within=["source"])
+    counted = numbered(corpus, ["ingested_at", "source_id"], within=["source"])
     return counted.withColumn("corpus_id", F.format_string("%s:%05d", "source", "rn")).drop("rn")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.operators.durable import broadcast_below, cut
 from corvane.operators.ranking import rounded
 
 DEPTHS = (1, 3, 5, 10)
@@ -33,7 +34,7 @@ def per_item(hits: DataFrame, items: DataFrame, arms: DataFrame) -> DataFrame:
     """(arm, qid, first, dcg): the rank of the first hit (null: none) and the gain, for every arm and item, lists or not."""
     gain = F.when(F.col("hit") & (F.col("rank") < DEPTH), 1 / F.log2(F.col("rank") + F.lit(2.0))).otherwise(0.0)
     seen = hits.groupBy("arm", "qid").agg(F.min(F.when(F.col("hit") & (F.col("rank") < DEPTH), F.col("rank"))).alias("first"), F.sum(gain).alias("dcg"))
-    every = items.crossJoin(F.broadcast(arms))
+    every = items.crossJoin(broadcast_below(arms, 10_000))
     return every.join(seen, ["arm", "qid"], "left").withColumn("dcg", F.coalesce("dcg", F.lit(0.0)))
 
 
@@ -80,22 +81,29 @@ def refusals(top: DataFrame, items: DataFrame, thresholds: list[float]) -> DataF
     )
 
 
-def nearest_rank(rows: DataFrame, key: str, value: str, share: float, *, buckets: int = 1024) -> DataFrame:
+def nearest_rank(rows: DataFrame, key: str, value: str, share: float, *, buckets: int = 1024, together: int = 10_000) -> DataFrame:
     """(key, n, mean, at): the mean, and the value at place min(n - 1, floor(share * n)) of each key's values in order.
 
     Values are counted in buckets between each key's least and largest; the
-    place's bucket is found by a running sum over counts, and only its rows are
-    sorted, so no task orders all values of a key.  Null values don't count.
+    place's bucket is found by a running sum over counts, and its values are cut
+    into buckets again until at most `together` or one value is left to sort, so
+    no task orders all values of a key, however they are spread.  Null values
+    don't count.
     """
-    known = rows.where(F.col(value).isNotNull()).select(key, F.col(value).alias("v"))
-    span = known.groupBy(key).agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count("*").alias("n"), F.avg("v").alias("mean"))
-    spot = F.least(F.col("n") - 1, F.floor(F.col("n") * F.lit(share)).cast("long"))
-    span = span.withColumn("place", spot)
-    width = (F.col("high") - F.col("low")) / buckets
-    bucket = F.coalesce(F.least(F.floor(F.try_divide(F.col("v") - F.col("low"), width)).cast("int"), F.lit(buckets - 1)), F.lit(0))
-    placed = known.join(F.broadcast(span), key).withColumn("bucket", bucket)
-    counts = placed.groupBy(key, "place", "bucket").agg(F.count("*").alias("c"))
-    before = F.coalesce(F.sum("c").over(Window.partitionBy(key).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    chosen = counts.withColumn("before", before).where((F.col("before") <= F.col("place")) & (F.col("place") < F.col("before") + F.col("c"))).select(key, "bucket", "before")
-    inside = placed.join(F.broadcast(chosen), [key, "bucket"]).withColumn("rn", F.row_number().over(Window.partitionBy(key).orderBy("v")) - 1)
-    return inside.where(F.col("before") + F.col("rn") == F.col("place")).select(key, "n", "mean", F.col("v").alias("at"))
+    known = rows.where(F.col(value).isNotNull()).select(key, F.col(value).cast("double").alias("v"))
+    spot = F.least(F.count("*") - 1, F.floor(F.count("*") * F.lit(share)).cast("long"))
+    span = cut(known.groupBy(key).agg(F.count("*").alias("n"), F.avg("v").alias("mean"), spot.alias("place"), F.min("v").alias("low"), F.max("v").alias("high"), F.count("*").alias("left")))
+    several, before_ = (F.col("left") > together) & (F.col("low") < F.col("high")), None
+    while (remaining := span.where(several).agg(F.sum("left")).first()[0]) is not None and remaining != before_:
+        before_ = remaining  # infinite values can't be cut into buckets: they are sorted together
+        position = (F.col("v") - F.col("low")) / (F.col("high") - F.col("low"))
+        bucket = F.coalesce(F.least(F.floor(position * buckets).cast("int"), F.lit(buckets - 1)), F.lit(0))
+        inside = known.join(broadcast_below(span, 100_000), key).where(F.col("v").between(F.col("low"), F.col("high")))
+        counts = inside.groupBy(key, "n", "mean", "place", bucket.alias("bucket")).agg(F.count("*").alias("left"), F.min("v").alias("low"), F.max("v").alias("high"))
+        before = F.coalesce(F.sum("left").over(Window.partitionBy(key).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        spread = counts.withColumn("before", before).where((F.col("before") <= F.col("place")) & (F.col("place") < F.col("before") + F.col("left")))
+        span = cut(spread.select(key, "n", "mean", (F.col("place") - F.col("before")).alias("place"), "low", "high", "left"))
+    one = span.where(F.col("low") == F.col("high")).select(key, "n", "mean", F.col("low").alias("at"))
+    several = known.join(broadcast_below(span.where(F.col("low") < F.col("high")), 100_000), key).where(F.col("v").between(F.col("low"), F.col("high")))
+    ordered = several.withColumn("rn", F.row_number().over(Window.partitionBy(key).orderBy("v")) - 1)
+    return one.unionByName(ordered.where(F.col("rn") == F.col("place")).select(key, "n", "mean", F.col("v").alias("at")))

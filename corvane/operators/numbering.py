@@ -1,31 +1,35 @@
-"""Consecutive numbers over a whole table, or within large groups, without one task seeing them all."""
+"""Consecutive numbers over a whole table, or within groups, without one task seeing a group, a day or all rows."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.operators.durable import broadcast_below
+from corvane.operators.durable import broadcast_below, cut
 
+_IN_PARTITION = 33  # bits of monotonically_increasing_id that count within a partition
 
-def numbered(rows: DataFrame, order: list[str], bucket: Column, *, within: list[str] | None = None, name: str = "rn") -> DataFrame:
+
+def numbered(rows: DataFrame, order: list[str], *, within: list[str] | None = None, name: str = "rn") -> DataFrame:
     """rows with `name`: 0, 1, 2, ... in `order`, in each group of `within`.
 
-    bucket must rise with the first column of order; rows are counted by bucket,
-    a running sum over buckets gives each its first number, and only the rows of
-    one bucket are sorted together.  Ties in order are numbered in any way, so
+    Rows are range-partitioned by group and order, so that a hot group or day
+    lies in several tasks; each partition is sorted and counted, a running sum
+    over the few partitions gives each its first number, and a group's own
+    numbers begin at its smallest.  Ties in order are numbered in any way, so
     order should end in a key.
     """
     groups = within or []
-    placed = rows.withColumn("__bucket", bucket)
-    counts = placed.groupBy(*groups, "__bucket").agg(F.count("*").alias("__n"))
-    before = Window.partitionBy(*groups).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = counts.withColumn("__first", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
-    for c in [*groups, "__bucket"]:
-        firsts = firsts.withColumnRenamed(c, f"__of_{c}")
-    match = F.lit(True)
-    for c in [*groups, "__bucket"]:
-        match = match & placed[c].eqNullSafe(F.col(f"__of_{c}"))
-    inside = F.row_number().over(Window.partitionBy(*groups, "__bucket").orderBy(*order)) - 1
-    joined = placed.join(broadcast_below(firsts, 100_000), match)
-    return joined.withColumn(name, (F.col("__first") + inside).cast("long")).select(*rows.columns, name)
+    ranged = rows.repartitionByRange(*groups, *order).sortWithinPartitions(*groups, *order)
+    placed = cut(ranged.withColumn("__id", F.monotonically_increasing_id()).withColumn("__part", F.shiftright("__id", _IN_PARTITION)))
+    counts = placed.groupBy("__part").agg(F.count("*").alias("__n"), F.min("__id").alias("__from"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    firsts = counts.select("__part", "__from", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first"))
+    whole = placed.join(broadcast_below(cut(firsts), 100_000), "__part").withColumn(name, (F.col("__first") + F.col("__id") - F.col("__from")).cast("long"))
+    if groups:
+        least = cut(whole.groupBy(*groups).agg(F.min(name).alias("__least")).select(*[F.col(g).alias(f"__of_{g}") for g in groups], "__least"))
+        match = F.lit(True)
+        for g in groups:
+            match = match & whole[g].eqNullSafe(F.col(f"__of_{g}"))
+        whole = whole.join(broadcast_below(least, 100_000), match).withColumn(name, F.col(name) - F.col("__least"))
+    return whole.select(*rows.columns, name)

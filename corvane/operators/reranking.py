@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.config import RetrievalConfig
 from corvane.functions.text import tokens
+from corvane.models import ChatModel, PairScorer, says_yes
 from corvane.operators.bm25 import Bm25Index
-from corvane.operators.durable import broadcast_below, cut
+from corvane.operators.durable import broadcast_below
 from corvane.operators.ranking import rounded, top_k
 
 
@@ -24,33 +26,58 @@ def confidence(ranked: DataFrame, questions: DataFrame, config: RetrievalConfig)
     return questions.select("qid").join(judged, "qid", "left").withColumn("confident", F.coalesce(sure, F.lit(False)))
 
 
-def gate(ranked: DataFrame, questions: DataFrame, config: RetrievalConfig, *, asks: Column | None = None) -> DataFrame:
-    """(qid, rerank): by policy; auto reranks who isn't confident, llm does what `asks` says and as auto where that is null; an empty list isn't reranked."""
+def gate(ranked: DataFrame, questions: DataFrame, config: RetrievalConfig, *, asks: DataFrame | None = None) -> DataFrame:
+    """(qid, rerank): by policy; an empty list isn't reranked.
+
+    auto reranks who isn't confident, which only cosines can tell: lists of the
+    other first stages are always reranked.  llm does what asks (qid, asks) says,
+    and as auto where that is null or missing.
+    """
     sure = confidence(ranked, questions, config)
-    some = F.col("top").isNotNull()
-    unsure = ~F.col("confident")
-    chosen = {"always": F.lit(True), "never": F.lit(False), "auto": unsure, "llm": F.coalesce(asks, unsure) if asks is not None else unsure}[config.policy]
-    if config.retrieval != "dense" and config.policy in ("auto", "llm"):
-        chosen = F.coalesce(asks, F.lit(True)) if asks is not None and config.policy == "llm" else F.lit(True)
-    return sure.select("qid", (some & chosen).alias("rerank"))
+    auto = ~F.col("confident") if config.retrieval == "dense" else F.lit(True)
+    chosen = {"always": F.lit(True), "never": F.lit(False), "auto": auto}.get(config.policy)
+    if chosen is None:
+        if asks is None:
+            raise ValueError("the policy llm needs a model that is asked")
+        sure = sure.join(asks.select("qid", "asks"), "qid", "left")
+        chosen = F.coalesce("asks", auto)
+    return sure.select("qid", (F.col("top").isNotNull() & chosen).alias("rerank"))
+
+
+ROUTE = "You route search queries. Is this one so ambiguous, broad or comparative that its results deserve a second, careful scoring? Answer YES or NO.\nQuery: "
+
+
+def routed(questions: DataFrame, model: ChatModel) -> DataFrame:
+    """(qid, asks): whether the model wants a second score for the question; null where it fails."""
+    return questions.select("qid", says_yes(model, F.concat(F.lit(ROUTE), F.coalesce("question", F.lit("")))).alias("asks"))
+
+
+def model_scores(pairs: DataFrame, questions: DataFrame, texts: DataFrame, scorer: PairScorer) -> DataFrame:
+    """(qid, chunk_id, pair_score) by any scorer of (question, text), batch by batch."""
+
+    @F.pandas_udf("double")
+    def score(asked: pd.Series, text: pd.Series) -> pd.Series:
+        return pd.Series(scorer.score(asked.fillna("").tolist(), text.fillna("").tolist()), dtype="float64")
+
+    told = pairs.select("qid", "chunk_id").distinct().join(questions.select("qid", "question"), "qid").join(texts.select("chunk_id", "text").distinct(), "chunk_id")
+    return told.select("qid", "chunk_id", rounded(score("question", "text")).alias("pair_score"))
 
 
-def coverage_scores(pairs: DataFrame, questions: DataFrame, texts: DataFrame, index: Bm25Index) -> DataFrame:
+def coverage_scores(pairs: DataFrame, questions: DataFrame, index: Bm25Index) -> DataFrame:
     """(qid, chunk_id, pair_score): the default second scorer, from -5 to 5.
 
-    The share of the question's distinct terms that the chunk holds, weighted by
-    idf; a term of no chunk weighs as one of half a chunk would.  A question
+    The share of the question's distinct terms that the chunk holds, by the sparse
+    index's terms, weighted by idf; pairs should be cheap to count; a term of no chunk weighs as one of half a chunk would.  A question
     without terms scores -5.
     """
     asked = questions.select("qid", F.explode(F.array_distinct(tokens(F.col("question")))).alias("term"))
     unseen = F.log(F.col("n") + 0.5) - F.log(F.lit(0.5))
     weighed = asked.join(index.idf, "term", "left").crossJoin(F.broadcast(index.totals.select("n"))).select("qid", "term", F.coalesce("idf", unseen).alias("w"))
-    needed = cut(weighed.groupBy("qid").agg(F.sum("w").alias("whole"), F.collect_list(F.struct("term", "w")).alias("terms")))
-    once = texts.select("chunk_id", "text").distinct()
-    held = pairs.select("qid", "chunk_id").distinct().join(broadcast_below(needed, 50_000), "qid", "left").join(once, "chunk_id")
-    words = held.withColumn("words", tokens(F.col("text")))
+    needed = weighed.groupBy("qid").agg(F.sum("w").alias("whole"), F.collect_list(F.struct("term", "w")).alias("terms"))
+    met = broadcast_below(pairs.select("qid", "chunk_id").distinct(), 50_000).join(index.counted.select("chunk_id", F.col("counts.term").alias("words")), "chunk_id")
+    held = met.join(needed, "qid", "left")
     covered = F.aggregate(F.filter("terms", lambda t: F.array_contains(F.col("words"), t.term)), F.lit(0.0), lambda a, t: a + t.w)
-    return words.select("qid", "chunk_id", rounded(10 * F.coalesce(F.try_divide(covered, F.col("whole")), F.lit(0.0)) - 5).alias("pair_score"))
+    return held.select("qid", "chunk_id", rounded(10 * F.coalesce(F.try_divide(covered, F.col("whole")), F.lit(0.0)) - 5).alias("pair_score"))
 
 
 def rerank(ranked: DataFrame, gated: DataFrame, scores: DataFrame, k: int) -> DataFrame:

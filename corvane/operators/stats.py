@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import random
+from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,29 +46,63 @@ def compare(pairs: DataFrame) -> DataFrame:
     return counted.withColumn("p_value", rounded(mcnemar(F.col("won"), F.col("lost"))))
 
 
+def _bounds(means: Sequence[float], alpha: float) -> tuple[float, float]:
+    """The percentiles of ordered means."""
+    return float(means[int(alpha / 2 * len(means))]), float(means[min(len(means) - 1, int((1 - alpha / 2) * len(means)))])
+
+
 def bootstrap_interval(differences: list[float], *, resamples: int = RESAMPLES, seed: int = SEED, alpha: float = 0.05) -> tuple[float, float]:
-    """The percentile interval of the mean of paired differences; the same seed gives the same interval."""
+    """The percentile interval of the mean of paired differences, by the draws that the seed gives one index at a time."""
     if not differences:
         raise ValueError("no pairs")
-    draw, n = random.Random(seed), len(differences)
-    means = sorted(sum(draw.choices(differences, k=n)) / n for _ in range(resamples))
-    return means[int(alpha / 2 * resamples)], means[min(resamples - 1, int((1 - alpha / 2) * resamples))]
+    draw, n = random.Random(seed).randrange, len(differences)
+    means = []
+    for _ in range(resamples):
+        total = 0.0
+        for _ in range(n):
+            total += differences[draw(n)]
+        means.append(total / n)
+    return _bounds(sorted(means), alpha)
+
+
+def paired_interval(base: list[float], arm: list[float], **settings: object) -> tuple[float, float]:
+    """bootstrap_interval of arm - base; lists of unlike length are no pairs."""
+    if len(base) != len(arm):
+        raise ValueError("paired lists must be of one length")
+    return bootstrap_interval([y - x for x, y in zip(base, arm)], **settings)
+
+
+def counted_interval(values: list[float], counts: list[int], *, resamples: int = RESAMPLES, seed: int = SEED, alpha: float = 0.05) -> tuple[float, float]:
+    """The same interval from how often each distinct difference occurs: a resample of n items is one multinomial draw, however large n is."""
+    n = sum(counts)
+    if not n:
+        raise ValueError("no pairs")
+    drawn = np.random.default_rng(seed).multinomial(n, np.array(counts) / n, size=resamples)
+    return _bounds(np.sort(drawn @ np.array(values, float) / n), alpha)
 
 
-def bootstrap(pairs: DataFrame, *, resamples: int = RESAMPLES, seed: int = SEED, alpha: float = 0.05, most_items: int = 200_000) -> DataFrame:
+def bootstrap(pairs: DataFrame, *, resamples: int = RESAMPLES, seed: int = SEED, alpha: float = 0.05, exact: bool = True, most_items: int = 200_000) -> DataFrame:
     """(arm, low, high, significant): the interval of the arm's mean gain in reciprocal rank, and whether it or McNemar's test says so.
 
-    One task resamples one arm, whose items are a question set: more than
-    most_items are refused.
+    exact draws items one at a time, in order of qid, so that a seed gives the
+    interval it always gave; that is for question sets, and more than most_items
+    are refused.  Otherwise differences are counted first, of which reciprocal
+    ranks have few: that holds for any number of items.
     """
-    if pairs.groupBy("arm").count().where(F.col("count") > most_items).limit(1).count():
-        raise ValueError(f"an arm has more than {most_items} items")
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("qid")
-        low, high = bootstrap_interval((rows.arm_rr - rows.base_rr).tolist(), resamples=resamples, seed=seed, alpha=alpha)
-        return pd.DataFrame({"arm": [rows.arm.iloc[0]], "low": [low], "high": [high]})
-
-    intervals = pairs.groupBy("arm").applyInPandas(run, "arm string, low double, high double")
+    rows = pairs.select("arm", "qid", (F.col("arm_rr") - F.col("base_rr")).alias("d"))
+    settings = {"resamples": resamples, "seed": seed, "alpha": alpha}
+    if exact:
+        if pairs.groupBy("arm").count().where(F.col("count") > most_items).limit(1).count():
+            raise ValueError(f"an arm has more than {most_items} items; count them with exact=False")
+        small = rows
+    else:
+        small = rows.groupBy("arm", rounded(F.col("d")).alias("d")).agg(F.count("*").alias("n"))
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("qid" if exact else "d")
+        low, high = bootstrap_interval(part.d.tolist(), **settings) if exact else counted_interval(part.d.tolist(), part.n.tolist(), **settings)
+        return pd.DataFrame({"arm": [part.arm.iloc[0]], "low": [low], "high": [high]})
+
+    intervals = small.groupBy("arm").applyInPandas(run, "arm string, low double, high double")
     tested = compare(pairs).select("arm", "p_value")
     return intervals.join(tested, "arm").select("arm", "low", "high", ((F.col("p_value") < alpha) | (F.col("low") > 0) | (F.col("high") < 0)).alias("significant"))

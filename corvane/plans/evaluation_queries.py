@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.config import RetrievalConfig
+from corvane.engine import Engine
 from corvane.functions.text import SPACE, TOKEN, phrase_pattern
+from corvane.models import ChatModel, ScriptedChat
 from corvane.operators import corrective, generation, golden, metrics, stats
 from corvane.operators.durable import cut
 from corvane.operators.ranking import rounded
-from corvane.plans.retrieval_queries import BASE_SQL, dense_list, dense_sql, questions
+from corvane.plans.retrieval_queries import BASE_SQL, PAIR_SQL, dense_sql, questions
 from corvane.sources.tables import table
 
 PHRASES = [
@@ -28,7 +30,8 @@ PHRASES = [
     ("r12", ["über*"]),
 ]
 THRESHOLDS = [0.25, 0.30, 0.35, 0.40, 0.45, 0.50]
-CORRECTIVE = RetrievalConfig(k=5, correction_rounds=2, cosine_relevant=0.75, cosine_incorrect=0.6, corrective=True)
+CORRECTIVE = RetrievalConfig(k=5, rerank="auto", auto_top=0.6, auto_margin=0.05, cosine_relevant=0.68, cosine_incorrect=0.62, scored_relevant=1.0, scored_incorrect=-1.0, relax_step=0.05, mode="crag")
+REWRITES = [(r"Query: [^\n]*(battery|charg)", "battery life of the phone"), (r"Query: [^\n]*camera", "camera in the dark")]
 FLOORS = [("given", "recall_5", 0.05), ("given", "mrr", 0.9), ("by_id", "recall_5", 0.05)]
 
 
@@ -115,23 +118,37 @@ def grade_threshold(spark: SparkSession, directory: str) -> DataFrame:
     return corrective.grade(ranked, questions(spark, directory), RetrievalConfig()).drop("signal")
 
 
-def _corrected(spark: SparkSession, directory: str) -> tuple[DataFrame, DataFrame]:
-    deepest = CORRECTIVE.k * CORRECTIVE.widen_factor**CORRECTIVE.correction_rounds
-    ranked = cut(dense_list(spark, directory, deepest).withColumn("signal", F.lit("cosine")))
-    return corrective.correct(ranked, questions(spark, directory), CORRECTIVE)
+def _corrected(spark: SparkSession, directory: str, config: RetrievalConfig = CORRECTIVE, model: ChatModel | None = None) -> corrective.Loop:
+    return Engine(table(spark, directory, "chunks"), config, model=model).corrective(questions(spark, directory))
+
+
+def _rounds(loop: corrective.Loop) -> DataFrame:
+    kept = F.array_join("kept_chunk_ids", ",").alias("kept")
+    return corrective.all_rounds(loop).select("qid", F.col("round_idx").cast("long").alias("round_idx"), "query", "n_candidates", "reranked", "action", kept, "n_kept", "correction")
 
 
 def corrective_trace(spark: SparkSession, directory: str) -> DataFrame:
-    trace = _corrected(spark, directory)[0]
-    return trace.select("qid", F.col("round_idx").cast("long").alias("round_idx"), "n_candidates", "action", "n_kept", "correction")
+    """Every round of every question, by the keyless loop, which gates, scores and widens."""
+    return _rounds(_corrected(spark, directory))
 
 
 def corrective_contexts(spark: SparkSession, directory: str) -> DataFrame:
     """The final contexts; a refused question has one row without a chunk."""
-    contexts = _corrected(spark, directory)[1]
+    contexts = _corrected(spark, directory).contexts
     return questions(spark, directory).select("qid").join(contexts, "qid", "left").select("qid", "chunk_id", "score", F.col("rank").cast("long").alias("rank"), F.col("chunk_id").isNull().alias("refused"))
 
 
+def corrective_calls(spark: SparkSession, directory: str) -> DataFrame:
+    """How often each question's candidates were scored again, in its rounds and for a pool of mixed signals."""
+    found = _corrected(spark, directory, CORRECTIVE.with_(loop="plain")).calls
+    return questions(spark, directory).select("qid").join(found, "qid", "left").select("qid", F.coalesce("calls", F.lit(0)).alias("calls"))
+
+
+def corrective_rewrite(spark: SparkSession, directory: str) -> DataFrame:
+    """The rounds of a loop whose scripted model rewrites questions about batteries and cameras; the others are widened."""
+    return _rounds(_corrected(spark, directory, CORRECTIVE.with_(rerank="never", correction_rounds=1), ScriptedChat(REWRITES, "")))
+
+
 def _contexts(spark: SparkSession, directory: str, n: int) -> DataFrame:
     return table(spark, directory, "ranked").where(F.col("rank") < n).select("qid", "chunk_id", "text", F.col("rank").cast("int").alias("rank")).distinct()
 
@@ -167,7 +184,7 @@ def regression_gate(spark: SparkSession, directory: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (golden_resolve, golden_set, golden_type_counts, hit_ranks, n_relevant_chunks, retrieval_metrics, per_type_breakdown, refusal_metrics, risk_coverage, latency_mean_p95, mcnemar, bootstrap_ci, grade_threshold, corrective_trace, corrective_contexts, prompt_build, citation_expand, judge_means, regression_gate)
+    for f in (corrective_calls, corrective_rewrite, golden_resolve, golden_set, golden_type_counts, hit_ranks, n_relevant_chunks, retrieval_metrics, per_type_breakdown, refusal_metrics, risk_coverage, latency_mean_p95, mcnemar, bootstrap_ci, grade_threshold, corrective_trace, corrective_contexts, prompt_build, citation_expand, judge_means, regression_gate)
 }
 
 GOLDEN_SQL = """gs AS (SELECT DISTINCT id, type, difficulty, coalesce(type = 'refuse', false) OR coalesce(len(list_distinct(gold_source_ids)), 0) = 0 AS is_refuse, coalesce(len(list_distinct(gold_source_ids)), 0) AS n_gold FROM golden_items),
@@ -192,6 +209,10 @@ met AS (SELECT arm, count(*) AS n,
   round(avg(coalesce(dcg / nullif(list_sum(list_transform(range(least(n_relevant, 10)), lambda i: 1 / log2(i + 2))), 0), 0.0)), 6) AS ndcg
   FROM items LEFT JOIN relevant USING (qid) GROUP BY arm)"""
 
+PAIRED_SQL = """versus AS (SELECT a.arm, coalesce(a.first < 5, false) AS arm_hit, coalesce(b.first < 5, false) AS base_hit, a.rr - b.rr AS d FROM items a JOIN items b USING (qid) WHERE b.arm = '{base}' AND a.arm <> '{base}'),
+c AS (SELECT arm, count(*) AS n, count(*) FILTER (WHERE arm_hit AND NOT base_hit) AS won, count(*) FILTER (WHERE base_hit AND NOT arm_hit) AS lost, round(avg(d), 6) AS delta_mrr FROM versus GROUP BY arm)
+SELECT arm, n, won, lost, delta_mrr, CASE WHEN won + lost = 0 THEN 1.0 ELSE round(least(1.0, 2 * list_sum(list_transform(range(least(won, lost) + 1), lambda i: exp(lgamma(won + lost + 1) - lgamma(i + 1) - lgamma(won + lost - i + 1) - (won + lost) * ln(2))))), 6) END AS p_value FROM c"""
+
 
 def _refusal_sql(thresholds: list[float]) -> str:
     levels = ", ".join(f"(CAST({t} AS DOUBLE))" for t in thresholds)
@@ -211,20 +232,30 @@ def _resolve_sql() -> str:
     return f"WITH low AS (SELECT DISTINCT source_id, lower(trim(regexp_replace(text, '{SPACE}+', ' ', 'g'))) AS low FROM comments), served AS (SELECT DISTINCT * FROM ({' UNION ALL '.join(parts)})) SELECT item_id, source_id FROM (VALUES {names}) n(item_id) LEFT JOIN served USING (item_id)"
 
 
-def _corrective_sql() -> str:
-    c = CORRECTIVE
-    rounds, active = [], "SELECT qid FROM qs"
-    for turn in range(c.correction_rounds + 1):
-        n, bar = c.k * c.widen_factor**turn, f"CAST({c.cosine_relevant} - {c.relax_step * turn!r} AS DOUBLE)"
-        rounds.append(f"""active{turn} AS ({active}),
-g{turn} AS (SELECT qid, chunk_id, score, score >= {bar} AS rel, score > {c.cosine_incorrect} AS above FROM active{turn} LEFT JOIN dense USING (qid) WHERE rank < {n}),
-a{turn} AS (SELECT qid, CASE WHEN bool_or(rel) THEN 'CORRECT' WHEN NOT bool_or(above) THEN 'INCORRECT' ELSE 'AMBIGUOUS' END AS action FROM g{turn} GROUP BY qid),
-k{turn} AS (SELECT qid, chunk_id, score, action, CASE WHEN action = 'CORRECT' THEN rel WHEN action = 'AMBIGUOUS' THEN above ELSE false END AS kept FROM g{turn} JOIN a{turn} USING (qid))""")
-        active = f"SELECT qid FROM a{turn} WHERE action <> 'CORRECT'"
-    return ",\n".join(rounds)
-
-
-_CORRECTIVE_SQL = f"WITH {BASE_SQL}, {dense_sql(CORRECTIVE.k * CORRECTIVE.widen_factor ** CORRECTIVE.correction_rounds)}, {_corrective_sql()}"
+def corrective_sql(c: RetrievalConfig) -> str:
+    """Tables of the keyless loop over `dense` and `pairs`: per round t its graded candidates k<t>, then pool, mixed, best and calls."""
+    rounds, active, turns = [], "SELECT DISTINCT qid FROM qs", range(c.correction_rounds + 1)
+    for t in turns:
+        n, relax = c.rerank_candidates * c.widen_factor**t, f"CAST({c.relax_step} AS DOUBLE) * {t}"
+        rounds.append(f"""active{t} AS ({active}),
+l{t} AS (SELECT qid, chunk_id, score, rank FROM active{t} JOIN dense USING (qid) WHERE rank < {n}),
+c{t} AS (SELECT qid, NOT coalesce(max(score) FILTER (WHERE rank = 0) >= {c.auto_top} AND round(max(score) FILTER (WHERE rank = 0) - coalesce(avg(score) FILTER (WHERE rank > 0), max(score) FILTER (WHERE rank = 0)), 6) >= {c.auto_margin}, false) AS rerank FROM l{t} GROUP BY qid),
+r{t} AS (SELECT qid, chunk_id, rerank, CASE WHEN rerank THEN pair_score ELSE score END AS score, CASE WHEN rerank THEN row_number() OVER (PARTITION BY qid ORDER BY pair_score DESC, chunk_id) - 1 ELSE rank END AS rank FROM l{t} JOIN c{t} USING (qid) JOIN pairs USING (qid, chunk_id)),
+g{t} AS (SELECT *, score >= (CASE WHEN rerank THEN CAST({c.scored_relevant} AS DOUBLE) ELSE CAST({c.cosine_relevant} AS DOUBLE) END) - {relax} AS rel, score > (CASE WHEN rerank THEN {c.scored_incorrect} ELSE {c.cosine_incorrect} END) AS above FROM r{t}),
+a{t} AS (SELECT qid, CASE WHEN bool_or(rel) THEN 'CORRECT' WHEN NOT bool_or(above) THEN 'INCORRECT' ELSE 'AMBIGUOUS' END AS action FROM g{t} GROUP BY qid),
+k{t} AS (SELECT *, CASE WHEN action = 'CORRECT' THEN rel WHEN action = 'AMBIGUOUS' THEN above ELSE false END AS kept FROM g{t} JOIN a{t} USING (qid))""")
+        active = f"SELECT qid FROM a{t} WHERE action <> 'CORRECT'"
+    every = " UNION ALL ".join(f"SELECT qid, chunk_id, score, rerank FROM k{t} WHERE kept" for t in turns)
+    asked = " UNION ALL ".join(f"SELECT DISTINCT qid FROM k{t} WHERE rerank" for t in turns)
+    return ",\n".join(rounds) + f""",
+pool AS ({every}),
+mixed AS (SELECT qid FROM pool GROUP BY qid HAVING count(DISTINCT rerank) > 1),
+final AS (SELECT qid, chunk_id, CASE WHEN qid IN (SELECT qid FROM mixed) THEN any_value(pair_score) ELSE max(score) END AS score FROM pool JOIN pairs USING (qid, chunk_id) GROUP BY qid, chunk_id),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) - 1 AS rank FROM final) WHERE rank < {c.k}),
+calls AS (SELECT qid, count(*) AS calls FROM ({asked} UNION ALL SELECT qid FROM mixed) GROUP BY qid)"""
+
+
+_CORRECTIVE_SQL = f"WITH {BASE_SQL}, {dense_sql(CORRECTIVE.deepest)}, {PAIR_SQL}, {corrective_sql(CORRECTIVE)}"
 _TURNS = range(CORRECTIVE.correction_rounds + 1)
 _BAR, _FLOOR = RetrievalConfig().cosine_relevant, RetrievalConfig().cosine_incorrect
 
@@ -240,10 +271,7 @@ ORACLES = {
     "risk_coverage": _refusal_sql(THRESHOLDS),
     "latency_mean_p95": """WITH e AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS rn, count(*) OVER (PARTITION BY event_type) AS n, avg(value) OVER (PARTITION BY event_type) AS mean FROM events WHERE value IS NOT NULL)
 SELECT event_type, n, round(mean, 6) AS mean_value, value AS p95 FROM e WHERE rn = least(n - 1, CAST(floor(n * CAST(0.95 AS DOUBLE)) AS BIGINT))""",
-    "mcnemar": f"""WITH {GOLDEN_SQL}, {ARMS_SQL}, {METRICS_SQL},
-pairs AS (SELECT a.arm, coalesce(a.first < 5, false) AS arm_hit, coalesce(b.first < 5, false) AS base_hit, a.rr - b.rr AS d FROM items a JOIN items b USING (qid) WHERE b.arm = 'given' AND a.arm <> 'given'),
-c AS (SELECT arm, count(*) AS n, count(*) FILTER (WHERE arm_hit AND NOT base_hit) AS won, count(*) FILTER (WHERE base_hit AND NOT arm_hit) AS lost, round(avg(d), 6) AS delta_mrr FROM pairs GROUP BY arm)
-SELECT arm, n, won, lost, delta_mrr, CASE WHEN won + lost = 0 THEN 1.0 ELSE round(least(1.0, 2 * list_sum(list_transform(range(least(won, lost) + 1), lambda i: exp(lgamma(won + lost + 1) - lgamma(i + 1) - lgamma(won + lost - i + 1) - (won + lost) * ln(2))))), 6) END AS p_value FROM c""",
+    "mcnemar": f"WITH {GOLDEN_SQL}, {ARMS_SQL}, {METRICS_SQL}, {PAIRED_SQL.format(base='given')}",
     "grade_threshold": f"""WITH r AS (SELECT DISTINCT qid, chunk_id, score, CAST(rank AS BIGINT) AS rank FROM ranked), q AS (SELECT DISTINCT id AS qid FROM golden_items),
 m AS (SELECT *, score >= {_BAR} AS is_relevant, score > {_FLOOR} AS above FROM r),
 a AS (SELECT qid, CASE WHEN bool_or(is_relevant) THEN 'CORRECT' WHEN NOT bool_or(above) THEN 'INCORRECT' ELSE 'AMBIGUOUS' END AS action FROM m GROUP BY qid)
@@ -251,15 +279,13 @@ SELECT qid, chunk_id, score, rank, is_relevant, CASE WHEN chunk_id IS NULL THEN
 FROM q LEFT JOIN a USING (qid) LEFT JOIN m USING (qid)""",
     "corrective_trace": _CORRECTIVE_SQL
     + " UNION ALL ".join(
-        f" SELECT qid, CAST({t} AS BIGINT) AS round_idx, count(chunk_id) AS n_candidates, action, count(*) FILTER (WHERE kept) AS n_kept, "
+        f" SELECT qid, CAST({t} AS BIGINT) AS round_idx, question AS query, count(*) AS n_candidates, rerank AS reranked, action, coalesce(string_agg(chunk_id, ',' ORDER BY rank) FILTER (WHERE kept), '') AS kept, count(*) FILTER (WHERE kept) AS n_kept, "
         + ("CAST(NULL AS VARCHAR)" if t == _TURNS[-1] else "CASE WHEN action <> 'CORRECT' THEN 'widen' END")
-        + f" AS correction FROM k{t} GROUP BY qid, action"
+        + f" AS correction FROM k{t} JOIN qs USING (qid) GROUP BY qid, question, rerank, action"
         for t in _TURNS
     ),
-    "corrective_contexts": _CORRECTIVE_SQL
-    + f""", pool AS (SELECT qid, chunk_id, max(score) AS score FROM ({" UNION ALL ".join(f"SELECT qid, chunk_id, score FROM k{t} WHERE kept" for t in _TURNS)}) GROUP BY ALL),
-best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) - 1 AS rank FROM pool) WHERE rank < {CORRECTIVE.k})
-SELECT qid, chunk_id, score, rank, chunk_id IS NULL AS refused FROM (SELECT DISTINCT qid FROM qs) LEFT JOIN best USING (qid)""",
+    "corrective_contexts": f"{_CORRECTIVE_SQL} SELECT qid, chunk_id, score, rank, chunk_id IS NULL AS refused FROM (SELECT DISTINCT qid FROM qs) LEFT JOIN best USING (qid)",
+    "corrective_calls": f"{_CORRECTIVE_SQL} SELECT qid, coalesce(calls, 0) AS calls FROM (SELECT DISTINCT qid FROM qs) LEFT JOIN calls USING (qid)",
     "prompt_build": f"""WITH q AS (SELECT DISTINCT id AS qid, question FROM golden_items), c AS (SELECT DISTINCT qid, text, rank FROM ranked WHERE rank < 3),
 s AS (SELECT qid, string_agg('[' || (rank + 1) || '] ' || text, chr(10) ORDER BY rank, text) AS sources FROM c GROUP BY qid)
 SELECT qid, '{generation.HEADER.replace("'", "''")}' || chr(10) || chr(10) || 'Sources:' || chr(10) || coalesce(sources, '') || chr(10) || chr(10) || 'Question: ' || coalesce(question, '') || chr(10) || 'Answer:' AS prompt FROM q LEFT JOIN s USING (qid)""",

@@ -85,8 +85,7 @@ def adaptive_gate(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def second_scores(spark: SparkSession, directory: str, ranked: DataFrame) -> DataFrame:
-    chunks = table(spark, directory, "chunks")
-    return reranking.coverage_scores(ranked, questions(spark, directory), chunks, bm25.build_bm25(chunks))
+    return reranking.coverage_scores(ranked, questions(spark, directory), bm25.build_bm25(table(spark, directory, "chunks")))
 
 
 def rerank_topk(spark: SparkSession, directory: str) -> DataFrame:

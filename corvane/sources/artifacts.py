@@ -24,8 +24,13 @@ def data_folder(given: str | None = None) -> str:
 
 
 def read_blocks(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(path, content) of whole text files."""
-    return spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
+    """(path, start, seq, content) of text files, a row for each stretch between empty lines, in the order of (path, start, seq).
+
+    Files are split like any other, so a file of any size fills many tasks; only
+    where lines end in CR LF, and so no two LF stand together, is a file one row.
+    """
+    rows = spark.read.text(paths, lineSep="\n\n")
+    return rows.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("seq"), F.col("value").alias("content"))
 
 
 def read_lines(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
@@ -37,8 +42,18 @@ def read_lines(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     return checked.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
 
 
-def write_lines(rows: DataFrame, path: str) -> None:
-    rows.write.mode("overwrite").json(path)
+def write_golden(rows: DataFrame, path: str) -> None:
+    """Golden items as JSON lines; refused where an item that is to be answered has no gold comment."""
+    empty = rows.where((F.coalesce("type", F.lit("")) != "refuse") & (F.coalesce(F.size("gold_source_ids"), F.lit(-1)) < 1)).select("id").limit(20).collect()
+    if empty:
+        raise ValueError(f"no comment found for {', '.join(str(r.id) for r in empty)}")
+    rows.select(*GOLDEN.fieldNames()).write.mode("overwrite").json(path)
+
+
+def read_floors(spark: SparkSession, path: str) -> DataFrame:
+    """(arm, metric, floor) from JSON {"arms": {arm: {metric: floor}}}; other keys are remarks."""
+    raw = spark.read.text(path, wholetext=True).select(F.from_json("value", "arms map<string, map<string, double>>").alias("r"))
+    return raw.select(F.explode("r.arms").alias("arm", "metrics")).select("arm", F.explode("metrics").alias("metric", "floor"))
 
 
 class Artifacts:

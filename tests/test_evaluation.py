@@ -1,12 +1,16 @@
 from __future__ import annotations
 
 import math
+import random
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from corvane import models, report, tools
 from corvane.operators import generation, golden, metrics, stats
+from corvane.sources import artifacts
 
 
 @pytest.fixture
@@ -62,6 +66,31 @@ def test_mcnemar(spark, b, c, p):
     assert frame.select(stats.mcnemar(F.col("b"), F.col("c"))).first()[0] == pytest.approx(p, abs=6e-4)
 
 
+@pytest.mark.parametrize("spread", ["even", "tail", "one value", "infinite"])
+def test_nearest_rank_of_many(spark, spread):
+    values = {"even": lambda i: i / 7, "tail": lambda i: 2.0 ** (i / 400), "one value": lambda i: 3.0, "infinite": lambda i: math.inf if i % 3 == 0 else float(i)}[spread]
+    frame = spark.range(20_000).rdd.map(lambda r: ("k", float(values(r[0])))).toDF("k string, v double")
+    expected = sorted(values(i) for i in range(20_000))
+    for share in (0.5, 0.95):
+        assert metrics.nearest_rank(frame, "k", "v", share, together=100).first()["at"] == expected[int(share * 20_000)]
+
+
+def test_bootstrap_by_counts_agrees():
+    values = [0.5] * 30 + [-0.25] * 50 + [0.0] * 120
+    exact = stats.bootstrap_interval(values, resamples=4000)
+    counted = stats.counted_interval([0.5, -0.25, 0.0], [30, 50, 120], resamples=4000)
+    assert exact == pytest.approx(counted, abs=0.01)
+    with pytest.raises(ValueError):
+        stats.paired_interval([0.0], [1.0, 0.0])
+    assert stats.paired_interval([0.0] * 20, [1.0] * 20, resamples=50) == (1.0, 1.0)
+
+
+def test_bootstrap_draws_as_the_seed_says():
+    draw, differences = random.Random(stats.SEED), [0.0, 0.5, -1.0, 0.25]
+    means = sorted(sum(differences[draw.randrange(4)] for _ in range(4)) / 4 for _ in range(400))
+    assert stats.bootstrap_interval(differences, resamples=400) == (means[10], means[390])
+
+
 def test_bootstrap():
     assert stats.bootstrap_interval([0.0] * 20, resamples=200) == (0.0, 0.0)
     assert stats.bootstrap_interval([1.0] * 20, resamples=200) == (1.0, 1.0)
@@ -72,11 +101,24 @@ def test_bootstrap():
 
 
 def test_golden_resolution(spark):
-    comments = spark.createDataFrame([("s1", "The SD-card slot heats up"), ("s2", "cardboard"), ("s3", None)], "source_id string, text string")
-    items = [("i1", ["sd card", "heat*"]), ("i2", []), ("i3", ["missing"])]
-    found = golden.resolve(items, comments)
-    assert {(r.item_id, r.source_id) for r in found.collect()} == {("i1", "s1"), ("i2", None), ("i3", None)}
-    assert [r.item_id for r in golden.unresolved(items, found).collect()] == ["i3"]
+    comments = spark.createDataFrame([("s1", "The SD-card slot heats up"), ("s2", "cardboard"), ("s3", None), ("s4", "a 144 hz panel"), ("s5", "überhaupt 144Hz!"), ("s6", "x144hz")], "source_id string, text string")
+    items = [("i1", ["sd card", "heat*"]), ("i2", []), ("i3", ["missing"]), ("i4", ["144hz"]), ("i5", ["über*"]), ("i6", None)]
+    for asked in (items, golden.as_items(spark, items)):
+        found = golden.resolve(asked, comments)
+        assert {(r.item_id, r.source_id) for r in found.collect()} == {("i1", "s1"), ("i2", None), ("i3", None), ("i4", "s4"), ("i4", "s5"), ("i5", "s5"), ("i6", None)}
+        assert [r.item_id for r in golden.unresolved(asked, found).collect()] == ["i3"]
+    assert golden.resolve([("i", [])], comments).collect()[0].source_id is None
+    with pytest.raises(Exception, match="no letter or digit"):
+        golden.resolve([("i", ["++"])], comments).collect()
+
+
+def test_golden_sink_refuses(spark, tmp_path):
+    schema = "id string, question string, answer string, gold_source_ids array<string>, type string, difficulty string"
+    good = spark.createDataFrame([("a", "q", "x", ["s"], "factoid", None), ("b", "q", "", None, "refuse", None)], schema)
+    artifacts.write_golden(good, str(tmp_path / "good"))
+    assert artifacts.read_lines(spark, str(tmp_path / "good"), artifacts.GOLDEN).count() == 2
+    with pytest.raises(ValueError, match="no comment found for c"):
+        artifacts.write_golden(good.union(spark.createDataFrame([("c", "q", "x", [], "factoid", None)], schema)), str(tmp_path / "bad"))
 
 
 def test_prompts_and_citations(spark):
@@ -89,33 +131,62 @@ def test_prompts_and_citations(spark):
     assert expanded["q"] == "See [2] and [9], [2], [1].\n\nSources:\n[2] c1: second\n[1] c0: first" and expanded["r"] == "none"
 
 
-@pytest.mark.parametrize(("expression", "value"), [("60/200*100", "30.0"), ("57.59 + 6", "63.59"), ("2**10", "1024"), ("9**9**9**9", None), ("2**1000", None), ("abs(1)", None), ("", None), ("1/0", None)])
+VALUES = [
+    ("60/200*100", "30.0"), ("57.59 + 6", "63.59"), ("2**10", "1024"), ("-2**2", "-4"), ("2**-1", "0.5"), ("2**3**2", "512"), ("(1 + 2) * -(3 - 5)", "6"), ("-7 % 3", "2"), ("1e3 + .5", "1000.5"), ("--3", "3"), ("8 / 2 / 2", "2.0"), ("1 - 2 - 3", "-4"),
+    ("9**9**9**9", None), ("2**1000", None), ("10000000**2", None), ("abs(1)", None), ("", None), ("1/0", None), ("1 2", None), ("(1", None), ("1)", None), ("* 2", None), ("1 +", None), ("()", None), ("07", None),
+]
+
+
+@pytest.mark.parametrize(("expression", "value"), VALUES)
 def test_calculator(expression, value):
     got = tools.calculate(expression)
     assert got == value if value else got.startswith("Error")
 
 
-def _context():
-    return tools.ToolContext(lambda q, k: [{"chunk_id": "c1", "text": "one"}, {"chunk_id": "c2", "text": "two"}][:k], lambda c: ["s1"] if c == "c1" else None)
-
-
-def test_agent_stops_at_its_budget():
-    call = ("tool_use", [{"type": "tool_use", "id": "x", "name": "search_corpus", "input": {"query": "a"}}])
-    allowed = []
-
-    def model(messages, may):
-        allowed.append(may)
-        return call if may else ("end_turn", [{"type": "text", "text": "done"}])
-
-    result = tools.run_agent("q", model, _context(), most_steps=2)
-    assert result.answer == "done" and allowed == [True, True, False] and [c["chunk_id"] for c in result.contexts] == ["c1", "c2"] and len(result.trace) == 2
+@settings(max_examples=300, deadline=None)
+@given(st.recursive(st.integers(0, 9).map(str) | st.sampled_from(["1.5", "0.25"]), lambda x: st.tuples(x, st.sampled_from(["+", "-", "*", "/", "%", " - -"]), x).map(lambda t: f"({t[0]}{t[1]}{t[2]})") | st.tuples(x, x).map(lambda t: f"{t[0]} + {t[1]}"), max_leaves=8))
+def test_calculator_against_python(expression):
+    try:
+        expected = str(eval(expression))  # noqa: S307 - digits and operators made above
+    except ZeroDivisionError:
+        expected = None
+    got = tools.calculate(expression)
+    assert got == expected if expected else got.startswith("Error")
 
 
-def test_tools_by_name():
-    context = _context()
-    assert tools.run_tool("fetch_chunk", {"chunk_id": "c1"}, context) == "[c1] sources=s1"
-    assert tools.run_tool("search_corpus", {"query": "x", "k": 0}, context) == "No chunks found."
-    assert tools.run_tool("other", {}, context).startswith("Unknown tool")
+@pytest.fixture
+def box(spark):
+    chunks = spark.createDataFrame([("c1", "one", ["s2", "s1"]), ("c2", "two", None), ("c1", "one", ["s2", "s1"])], "chunk_id string, text string, source_ids array<string>")
+
+    def search(calls, k):
+        both = chunks.select("chunk_id").distinct().withColumn("rank", F.when(F.col("chunk_id") == "c1", 0).otherwise(1))
+        return calls.where("query <> 'nothing'").select("call").crossJoin(both).where(F.col("rank") < k)
+
+    return tools.ToolBox(chunks, search)
+
+
+def test_tools_by_name(spark, box):
+    given = [("search_corpus", {"query": "x", "k": 1}), ("search_corpus", {"query": "nothing"}), ("fetch_chunk", {"chunk_id": "c1"}), ("fetch_chunk", {"chunk_id": "c9"}), ("calculator", {"expression": "1+1"}), ("other", {})]
+    script = [{"calls": [{"name": n, "input": i} for n, i in given]}, {"text": " done ", "calls": []}]
+    asked = spark.createDataFrame([("q", "?"), ("r", None)], "qid string, question string")
+    run = tools.run_agents(asked, models.ScriptedTurns(script), box)
+    assert {(r.qid, r.answer, r.steps) for r in run.answers.collect()} == {("q", "done", 2), ("r", "done", 2)}
+    outputs = {r.call_no: r.output for r in run.trace.where("qid = 'q'").collect()}
+    assert outputs == {0: "[c1] one", 1: "No chunks found.", 2: "[c1] sources=s2,s1\none", 3: "No chunk with id c9.", 4: "2", 5: "Unknown tool: other"}
+    assert [(r.chunk_id, r.text) for r in run.contexts.where("qid = 'r'").collect()] == [("c1", "one")]
+
+
+def test_agents_stop_at_their_budget(spark, box):
+    class Restless:
+        def turn(self, question, history, final):
+            if question == "broken":
+                raise RuntimeError
+            return {"text": f"after {len(history)}", "calls": [{"name": "search_corpus", "input": {"query": "a"}}]} if not final else {"text": f"after {len(history)}"}
+
+    asked = spark.createDataFrame([("q", "?"), ("x", "broken")], "qid string, question string")
+    run = tools.run_agents(asked, Restless(), box, most_steps=2)
+    assert {(r.qid, r.answer, r.steps) for r in run.answers.collect()} == {("q", "after 2", 2), ("x", "", 1)}
+    assert run.trace.count() == 2 and [r.chunk_id for r in run.contexts.orderBy("place").collect()] == ["c1", "c2"]
 
 
 def test_models(spark):

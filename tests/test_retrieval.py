@@ -6,7 +6,11 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from corvane.config import RetrievalConfig
+from corvane.engine import Engine
+from corvane.models import ScriptedChat
 from corvane.operators import bm25, corrective, fusion, reranking, vectors
 
 TEXTS = {"c0": "battery drains fast", "c1": "the battery lasts", "c2": "screen is bright the", "c3": "", "c4": "the camera the"}
@@ -112,21 +116,82 @@ def test_grade_actions(spark):
     assert sorted((r.qid, r.chunk_id) for r in found if r.kept) == [("good", "a"), ("weak", "a")]
 
 
-def test_corrective_loop_by_hand(spark):
-    config = RetrievalConfig(k=2, cosine_relevant=0.5, cosine_incorrect=0.3)
-    lists = {"first": [0.6, 0.4], "second": [0.45, 0.2, 0.42, 0.1], "never": [0.2] * 8, "third": [0.35, 0.34, 0.33, 0.32, 0.31]}
-    ranked = spark.createDataFrame([(q, f"c{i}", s, i, "cosine") for q, l in lists.items() for i, s in enumerate(sorted(l, reverse=True))], "qid string, chunk_id string, score double, rank int, signal string")
-    asked = spark.createDataFrame([(q,) for q in [*lists, "empty"]], "qid string")
-    trace, contexts = corrective.correct(ranked, asked, config)
-    actions = {}
-    for r in sorted(trace.collect(), key=lambda r: r.round_idx):
-        actions.setdefault(r.qid, []).append((r.action, r.n_candidates, r.correction))
-    assert actions["first"] == [("CORRECT", 2, None)]
-    assert actions["second"] == [("AMBIGUOUS", 2, "widen"), ("CORRECT", 4, None)]
-    assert actions["never"] == [("INCORRECT", 2, "widen"), ("INCORRECT", 4, "widen"), ("INCORRECT", 8, None)]
-    assert actions["third"][-1][0] == "CORRECT" and actions["empty"][-1] == ("AMBIGUOUS", 0, None)
-    got = {q: [r.chunk_id for r in sorted((r for r in contexts.collect() if r.qid == q), key=lambda r: r.rank)] for q in lists}
-    assert got["first"] == ["c0"] and got["never"] == [] and len(got["third"]) == 2
+def scripted(spark, lists, *, second=None, gate=False, rewrite=None):
+    """Steps over lists of (chunk_id, score) by question text; second scores by chunk."""
+    rows = [(q, c, s, i) for q, found in lists.items() for i, (c, s) in enumerate(found)]
+    table = spark.createDataFrame(rows, "question string, chunk_id string, score double, rank int")
+    scores = spark.createDataFrame(list((second or {"-": 0.0}).items()), "chunk_id string, pair_score double")
+
+    def rewritten(some, weak):
+        return some.select("qid", F.lit(rewrite).alias("rewritten"))
+
+    return corrective.Steps(
+        lambda some, n: some.join(table, "question").where(F.col("rank") < n).select("qid", "chunk_id", "score", "rank"),
+        lambda ranked, some: some.select("qid", F.lit(gate).alias("rerank")),
+        lambda pairs, some: pairs.join(scores, "chunk_id"),
+        None,
+        rewritten if rewrite else None,
+    )
+
+
+LOOP = RetrievalConfig(k=3, rerank_candidates=20, cosine_relevant=0.45, cosine_incorrect=0.25)
+
+
+@pytest.mark.parametrize("loop", ["graph", "plain"])
+def test_the_loop_rewrites_then_succeeds(spark, loop):
+    asked = spark.createDataFrame([("q", "how long does it last")], "qid string, question string")
+    lists = {"how long does it last": [("j1", 0.2), ("j2", 0.1)], "battery endurance hours": [("g1", 0.8), ("g2", 0.6)]}
+    done = corrective.correct(asked, LOOP.with_(loop=loop), scripted(spark, lists, rewrite="battery endurance hours"))
+    rounds = corrective.all_rounds(done).orderBy("round_idx").collect()
+    assert [(r.action, r.correction, r.query) for r in rounds] == [("INCORRECT", "reformulate", "how long does it last"), ("CORRECT", None, "battery endurance hours")]
+    assert rounds[1].kept_chunk_ids == ["g1", "g2"] and [r.chunk_id for r in done.contexts.orderBy("rank").collect()] == ["g1", "g2"]
+
+
+@pytest.mark.parametrize("loop", ["graph", "plain"])
+def test_the_loop_widens_refuses_and_stops(spark, loop):
+    asked = spark.createDataFrame([("bad", "bad"), ("good", "good"), ("none", "none"), ("low", "low")], "qid string, question string")
+    lists = {"bad": [(f"j{i}", 0.1) for i in range(100)], "good": [("g1", 0.9)], "low": [("w", 0.4)]}
+    done = corrective.correct(asked, LOOP.with_(loop=loop, correction_rounds=1), scripted(spark, lists))
+    found = {(r.qid, r.round_idx): (r.action, r.n_candidates, r.correction) for r in corrective.all_rounds(done).collect()}
+    assert found == {("bad", 0): ("INCORRECT", 20, "widen"), ("bad", 1): ("INCORRECT", 40, None), ("good", 0): ("CORRECT", 1, None), ("none", 0): ("AMBIGUOUS", 0, "widen"), ("none", 1): ("AMBIGUOUS", 0, None), ("low", 0): ("AMBIGUOUS", 1, "widen"), ("low", 1): ("CORRECT", 1, None)}
+    assert {r.qid for r in done.contexts.collect()} == {"good", "low"} and done.calls.count() == 0
+
+
+def test_the_loop_scores_again(spark):
+    asked = spark.createDataFrame([("q", "q")], "qid string, question string")
+    done = corrective.correct(asked, LOOP, scripted(spark, {"q": [("a", 0.9), ("b", 0.5)]}, second={"a": -5.0, "b": 2.0}, gate=True))
+    row = corrective.all_rounds(done).first()
+    assert (row.reranked, row.action, row.kept_chunk_ids) == (True, "CORRECT", ["b"]) and done.calls.first().calls == 1
+    sparse = corrective.correct(asked, LOOP.with_(retrieval="sparse"), scripted(spark, {"q": [("a", 9.0), ("b", 8.0)]}, second={"a": 1.0, "b": 2.0}))
+    row = corrective.all_rounds(sparse).first()
+    assert (row.reranked, row.scored, row.kept_chunk_ids) == (False, True, ["a", "b"])
+
+
+def test_who_is_asked(spark):
+    ranked = spark.createDataFrame([(q, "c", 0.9, 0) for q in "abc"] + [(q, "d", 0.1, 1) for q in "abc"], "qid string, chunk_id string, score double, rank int")
+    asked = spark.createDataFrame([("a", "compare them"), ("b", "price"), ("c", None)], "qid string, question string")
+    said = reranking.routed(asked, ScriptedChat([("compare", "Yes."), ("price", "no")], "no"))
+    found = reranking.gate(ranked, asked, RetrievalConfig(rerank="llm"), asks=said).collect()
+    assert {r.qid: r.rerank for r in found} == {"a": True, "b": False, "c": False}
+    with pytest.raises(ValueError):
+        reranking.gate(ranked, asked, RetrievalConfig(rerank="llm"))
+
+
+def test_models_plug_in(spark):
+    class Lengths:
+        def score(self, questions, texts):
+            return [float(len(q) - len(t)) for q, t in zip(questions, texts)]
+
+        def encode(self, texts):
+            return [[1.0, 0.0] if "x" in t else [0.0, 1.0] for t in texts]
+
+    chunks = spark.createDataFrame([("c1", "x", ["s"], "d"), ("c2", "yyy", ["t"], "d")], "chunk_id string, text string, source_ids array<string>, doc_id string")
+    asked = spark.createDataFrame([("q", "ax")], "qid string, question string")
+    engine = Engine(chunks, RetrievalConfig(rerank="always", k=2), embedder=Lengths(), scorer=Lengths())
+    assert [(r.chunk_id, r.score) for r in engine.retrieve(asked).orderBy("rank").collect()] == [("c1", 1.0), ("c2", -1.0)]
+    assert engine.dimension == 2 and engine.size == 2
+    graded = Engine(chunks, RetrievalConfig(mode="crag", grader="llm"), embedder=Lengths(), model=ScriptedChat([("Passage: y", "YES")])).corrective(asked)
+    assert [r.chunk_id for r in graded.contexts.collect()] == ["c2"]
 
 
 def test_mixed_signals_are_scored_again(spark):
