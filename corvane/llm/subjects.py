@@ -27,7 +27,11 @@ from corvane.operators.durable import cut
 
 @dataclass(frozen=True)
 class SubjectRule:
-    """labelled_share is what the examples keep of the training, block_words how many words a task's arrays hold at a time."""
+    """labelled_share is what the examples keep of the training, block_words how many words a task's arrays hold at a time.
+
+    most_words bounds the vocabulary, and so what driver and tasks hold: rarer
+    words than the most frequent that many are known by their n-grams alone.
+    """
 
     least_share: float = 0.25
     labelled_share: float = 0.06
@@ -36,7 +40,7 @@ class SubjectRule:
     buckets: int = 8192
     rounds: int = 10
     steps: int = 12
-    partitions: int = 4
+    most_words: int = 200_000
     rate: float = 0.05
     smoothing: float = 0.02
     sure: float = 0.6
@@ -128,6 +132,9 @@ class SubjectModel:
         return (np.array(weights, np.float32) @ self.embeddings[rows]) @ self.outputs if rows else np.zeros(self.outputs.shape[1], np.float32)
 
 
+_SLICE = 16_384  # parameters that are averaged together
+
+
 def _packed(values: list | np.ndarray, kind: type) -> bytes:
     return np.asarray(values, kind).tobytes()
 
@@ -145,7 +152,7 @@ class _Block:
     """
 
     COLUMNS = {"local": np.int32, "grams": np.int32, "gram_lengths": np.int32, "words": np.int32, "lengths": np.int32, "part": np.float32, "bags": np.int32, "sentences": np.int32, "targets": np.float32}
-    SCHEMA = ", ".join(f"{c} binary" for c in COLUMNS) + ", given boolean"
+    SCHEMA = ", ".join(f"{c} binary" for c in COLUMNS) + ", given boolean, weight double"
 
     def __init__(self, row: dict) -> None:
         for name, kind in self.COLUMNS.items():
@@ -153,12 +160,13 @@ class _Block:
         self.given = row["given"]
         self.starts = _bounds(self.lengths)
 
-    def vectors(self, embeddings: np.ndarray, own: np.ndarray) -> np.ndarray:
-        """Dimensions by words; own are the vectors of the vocabulary, embeddings end with those of the n-grams."""
+    def vectors(self, embeddings: np.ndarray, own: np.ndarray, place: np.ndarray | None = None) -> np.ndarray:
+        """Dimensions by words; own are the vectors of the vocabulary, or of the words at `place`, embeddings those of the n-grams."""
+        place = self.local if place is None else place
         if not len(self.gram_lengths):
-            return np.ascontiguousarray(own[self.local].T)
+            return np.ascontiguousarray(own[place].T)
         rest = np.add.reduceat(embeddings[self.grams], _bounds(self.gram_lengths), axis=0) / self.gram_lengths[:, None]
-        return np.ascontiguousarray(np.concatenate([own[self.local], rest]).T)
+        return np.ascontiguousarray(np.concatenate([own[place], rest]).T)
 
     def means(self, vectors: np.ndarray, part: np.ndarray) -> np.ndarray:
         return np.stack([np.add.reduceat(v[self.words] * part, self.starts) for v in vectors], 1)
@@ -206,11 +214,12 @@ def _block(documents: list[list[list[str]]], vocabulary: dict[str, int], importa
         "sentences": _packed([len(d) for d in documents], np.int32),
         "targets": _packed([] if targets is None else targets, np.float32),
         "given": targets is not None,
+        "weight": 0.0,
     }
 
 
 def _rows(rows: list[dict]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pylist(rows, pa.schema([*[(c, pa.binary()) for c in _Block.COLUMNS], ("given", pa.bool_())]))
+    return pa.RecordBatch.from_pylist(rows, pa.schema([*[(c, pa.binary()) for c in _Block.COLUMNS], ("given", pa.bool_()), ("weight", pa.float64())]))
 
 
 def _blocks_of(documents: Iterator[list[list[str]]], size: int) -> Iterator[list[list[list[str]]]]:
@@ -262,6 +271,11 @@ class _Vocabulary:
     grams: np.ndarray
     lengths: np.ndarray
 
+    def of(self, words: np.ndarray) -> _Vocabulary:
+        """The same of some words."""
+        starts, lengths = _bounds(self.lengths)[words] if len(self.lengths) else words, self.lengths[words]
+        return _Vocabulary(self.grams[np.repeat(starts - _bounds(lengths), lengths) + np.arange(lengths.sum())], lengths)
+
     def vectors(self, embeddings: np.ndarray) -> np.ndarray:
         """The vectors of the words: half their own embedding, half the mean of their n-grams'."""
         own = embeddings[: len(self.lengths)]
@@ -276,7 +290,7 @@ class _Vocabulary:
         return np.concatenate([0.5 * words, grams + np.stack(to_grams, 1)]).astype(np.float32)
 
 
-def _gradient(block: _Block, balance: np.ndarray, times: float, smoothing: float, own: np.ndarray, grams: np.ndarray, outputs: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, float]:
+def _gradient(block: _Block, place: np.ndarray, balance: np.ndarray, times: float, smoothing: float, own: np.ndarray, grams: np.ndarray, outputs: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, float]:
     """Of the block's weighted logistic losses: the gradient to its local words, to the n-grams, the outputs and the bias; the sum of weights."""
     targets = block.targets.reshape(len(block.lengths), -1)
     if block.given:
@@ -285,7 +299,7 @@ def _gradient(block: _Block, balance: np.ndarray, times: float, smoothing: float
     else:
         wanted = targets * balance
         weights = wanted.sum(1)
-    means = block.means(block.vectors(grams, own), block.part)
+    means = block.means(block.vectors(grams, own, place), block.part)
     scores = 1 / (1 + np.exp(-np.clip(means @ outputs + bias, -30, 30)))
     error = (scores - smoothing) * weights[:, None] - (1 - 2 * smoothing) * wanted
     down = np.ascontiguousarray((error @ outputs.T).T)
@@ -296,39 +310,90 @@ def _gradient(block: _Block, balance: np.ndarray, times: float, smoothing: float
     return back[: len(block.local)], to_grams, means.T @ error, error.sum(0), float(weights.sum())
 
 
-def _train(model: SubjectModel, words: _Vocabulary, data: DataFrame, balance: np.ndarray, times: float) -> None:
-    """Full-batch steps of Adam; the gradient is the sum over partitions, each a task of its own."""
-    rule, context = model.rule, data.sparkSession.sparkContext
-    parameters = (model.embeddings, model.outputs, model.bias)
-    state = [[np.zeros_like(p), np.zeros_like(p)] for p in parameters]
-    known, shapes = len(words.lengths), None
-    for step in range(1, rule.steps + 1):
-        sent = context.broadcast((words.vectors(model.embeddings).astype(np.float32), model.embeddings[known:], model.outputs, model.bias))
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            total = None
-            for b in batches:
-                for row in b.to_pylist():
-                    block = _Block(row)
-                    to_words, *rest = _gradient(block, balance, times, rule.smoothing, *sent.value)
-                    if total is None:
-                        total = [np.zeros(sent.value[0].shape), *[np.zeros_like(x) for x in rest]]
-                    total[0][block.local] += to_words
-                    for k, x in enumerate(rest):
-                        total[k + 1] = total[k + 1] + x
-            if total is not None:
-                yield pa.RecordBatch.from_arrays([pa.array([np.asarray(x, np.float32).tobytes()], pa.binary()) for x in total], ["w", "g", "o", "b", "n"])
-
-        parts = data.mapInArrow(run, "w binary, g binary, o binary, b binary, n binary").collect()
-        sent.destroy()
-        shapes = {"w": (known, rule.dimensions), "g": (rule.buckets, rule.dimensions), "o": model.outputs.shape, "b": model.bias.shape, "n": ()}
-        total = {k: sum(np.frombuffer(p[k], np.float32).reshape(shape) for p in parts) for k, shape in shapes.items()}
-        for k, (grad, parameter) in enumerate(zip((words.back(total["w"], total["g"]), total["o"], total["b"]), parameters)):
-            grad = grad / total["n"]
-            first, second = state[k]
-            first += 0.1 * (grad - first)
-            second += 0.02 * (grad * grad - second)
-            parameter -= rule.rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.98**step)) + 1e-8)
+class _Adam:
+    """Steps of Adam over several parameters."""
+
+    def __init__(self, parameters: tuple[np.ndarray, ...], rate: float):
+        self.parameters, self.rate, self.step = parameters, rate, 0
+        self.state = [(np.zeros_like(p), np.zeros_like(p)) for p in parameters]
+
+    def move(self, gradients: tuple[np.ndarray, ...]) -> None:
+        self.step += 1
+        for g, p, (first, second) in zip(gradients, self.parameters, self.state):
+            first += 0.1 * (g - first)
+            second += 0.02 * (g * g - second)
+            p -= self.rate * (first / (1 - 0.9**self.step)) / (np.sqrt(second / (1 - 0.98**self.step)) + 1e-8)
+
+
+def _train(model: SubjectModel, words: _Vocabulary, given: list[dict], joined: DataFrame | None, balance: np.ndarray, times: float) -> None:
+    """Steps of Adam on the examples and the sentences of each partition, synchronised at the end.
+
+    A task moves a copy of the parameters by the gradients of its own sentences,
+    weighted as if they were all, and of the examples, which every task holds;
+    the moves, weighted by the tasks' sentences, are averaged in Spark, each
+    parameter's over the tasks that had a gradient for it, so that only one set
+    of parameters reaches the driver however many tasks there are.
+    Without other sentences the driver's own process takes the steps.
+    """
+    rule, known = model.rule, len(words.lengths)
+    shapes = [model.embeddings.shape, model.outputs.shape, model.bias.shape]
+
+    def moved(start: tuple[np.ndarray, ...], examples: list[_Block], own: list[_Block], share: float) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
+        """(rows of the embeddings that can move, the parameters after the steps, of the embeddings only these rows): words that don't occur cost nothing."""
+        blocks = [*((b, share) for b in examples), *((b, 1.0) for b in own)]
+        used = np.unique(np.concatenate([b.local for b, _ in blocks])) if blocks else np.zeros(0, np.int32)
+        some = words.of(used)
+        rows = np.concatenate([used, np.arange(known, len(start[0]))])
+        parameters = (start[0][rows], start[1].copy(), start[2].copy())
+        adam, places = _Adam(parameters, rule.rate), [np.searchsorted(used, b.local) for b, _ in blocks]
+        for _ in range(rule.steps):
+            embeddings, outputs, bias = parameters
+            vectors, rest = some.vectors(embeddings).astype(np.float32), embeddings[len(used) :]
+            to_words, to_rest = np.zeros(vectors.shape), None
+            for (block, weight), place in zip(blocks, places):
+                g = _gradient(block, place, balance, times, rule.smoothing, vectors, rest, outputs, bias)
+                to_words[place] += weight * g[0]
+                scaled = [weight * x for x in g[1:]]
+                to_rest = scaled if to_rest is None else [x + y for x, y in zip(to_rest, scaled)]
+            grams, to_outputs, to_bias, total = to_rest
+            adam.move(tuple(x / total for x in (some.back(to_words, grams), to_outputs, to_bias)))
+        return rows, parameters
+
+    start = (model.embeddings, model.outputs, model.bias)
+    if joined is None:
+        rows, (moving, model.outputs, model.bias) = moved(start, [_Block(r) for r in given], [], 1.0)
+        model.embeddings[rows] = moving
+        return
+    sent = joined.sparkSession.sparkContext.broadcast((start, given))
+    whole = joined.agg(F.sum("weight")).first()[0] or 1.0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [row for b in batches for row in b.to_pylist()]
+        if rows:
+            first, examples = sent.value
+            own = sum(r["weight"] for r in rows)
+            moving, after = moved(first, [_Block(r) for r in examples], [_Block(r) for r in rows], own / whole)
+            embeddings = np.zeros(first[0].shape)
+            embeddings[moving] = after[0] - first[0][moving]
+            change = np.concatenate([embeddings.ravel(), *((x - y).ravel() for x, y in zip(after[1:], first[1:]))]).astype(np.float64) * own
+            change = np.concatenate([change, np.zeros(-len(change) % _SLICE)])
+            bounds, numbers = np.arange(0, len(change) + 1, _SLICE, dtype=np.int32), np.arange(len(change) // _SLICE, dtype=np.int32)
+            lists = [pa.ListArray.from_arrays(bounds, pa.array(x)) for x in (change, np.where(change != 0, own, 0.0))]
+            yield pa.RecordBatch.from_arrays([pa.array(numbers), *lists], ["at", "change", "weight"])
+
+    def averaged(key: tuple, rows: pa.Table) -> pa.Table:
+        change, weight = (rows.column(c).combine_chunks().flatten().to_numpy().reshape(-1, _SLICE).sum(0) for c in ("change", "weight"))
+        return pa.table({"at": pa.array([key[0].as_py()], pa.int32()), "change": pa.array([change / np.maximum(weight, 1e-9)], pa.list_(pa.float64()))})
+
+    parts = joined.mapInArrow(run, "at int, change array<double>, weight array<double>").groupBy("at").applyInArrow(averaged, "at int, change array<double>").toArrow()
+    sent.destroy()
+    parts = parts.sort_by("at")
+    flat, at, found = parts.column("change").combine_chunks().flatten().to_numpy(), 0, []
+    for shape in shapes:
+        size = int(np.prod(shape))
+        found.append(flat[at : at + size].reshape(shape).astype(np.float32))
+        at += size
+    model.embeddings, model.outputs, model.bias = (p + c for p, c in zip(start, found))
 
 
 def _with_context(scores: np.ndarray, home: np.ndarray) -> np.ndarray:
@@ -364,7 +429,7 @@ def _told(blocks: DataFrame, model: SubjectModel, words: _Vocabulary, seen: np.n
                 kept = targets.sum(1) > 0
                 if kept.any():
                     inner = np.repeat(kept, block.lengths)
-                    row |= {"words": _packed(block.words[inner], np.int32), "lengths": _packed(block.lengths[kept], np.int32), "part": _packed(block.part[inner], np.float32), "targets": _packed(targets[kept], np.float32), "bags": b"", "sentences": b""}
+                    row |= {"words": _packed(block.words[inner], np.int32), "lengths": _packed(block.lengths[kept], np.int32), "part": _packed(block.part[inner], np.float32), "targets": _packed(targets[kept], np.float32), "bags": b"", "sentences": b"", "weight": float(targets.sum())}
                     yield _rows([row])
 
     return blocks.mapInArrow(run, _Block.SCHEMA)
@@ -390,6 +455,12 @@ def _summary(data: DataFrame, known: int, outputs: int) -> tuple[np.ndarray, np.
     return targets, seen
 
 
+def _spread(rows: DataFrame) -> DataFrame:
+    """rows over as many partitions as there are cores, where a small table has fewer."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+
+
 def train_subjects(documents: DataFrame, subjects: DataFrame, examples: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rule: SubjectRule | None = None) -> SubjectModel:
     """Fits the classifier on all examples and on the sentences of all documents.
 
@@ -414,12 +485,12 @@ def train_subjects(documents: DataFrame, subjects: DataFrame, examples: DataFram
     for r in given:
         by_text.setdefault(r.text, set()).update([r.subject] if r.subject in names else [])
     labelled = [(s, [*(float(n in found) for n in names), float(not found)]) for text, found in by_text.items() if (s := [w for part in sentences_of(text) for w in part])]
-    texts = documents.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"))
+    texts = _spread(documents.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("text")))
 
     sentences = spark.createDataFrame(pa.table({"text": pa.array([" ".join(s) for s, _ in labelled], pa.string())}), "text string")
     counts = cut(_counted(texts.union(sentences)))
     total = counts.agg(F.coalesce(F.sum("occurrences"), F.lit(0))).first()[0]
-    told = counts.where("sentences > 1").orderBy("word").select("word", "occurrences").toArrow()
+    told = counts.where("sentences > 1").orderBy(F.desc("occurrences"), "word").limit(rule.most_words).orderBy("word").select("word", "occurrences").toArrow()
     vocabulary = {w: k for k, w in enumerate(told.column(0).to_pylist())}
     importance = rule.common / (rule.common + told.column(1).to_numpy() / max(total, 1))
     rng = np.random.default_rng(rule.seed)
@@ -443,28 +514,23 @@ def train_subjects(documents: DataFrame, subjects: DataFrame, examples: DataFram
         for part in _blocks_of(_texts_of(batches), rule.block_words):
             yield _rows([_block(part, *shared.value, rule)])
 
-    tasks = max(rule.partitions, spark.sparkContext.defaultParallelism)
-    blocks = cut(texts.mapInArrow(number, _Block.SCHEMA)).repartition(tasks).persist()
+    blocks = cut(texts.mapInArrow(number, _Block.SCHEMA))
     shares = np.array([y for _, y in labelled], np.float32)
     own = [_block([[s] for s, _ in labelled[k : k + 20_000]], vocabulary, importance, rule, shares[k : k + 20_000]) for k in range(0, len(labelled), 20_000)]
-    base = spark.createDataFrame(pa.Table.from_batches([_rows(own)]), _Block.SCHEMA).repartition(min(len(own), tasks)).persist()
-    base_targets, base_seen = _summary(base, len(vocabulary), len(names) + 1)
+    base_targets, base_seen = shares.sum(0, dtype=float), np.zeros(len(vocabulary), bool)
+    for row in own:
+        block = _Block(row)
+        base_seen[block.local] = True
     joined, targets, seen, times = None, np.zeros(len(names) + 1), base_seen, 1.0
     for turn in range(rule.rounds):
         balance = 1 / np.maximum(times * base_targets + targets, 1)
-        _train(model, words, base if joined is None else base.union(joined), balance, times)
+        _train(model, words, own, joined, balance, times)
         if turn < rule.rounds - 1:
-            before = joined
-            joined = _told(blocks, model, words, seen, rule.known_words * min(1.0, 3 / (turn + 1))).persist()
+            joined = cut(_told(blocks, model, words, seen, rule.known_words * min(1.0, 3 / (turn + 1))))
             targets, found = _summary(joined, len(vocabulary), len(names) + 1)
-            if before is not None:
-                before.unpersist()
             seen = base_seen | found
             times = max(4.0, rule.labelled_share / (1 - rule.labelled_share) * targets.sum() / len(labelled))
     model.seen = {w for w, k in vocabulary.items() if seen[k]}
-    for x in (joined, base, blocks):
-        if x is not None:
-            x.unpersist()
     shared.unpersist()
     return model
 
@@ -522,5 +588,5 @@ def document_subjects(documents: DataFrame, model: SubjectModel, *, id_col: str
                 )
 
     kind = documents.schema[id_col].dataType.simpleString()
-    needed = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
+    needed = _spread(documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null"))
     return needed.mapInArrow(run, f"id {kind}, subject string, share double, sentences int").withColumnRenamed("id", id_col)
