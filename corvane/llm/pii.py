@@ -3,11 +3,14 @@
 Candidates of each kind are found by form alone: number groups, street-like
 phrases, words that could be names, addresses of mail.  Seeds are candidates
 whose form or listing leaves no doubt.  The contexts in which candidates stand
-(the words before them) and the candidates' shapes make a graph whose edges are
-counted over all texts; scores flow from seeds to contexts, from contexts to
-shapes, and back.  Contexts and shapes of high score then find the identifiers
-that no seed covers, and contexts of low score keep order, model and serial
-numbers out.
+(the words before them) and the instances (shapes of numbers and addresses of
+mail, words of streets and names) make a graph whose edges are counted over all
+texts; scores flow from seeds to contexts, from contexts to instances, and back.
+Contexts and instances of high score then find the identifiers that no seed
+covers, and contexts of low score keep order, model and serial numbers out.
+
+Texts are read once, for candidates; graph, scores and decisions are tables that
+are joined, so nothing has to fit the driver.
 """
 
 from __future__ import annotations
@@ -15,16 +18,16 @@ from __future__ import annotations
 import re
 import unicodedata
 from bisect import bisect_right
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.llm.canonical import IGNORABLE_RANGES, canonical
-from corvane.operators.durable import cut
+from corvane.operators.durable import broadcast_below, cut
 
 KINDS = ("email", "phone", "id_number", "address", "person")
 
@@ -110,49 +113,6 @@ def shape(number: str) -> str:
     return re.sub(r"[A-Z]", "A", re.sub(r"\d", "9", number))
 
 
-@dataclass
-class NameForms:
-    """Listed name parts, and the starts and endings that they share: an unlisted part built of two of them, one of which at least `least` listed parts have, is a name too."""
-
-    listed: set[str]
-    starts: list[dict[str, int]] = field(default_factory=list)
-    endings: list[dict[str, int]] = field(default_factory=list)
-    least: int = 3
-
-    @classmethod
-    def learn(cls, parts: list[tuple[str, str]], least: int = 3) -> NameForms:
-        found = cls({canonical(p, casefold=True) for p, _ in parts}, least=least)
-        for kind in sorted({k for _, k in parts}):
-            words = {canonical(p, casefold=True) for p, k in parts if k == kind}
-            starts = Counter(w[:n] for w in words for n in range(3, len(w) - 1))
-            endings = Counter(w[n:] for w in words for n in range(3, len(w) - 1))
-            splits = [max(range(3, len(w) - 1), key=lambda n, w=w: starts[w[:n]] * endings[w[n:]]) for w in words if len(w) > 4]
-            best = [(w[:n], w[n:]) for w, n in zip((w for w in words if len(w) > 4), splits)]
-            first, last = Counter(a for a, _ in best), Counter(z for _, z in best)
-            found.starts.append({a: n for a, n in first.items() if n > 1})
-            found.endings.append({z: n for z, n in last.items() if n > 1})
-        return found
-
-    def __contains__(self, word: str) -> bool:
-        low = word.casefold()
-        if low in self.listed:
-            return True
-        for s, e in zip(self.starts, self.endings):
-            for n in range(3, len(low) - 1):
-                if low[:n] in s and low[n:] in e and max(s[low[:n]], e[low[n:]]) >= self.least:
-                    return True
-        return False
-
-
-@dataclass
-class PiiModel:
-    """Scores of contexts and shapes by kind; a few thousand entries at most."""
-
-    contexts: dict[str, dict[str, float]]
-    shapes: dict[str, dict[str, float]]
-    accept: float = 0.5
-
-
 class _Norms(dict):
     """Token to the form in which it stands in a context; emptied when it holds half a million."""
 
@@ -167,7 +127,7 @@ class _Norms(dict):
 class _Classes(dict):
     """Token to one character: N name part, i initial, S street word, C capitalised, a digit the number of digits, else -."""
 
-    def __init__(self, names: NameForms):
+    def __init__(self, names: set[str]):
         super().__init__()
         self.names = names
 
@@ -184,7 +144,7 @@ class _Classes(dict):
         bare = word if word.isalpha() else word.rstrip(".").removesuffix("'s").removesuffix("’s")
         if len(word) == 2 and _INITIAL.fullmatch(word) and word[0].isupper():
             return "i"
-        if bare in self.names:
+        if bare.casefold() in self.names:
             return "N"
         low = bare.lower()
         if low in _STREETS or token.lower().lstrip(_EDGE) in _STREETS or low.endswith(_ENDINGS):
@@ -193,6 +153,10 @@ class _Classes(dict):
 
 
 _DIGIT = re.compile(r"\d")
+_PLAIN_MAIL = re.compile(r"[\w+.-]+@[\w.-]+\.\w{2,}")
+_CAP = r"[^\W\d_a-zß-öø-ÿ][^\W\d_]+"
+_BROAD = re.compile(rf"(?<![\w.+/#-])(?:{_NUMBER},? (?P<after>{_CAP}(?: {_CAP}){{0,2}})|(?P<before>{_CAP}(?: {_CAP}){{0,2}}) {_NUMBER}(?![\w./%-]))")
+_BROAD_CLASSES = re.compile(r"[1-4][NC]|[NC][1-4]")
 _ENDINGS = tuple(STREET_ENDINGS.split())
 _STREETS = set((STREET_AFTER + " " + STREET_BEFORE).split())
 _ENDS = (".", ",", ";", ":", "!", "?", ")", "…", "]")
@@ -200,9 +164,9 @@ _LONG_NUMBER = re.compile(r"[6-9]|[1-9]{2}|[iSNC-][1-9][1-9iSNC-][1-9]")
 
 
 class Finder:
-    """Finds candidates in one text; holds the name forms and memos of tokens."""
+    """Finds candidates in one text; holds the listed name parts and memos of tokens."""
 
-    def __init__(self, names: NameForms):
+    def __init__(self, names: set[str]):
         self.classes, self.norms = _Classes(names), _Norms()
 
     def contexts(self, tokens: list[str], k: int, inside: bool) -> tuple[str, str]:
@@ -218,53 +182,34 @@ class Finder:
         """Whether a capital after this token means nothing; a short capitalised word with a full stop is a title or an initial."""
         return token[-1] in ".!?…" and not (len(token) <= 4 and token[0].isupper())
 
-    def people(self, tokens: list[str], classes: str, strong: dict[str, float] | None) -> Iterator[tuple[int, int, str]]:
-        """(first token, after the last, classes) of runs of name parts.
-
-        A capitalised word that is no known name part is tried alone where a context
-        is to be counted (strong is None), and begins a run where the context before
-        it is strong; right before a known name part less strength is needed.
-        """
+    def people(self, tokens: list[str], classes: str) -> Iterator[tuple[int, int, bool]]:
+        """(first token, after the last, whether a sentence begins there) of runs of name parts, initials, capitalised words, and small words beside name parts (l)."""
         k, n = 0, len(tokens)
         while k < n:
-            c = classes[k]
-            if c not in "NiC":
+            if classes[k] not in "NiCl":
                 k += 1
                 continue
-            first, kinds = k, ""
-            if c == "C":
-                if strong is None:
-                    if k and not self.ends_sentence(tokens[k - 1]) and (k + 1 == n or classes[k + 1] != "N"):
-                        yield k, k + 1, "C"
-                    k += 1
-                    continue
-                if not k or self.ends_sentence(tokens[k - 1]):
-                    k += 1
-                    continue
-                two, one = self.contexts(tokens, k, False)
-                needed = 0.5 if k + 1 < n and classes[k + 1] == "N" and not tokens[k].endswith(_ENDS) else 0.95
-                alone = k <= 1 or self.ends_sentence(tokens[k - 2])  # the word before has no other before it in its sentence
-                if max(strong.get(two, 0.0), strong.get(one, 0.0) if alone else 0.0) < needed:
-                    k += 1
-                    continue
-            while k < n and len(kinds) < 4 and (classes[k] in "Ni" or (classes[k] == "C" and (not kinds or kinds[0] == "C"))):
-                kinds += classes[k]
+            first = k
+            while k < n and classes[k] in "NiCl":
                 k += 1
-                if kinds[-1] != "i" and tokens[k - 1].endswith(_ENDS):
+                if classes[k - 1] != "i" and tokens[k - 1].endswith(_ENDS):
                     break
-            while kinds.endswith("i"):
-                kinds, k = kinds[:-1], k - 1
-            if kinds:
-                yield first, k, kinds
-            k = max(k, first + 1)
-
-    def candidates(self, folded: str, strong: dict[str, float] | None) -> Iterator[tuple[str, int, int, str, tuple[str, str]]]:
-        """(kind or number, start, end, shape, contexts) of every candidate, without overlaps."""
+            if any(c in "NC" for c in classes[first:k]):
+                yield first, k, not first or self.ends_sentence(tokens[first - 1])
+
+    def candidates(self, folded: str) -> Iterator[tuple]:
+        """(kind, start, end, instance, two words before, one word before, class, flags, run) of every candidate.
+
+        Those of mail, listed streets and numbers don't overlap.  A street is also
+        whatever stands capitalised beside a number: `broad`.  Of persons every word
+        of a run is a row; flags say that a sentence begins before it (1), that the
+        run can't go on after it (2), that no other word stands before the one before
+        it in its sentence (4), and that it is small (8).
+        """
         tokens = folded.split()
         classes = "".join(map(self.classes.__getitem__, tokens))
         mail = "@" in folded or "(at" in folded or "[at" in folded or " dot " in folded or "dot]" in folded or "dot)" in folded or " DOT " in folded
-        street, number = "S" in classes, _LONG_NUMBER.search(classes)
-        person = "N" in classes or (strong is None and "C" in classes) or bool(strong)
+        street, number, person, broad = "S" in classes, _LONG_NUMBER.search(classes), "N" in classes or "C" in classes, _BROAD_CLASSES.search(classes)
         if not (mail or street or number or person):
             return
         places: list[int] = []
@@ -287,7 +232,8 @@ class Finder:
         if mail:
             for m in EMAIL.finditer(folded):
                 taken.append(m.span())
-                yield "email", m.start(), m.end(), "email", ("", "")
+                form = "plain" if _PLAIN_MAIL.fullmatch(m.group()) else "brackets" if "[" in m.group() or "(" in m.group() else "spaced" if "@" in m.group() else "said"
+                yield "email", m.start(), m.end(), form, *around(m.start()), "", 0, 0
         if street:
             at = 0
             while m := ADDRESS.search(folded, at):
@@ -297,23 +243,34 @@ class Finder:
                 start = self._street_start(folded, m)
                 tail = "tailed" if _ADDRESS_TAIL.match(folded, m.end()) else "bare"
                 taken.append((start, m.end()))
-                yield "address", start, m.end(), f"{tail} {'number first' if folded[start].isdigit() else 'name first'}", around(start)
+                yield "address", start, m.end(), f"{tail} {'number first' if folded[start].isdigit() else 'name first'}", *around(start), "", 0, 0
         if number:
             for m in NUMBER.finditer(folded):
                 if sum(c.isdigit() for c in m.group()) >= 6 and not any(a < m.end() and m.start() < z for a, z in taken):
                     taken.append(m.span())
-                    yield "number", m.start(), m.end(), shape(m.group())[:40], around(m.start())
+                    yield "number", m.start(), m.end(), shape(m.group())[:40], *around(m.start()), "", 0, 0
+        if broad:
+            for m in _BROAD.finditer(folded):
+                if not any(a < m.end() and m.start() < z for a, z in taken):
+                    word = (m["after"] or m["before"]).split()
+                    yield "broad", m.start(), m.end(), word[-1].casefold(), *around(m.start()), "", 0, 0
         if person:
-            for first, after, kinds in self.people(tokens, classes, strong):
-                token = tokens[first]
-                lead = len(token) - len(token.lstrip(_EDGE))
-                if taken or strong is not None:
-                    start, end = place(first) + lead, place(after - 1) + len(tokens[after - 1].rstrip(_EDGE + "."))
+            if "N" in classes:
+                classes = "".join("l" if c == "-" and "N" in classes[max(0, k - 1) : k + 2] and tokens[k].strip(_EDGE).rstrip(".").isalpha() else c for k, c in enumerate(classes))
+            for run, (first, after, begins) in enumerate(self.people(tokens, classes)):
+                if after - first == 1 and begins and classes[first] == "C":
+                    continue  # a capital at the begin of a sentence says nothing
+                for k in range(first, after):
+                    token = tokens[k]
+                    start, end = place(k) + len(token) - len(token.lstrip(_EDGE)), place(k) + len(token.rstrip(_EDGE + "."))
+                    if classes[k] == "i":
+                        end = max(end, start + 1)
                     if any(a < end and start < z for a, z in taken):
                         continue
-                else:
-                    start = end = 0
-                yield "person", start, end, kinds, self.contexts(tokens, first, False)
+                    bare = token.strip(_EDGE).rstrip(".").removesuffix("'s").removesuffix("’s").casefold()
+                    alone = k <= 1 or self.ends_sentence(tokens[k - 2])
+                    flags = (1 if begins and k == first else 0) | (2 if k + 1 == after else 0) | (4 if alone else 0) | (8 if folded[start : start + 1].islower() else 0)
+                    yield "person", start, end, bare, *self.contexts(tokens, k, False), classes[k], flags, run
 
     @staticmethod
     def _street_start(folded: str, m: re.Match) -> int:
@@ -332,140 +289,209 @@ class Finder:
 _LEADS = set("to at in an a en the der die das dem den up: auf zu nach von em na no al bei it".split())
 
 
-def _edges(rows: DataFrame, text_col: str, names: NameForms) -> DataFrame:
-    """(kind, context, shape, n): the graph's edges, counted within each batch first."""
+_CANDIDATE = "kind string, start_pos int, end_pos int, instance string, two string, one string, class string, flags int, run int"
+
+
+def _candidates(rows: DataFrame, id_col: str, text_col: str, names: set[str]) -> DataFrame:
+    """(id, text_no, kind, start_pos, end_pos, instance, two, one, class, flags, run): all candidates, positions in the original text.
+
+    text_no numbers the input's rows, so that repeated ids don't mix.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = Finder(names)
         for b in batches:
-            counted: Counter = Counter()
-            for text in b.column(0).to_pylist():
-                folded, _ = fold(text)
-                for kind, _, _, form, (two, one) in finder.candidates(folded, None):
-                    if kind != "email":
-                        counted[kind, two, form] += 1
-                        counted[kind, one, form] += 1
-            columns = list(zip(*[(*key, n) for key, n in counted.items()])) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.string(), pa.int64()))], ["kind", "context", "shape", "n"])
-
-    counted = rows.select(text_col).where(F.col(text_col).isNotNull()).mapInArrow(run, "kind string, context string, shape string, n long")
-    return counted.groupBy("kind", "context", "shape").agg(F.sum("n").alias("n"))
-
-
-def learn_contexts(rows: DataFrame, names: NameForms, *, text_col: str = "text", rounds: int = 4, support: int = 3, bound: int = 200_000) -> PiiModel:
-    """Scores contexts and shapes over all texts, seeds first.
-
-    A context's score is the share of its candidates, weighted by their shapes'
-    scores; a shape's score is that share over its contexts, seeds keep 1.  Both
-    are damped by one unseen case.  Contexts seen fewer than `support` times are
-    left out.  Contexts and shapes with a score of 0.3 or more reach the driver,
-    and often-seen contexts with a score under 0.1, which keep numbers out; more
-    than `bound` of them are refused rather than cut.
+            owner, found = [], []
+            for i, text in enumerate(b.column(2).to_pylist()):
+                folded, at = fold(text)
+                for c in finder.candidates(folded):
+                    owner.append(i)
+                    found.append(c if at is None else (c[0], at[c[1]], at[c[2] - 1] + 1, *c[3:]))
+            columns = list(zip(*found)) or [()] * 9
+            kinds = (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32())
+            taken = pa.array(owner, pa.int32())
+            names_ = ["id", "text_no", "kind", "start_pos", "end_pos", "instance", "two", "one", "class", "flags", "run"]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(taken), b.column(1).take(taken), *(pa.array(c, k) for c, k in zip(columns, kinds))], names_)
+
+    kind = rows.schema[id_col].dataType.simpleString()
+    needed = rows.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("text_no"), F.col(text_col).alias("text"))
+    return cut(needed.mapInArrow(run, f"id {kind}, text_no long, {_CANDIDATE}"))
+
+
+@dataclass(frozen=True)
+class PiiScores:
+    """contexts (target, context, s, u): the score of a context and what it could at most be; instances (target, instance, s).
+
+    Only contexts that say something are kept: those with s of 0.3 or more, and
+    those of numbers and streets whose u is under 0.1, which keep others out;
+    only instances with s of 0.3 or more.
     """
-    edges = cut(_edges(rows, text_col, names))
-    kinds = {"phone": ("number", PHONE_SEED.pattern), "id_number": ("number", ID_SEED.pattern), "address": ("address", "tailed.*"), "person": ("person", "N+|i+N+|N+i+N+")}
-    parts = [edges.where(F.col("kind") == kind).select(F.lit(target).alias("target"), "context", "shape", "n", F.col("shape").rlike(f"^(?:{seed})$").alias("seed")) for target, (kind, seed) in kinds.items()]
-    graph = parts[0]
-    for p in parts[1:]:
-        graph = graph.unionByName(p)
-    graph = cut(graph.groupBy("target", "context", "shape", "seed").agg(F.sum("n").alias("n")))
-    shapes = graph.groupBy("target", "shape").agg(F.max("seed").cast("double").alias("s"))
+
+    contexts: DataFrame
+    instances: DataFrame
+
+
+def _graph(found: DataFrame) -> DataFrame:
+    """(target, context, instance, seed, n): the edges of all kinds, counted over all texts.
+
+    Listed streets are seeds of the contexts that broad candidates stand in; to
+    follow a listed name part or an initial is a context too.
+    """
+    instance, name = F.col("instance"), F.col("class") == "N"
+    seeds = {
+        "email": (["email"], instance.isin("plain", "brackets")),
+        "phone": (["number"], instance.rlike(f"^(?:{PHONE_SEED.pattern})$")),
+        "id_number": (["number"], instance.rlike(f"^(?:{ID_SEED.pattern})$")),
+        "address": (["address"], instance.startswith("tailed")),
+        "broad": (["address", "broad"], F.col("kind") == "address"),
+        "person": (["person"], name),
+    }
+    of = F.explode(F.filter(F.array(*[F.when(F.col("kind").isin(kinds), F.struct(F.lit(t).alias("target"), seed.alias("seed"))) for t, (kinds, seed) in seeds.items()]), lambda x: x.isNotNull()))
+    in_run = Window.partitionBy("text_no", "run").orderBy("start_pos")
+    sides = found.where("kind = 'person'").select("instance", "class", F.lag("class").over(in_run).alias("left"))
+    beside = sides.where(F.col("class").isin("N", "C") & F.col("left").isin("N", "i")).select(F.lit("person").alias("target"), F.concat(F.lit("<"), "left").alias("context"), "instance", name.alias("seed"))
+    told = (F.col("kind") != "person") | (F.col("class").isin("N", "C") & (F.col("flags").bitwiseAND(1) == 0))
+    before = found.where(told).select(of.alias("t"), "two", "one", "instance").select("t.target", F.explode(F.array("two", "one")).alias("context"), "instance", "t.seed")
+    return cut(before.unionByName(beside).groupBy("target", "context", "instance", "seed").agg(F.count("*").alias("n")))
+
+
+def score(found: DataFrame, *, rounds: int = 4) -> PiiScores:
+    """Scores of contexts and instances, from seeds outwards, in rounds over the graph of all candidates.
+
+    A context's score is the share of its candidates, weighted by their
+    instances' scores; an instance's is that share over its contexts, seeds keep
+    1.  Both are damped by one unseen case that speaks against them; what a
+    context could at most be counts that case for it, so that few cases never
+    settle that a context keeps others out.
+    """
+    graph = _graph(found)
+    instances = graph.groupBy("target", "instance").agg(F.max("seed").cast("double").alias("s"))
     contexts = None
     for _ in range(rounds):
-        scored = graph.join(shapes, ["target", "shape"])
-        contexts = scored.groupBy("target", "context").agg((F.sum(F.col("n") * F.col("s")) / (F.sum("n") + 1)).alias("s"), F.sum("n").alias("n"))
+        weighed = graph.join(instances, ["target", "instance"])
+        mass = F.sum(F.col("n") * F.col("s"))
+        contexts = weighed.groupBy("target", "context").agg((mass / (F.sum("n") + 1)).alias("s"), ((mass + 1) / (F.sum("n") + 1)).alias("u"))
         back = graph.join(contexts.select("target", "context", "s"), ["target", "context"])
-        shapes = back.groupBy("target", "shape").agg(F.when(F.max("seed"), 1.0).otherwise(F.sum(F.col("n") * F.col("s")) / (F.sum("n") + 1)).alias("s"))
-    weak = F.col("target").isin("phone", "id_number", "address") & (F.col("n") >= 10 * support) & (F.col("s") < 0.1)
-    strong_contexts = contexts.where(((F.col("s") >= 0.3) & (F.col("n") >= support)) | weak).select("target", F.lit("context").alias("what"), F.col("context").alias("key"), "s")
-    strong_shapes = shapes.where("s >= 0.3").select("target", F.lit("shape").alias("what"), F.col("shape").alias("key"), "s")
-    found = strong_contexts.union(strong_shapes).limit(bound + 1).collect()
-    if len(found) > bound:
-        raise ValueError(f"more than {bound} contexts and shapes")
-    model = PiiModel({k: {} for k in KINDS}, {k: {} for k in KINDS})
-    for target, what, key, s in found:
-        (model.contexts if what == "context" else model.shapes)[target][key] = s
-    return model
-
-
-def find_in(text: str, finder: Finder, model: PiiModel) -> list[tuple[str, int, int]]:
-    """(kind, start, end) in code points of the text, in order."""
-    folded, at = fold(text)
-    found = []
-    people = model.contexts["person"]
-    for kind, start, end, form, (two, one) in finder.candidates(folded, people):
-        chosen = kind
-        if kind == "person":
-            context = people.get(two, people.get(one, 0.0))
-            if "N" in form and not (form.count("N") > 1 or folded[start].isupper()) and context < 0.5:
-                continue
-        elif kind != "email":
-            score = {}
-            for target in ("phone", "id_number") if kind == "number" else (kind,):
-                known = model.contexts[target]
-                context, form_score = known.get(two, known.get(one, 0.0)), model.shapes[target].get(form, 0.0)
-                score[target] = context + form_score if context >= 0.1 or form_score == 1.0 or two not in known and one not in known else 0.0
-            chosen = max(score, key=score.get)
-            if score[chosen] < model.accept:
-                continue
-        found.append((chosen, start, end) if at is None else (chosen, at[start], at[end - 1] + 1))
-    return sorted(found, key=lambda f: f[1])
+        instances = back.groupBy("target", "instance").agg(F.when(F.max("seed"), 1.0).otherwise(F.sum(F.col("n") * F.col("s")) / (F.sum("n") + 1)).alias("s"))
+    weak = F.col("target").isin("phone", "id_number", "address") & (F.col("u") < 0.1)
+    return PiiScores(cut(contexts.where((F.col("s") >= 0.3) | weak)), cut(instances.where("s >= 0.3")))
 
 
-def _learned(rows: DataFrame, name_list: DataFrame, text_col: str) -> tuple[NameForms, PiiModel]:
-    bound = 1_000_000
-    parts = [(r[0], r[1] or "") for r in name_list.select("name_part", "part_kind").where("name_part is not null").limit(bound + 1).collect()]
-    if len(parts) > bound:
-        raise ValueError(f"the list has more than {bound} name parts")
-    names = NameForms.learn(parts)
-    return names, learn_contexts(rows, names, text_col=text_col)
+def _with_scores(found: DataFrame, scores: PiiScores, target: str) -> DataFrame:
+    """found with c, the score of the longer context that says something, weak, whether it keeps others out, and f, the instance's score."""
+    known = scores.contexts.where(F.col("target") == target)
+    for name in ("two", "one"):
+        found = found.join(broadcast_below(known.select(F.col("context").alias(name), F.col("s").alias(f"s_{name}")), 200_000), name, "left")
+    own = scores.instances.where(F.col("target") == target).select("instance", F.col("s").alias("f"))
+    c = F.coalesce("s_two", "s_one")
+    told = found.join(broadcast_below(own, 200_000), "instance", "left")
+    return told.select(*[x for x in told.columns if x not in ("f", "s_two", "s_one")], F.coalesce(c, F.lit(0.0)).alias("c"), F.coalesce(c < 0.1, F.lit(False)).alias("weak"), F.coalesce("f", F.lit(0.0)).alias("f"))
 
 
-def find_personal_information(rows: DataFrame, name_list: DataFrame, *, id_col: str = "source_id", text_col: str = "text") -> DataFrame:
-    """(id, pii_kind, start_pos, end_pos): one row per occurrence, positions in code points of the text.
+def _people(tokens: DataFrame, accept: float = 0.5, lone: float = 0.85) -> DataFrame:
+    """(id, text_no, start_pos, end_pos) of persons, from the words of runs with the scores of their contexts (s_two, s_one) and of themselves (f).
 
-    Two passes over all texts: one to count the graph of contexts and shapes, one
-    to extract.  Null and empty texts have no occurrences; long texts are read
-    whole; a null id keeps its rows; repeated rows repeat theirs; other columns
-    are left out, so none can clash.
+    A run's words are listed or found names, initials, and others.  A name begins
+    with a name or, where the context before it is strong, with another word;
+    right before a name less strength is needed.
     """
-    names, model = _learned(rows, name_list, text_col)
+    packed = tokens.groupBy("id", "text_no", "run").agg(F.array_sort(F.collect_list(F.struct("start_pos", "end_pos", "class", "flags", "s_two", "s_one", "f", (F.col("flags").bitwiseAND(8) != 0).alias("low")))).alias("w"))
+    hopeful = F.exists("w", lambda x: (x["class"] == "N") | (F.coalesce(x.f, F.lit(0.0)) >= accept) | (F.coalesce(x.s_two, x.s_one, F.lit(0.0)) >= accept))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = Finder(names)
         for b in batches:
-            owner, kinds, starts, ends = [], [], [], []
-            for i, text in enumerate(b.column(1).to_pylist()):
-                for kind, start, end in find_in(text, finder, model):
-                    owner.append(i)
-                    kinds.append(kind)
-                    starts.append(start)
-                    ends.append(end)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(owner, pa.int32())), pa.array(kinds, pa.string()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], ["id", "pii_kind", "start_pos", "end_pos"])
+            owner, spans = [], []
+            for i, words in enumerate(b.column(2).to_pylist()):
+                k = 0
+                kinds = ["N" if w["class"] in "Cl" and (w["f"] or 0.0) >= accept else w["class"] for w in words]
+                while k < len(words):
+                    first, w = k, words[k]
+                    following = kinds[k + 1] if k + 1 < len(words) and not w["flags"] & 2 else ""
+                    strength = max(w["s_two"] or 0.0, (w["s_one"] or 0.0) if w["flags"] & 4 else 0.0)
+                    told = ""
+                    if kinds[k] == "l" or (kinds[k] == "C" and (w["flags"] & 1 or strength < (accept if following in ("N", "i") else lone))):
+                        k += 1
+                        continue
+                    if kinds[k] == "i" and following == "C" and strength >= accept:
+                        told, k = "iC", k + 2
+                    while k < len(words) and len(told) < 4 and (kinds[k] in "Ni" or (kinds[k] == "C" and told[:1] in ("", "C"))):
+                        told += kinds[k]
+                        k += 1
+                    while told.endswith("i"):
+                        told, k = told[:-1], k - 1
+                    small = told in ("N", "iN") and words[k - 1]["low"]
+                    if told and not (small and strength < accept):
+                        owner.append(i)
+                        spans.append((words[first]["start_pos"], words[k - 1]["end_pos"]))
+                    k = max(k, first + 1)
+            taken = pa.array(owner, pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(taken), b.column(1).take(taken), *(pa.array([s[j] for s in spans], pa.int32()) for j in (0, 1))], ["id", "text_no", "start_pos", "end_pos"])
+
+    kind = tokens.schema["id"].dataType.simpleString()
+    return packed.where(hopeful).select("id", "text_no", "w").mapInArrow(run, f"id {kind}, text_no long, start_pos int, end_pos int")
+
+
+def _decided(found: DataFrame, scores: PiiScores, accept: float = 0.5) -> DataFrame:
+    """(id, text_no, pii_kind, start_pos, end_pos) of the candidates that their scores accept, without overlaps."""
+    place = ["id", "text_no", "start_pos", "end_pos"]
+    # A known context that keeps others out outweighs any form but a seed's.
+    value = F.when((F.col("c") >= 0.1) | (F.col("f") == 1.0) | ~F.col("weak"), F.col("c") + F.col("f")).otherwise(0.0)
+    parts = []
+    for target, kind in (("email", "email"), ("phone", "number"), ("id_number", "number"), ("address", "address")):
+        told = _with_scores(found.where(F.col("kind") == kind), scores, target)
+        parts.append(told.select(*place, F.lit(target).alias("pii_kind"), value.alias("value"), F.lit(0).alias("order")))
+    # A street that no list names needs both: a context of streets and a word that stands in such contexts.
+    broad = _with_scores(found.where("kind = 'broad'"), scores, "broad").where((F.col("c") >= 0.8) & (F.col("f") >= 0.75))
+    parts.append(broad.select(*place, F.lit("address").alias("pii_kind"), (F.col("c") + F.col("f")).alias("value"), F.lit(1).alias("order")))
+    strong = reduce(DataFrame.unionByName, parts).where(F.col("value") >= accept)
+    tokens = found.where("kind = 'person'")
+    known = scores.contexts.where("target = 'person'")
+    for name in ("two", "one"):
+        tokens = tokens.join(broadcast_below(known.select(F.col("context").alias(name), F.col("s").alias(f"s_{name}")), 200_000), name, "left")
+    own = scores.instances.where("target = 'person'").select("instance", F.col("s").alias("f"))
+    people = _people(tokens.join(broadcast_below(own, 200_000), "instance", "left"), accept)
+    every = strong.unionByName(people.select(*place, F.lit("person").alias("pii_kind"), F.lit(1.0).alias("value"), F.lit(2).alias("order")))
+    # Of several that overlap the first in order stands: listed forms, then the higher score.
+    grouped = every.groupBy("id", "text_no").agg(F.array_sort(F.collect_list(F.struct("order", (-F.col("value")).alias("less"), "start_pos", "end_pos", "pii_kind"))).alias("all"))
+    none = F.filter("all", lambda x: F.lit(False))
+    free = F.aggregate("all", none, lambda kept, x: F.when(F.exists(kept, lambda y: (y.start_pos < x.end_pos) & (x.start_pos < y.end_pos)), kept).otherwise(F.concat(kept, F.array(x))))
+    return grouped.select("id", "text_no", F.explode(free).alias("x")).select("id", "text_no", "x.pii_kind", "x.start_pos", "x.end_pos")
+
+
+def _listed(name_list: DataFrame, most_parts: int = 1_000_000) -> set[str]:
+    parts = [r[0] for r in name_list.select("name_part").where("name_part is not null").distinct().limit(most_parts + 1).collect()]
+    if len(parts) > most_parts:
+        raise ValueError(f"the list has more than {most_parts} name parts")
+    return {canonical(p, casefold=True) for p in parts}
 
-    kind = rows.schema[id_col].dataType.simpleString()
-    needed = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
-    return needed.mapInArrow(run, f"id {kind}, pii_kind string, start_pos int, end_pos int").withColumnRenamed("id", id_col)
+
+def find_personal_information(rows: DataFrame, name_list: DataFrame, *, id_col: str = "source_id", text_col: str = "text") -> DataFrame:
+    """(id, pii_kind, start_pos, end_pos): one row per occurrence, positions in code points of the text.
+
+    One pass over all texts finds candidates; the graph of their contexts and
+    instances is counted and scored over all of them, and joined back to decide.
+    Null and empty texts have no occurrences; long texts are read whole; a null
+    id keeps its rows; repeated rows repeat theirs; other columns are left out,
+    so none can clash.
+    """
+    found = _candidates(rows, id_col, text_col, _listed(name_list))
+    return _decided(found, score(found)).select(F.col("id").alias(id_col), "pii_kind", "start_pos", "end_pos")
 
 
 def replace_personal_information(rows: DataFrame, name_list: DataFrame, *, id_col: str = "source_id", text_col: str = "text") -> DataFrame:
-    """(id, clean_text): each text with typed placeholders such as [EMAIL], all else unchanged; null stays null."""
-    names, model = _learned(rows, name_list, text_col)
-
-    def clean(text: str | None, finder: Finder) -> str | None:
-        if text is None:
-            return None
-        out, at = [], 0
-        for kind, start, end in find_in(text, finder, model):
-            out += [text[at:start], f"[{kind.upper()}]"]
-            at = end
-        return "".join([*out, text[at:]])
+    """(id, clean_text): each text with typed placeholders such as [EMAIL], all else unchanged; null stays null.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = Finder(names)
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([clean(t, finder) for t in b.column(1).to_pylist()], pa.string())], ["id", "clean_text"])
+    Only texts that hold something meet what was found in them; ids may be null
+    or repeat, as texts are joined by themselves.
+    """
+    distinct = cut(rows.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("text")).distinct().withColumn("text_id", F.monotonically_increasing_id()))
+    found = find_personal_information(distinct, name_list, id_col="text_id").groupBy("text_id").agg(F.array_sort(F.collect_list(F.struct("start_pos", "end_pos", "pii_kind"))).alias("spans"))
+    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 
-    kind = rows.schema[id_col].dataType.simpleString()
+    def step(a: Column, x: Column) -> Column:
+        return F.struct(F.concat(a.out, F.substring(F.col("text"), a["at"] + 1, x.start_pos - a["at"]), F.lit("["), F.upper(x.pii_kind), F.lit("]")).alias("out"), x.end_pos.alias("at"))
+
+    clean = F.aggregate("spans", start, step, lambda a: F.concat(a.out, F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
+    cleaned = distinct.join(found, "text_id").select("text", clean.alias("clean"))
     needed = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return needed.mapInArrow(run, f"id {kind}, clean_text string").withColumnRenamed("id", id_col)
+    return needed.join(cleaned, "text", "left").select(F.col("id").alias(id_col), F.coalesce("clean", "text").alias("clean_text"))
