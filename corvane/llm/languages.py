@@ -18,10 +18,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.llm.canonical import canonical
+from corvane.operators.durable import broadcast_below
 
 UNDETERMINED = "und"
 
@@ -31,6 +32,7 @@ class LanguageRule:
     """Parameters. sample_per_language bounds the labelled rows that the classifiers are fitted on."""
 
     sample_per_language: int = 2000
+    longest_sample: int = 100_000
     rounds: int = 3
     least_count: int = 3
     grams: int = 4
@@ -274,7 +276,7 @@ def _fit(counts: list[Counter], languages: list[str], rule: LanguageRule) -> Lan
 
 
 def train_languages(rows: DataFrame, lang_codes: DataFrame, *, id_col: str = "source_id", text_col: str = "text", label_col: str = "lang", rule: LanguageRule | None = None) -> LanguageModel:
-    """Fits the bit classifiers on at most sample_per_language rows of each label, chosen by the hash of their id.
+    """Fits the bit classifiers on at most sample_per_language rows of each label, chosen by the hash of their id (of their text where that is null), none longer than longest_sample.
 
     Labels may be wrong and texts mixed: after a first fit by label, every
     sampled text is cut into stretches and counted under the languages found,
@@ -282,7 +284,7 @@ def train_languages(rows: DataFrame, lang_codes: DataFrame, *, id_col: str = "so
     """
     rule = rule or LanguageRule()
     known = lang_codes.select(F.col("code").alias("label"), F.col("lang").alias("language")).distinct()
-    labelled = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).alias("label")).where("text is not null").join(F.broadcast(known), "label")
+    labelled = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).alias("label")).where("text is not null").join(broadcast_below(known, 100_000), "label")
     languages = sorted({r.language for r in known.select("language").distinct().collect()})
     if len(languages) > 1000:
         raise ValueError("more than 1000 languages")
@@ -290,10 +292,11 @@ def train_languages(rows: DataFrame, lang_codes: DataFrame, *, id_col: str = "so
     chance = F.lit(None).cast("double")
     for x, n in sizes.items():
         chance = F.when(F.col("language") == x, min(1.0, 1.1 * rule.sample_per_language / n + 1e-9)).otherwise(chance)
-    place = F.pmod(F.xxhash64("id"), F.lit(1 << 40))
-    drawn = labelled.where(place < chance * float(1 << 40)).select("language", "text", place.alias("place"), "id").collect()
-    taken: Counter = Counter()
-    sample = [r for r in sorted(drawn, key=lambda r: (r.place, str(r.id), r.text)) if not taken.update([r.language]) and taken[r.language] <= rule.sample_per_language]
+    place = F.pmod(F.coalesce(F.when(F.col("id").isNotNull(), F.xxhash64("id")), F.xxhash64("text")), F.lit(1 << 40))
+    drawn = labelled.where((place < chance * float(1 << 40)) & (F.length("text") <= rule.longest_sample)).select("language", "text", place.alias("place"), F.col("id").cast("string").alias("id"))
+    first = Window.partitionBy("language").orderBy("place", "id", "text")
+    bounded = drawn.withColumn("rn", F.row_number().over(first)).where(F.col("rn") <= rule.sample_per_language).collect()
+    sample = sorted(bounded, key=lambda r: (r.place, str(r.id), r.text))
     at = {x: k for k, x in enumerate(languages)}
     split = [_tokens(r.text) for r in sample]
     counts = [Counter() for _ in languages]
@@ -347,7 +350,7 @@ def relabelled(rows: DataFrame, lang_codes: DataFrame, *, id_col: str = "source_
     """(id, seg_no, lang): the stretches of rows whose label is missing, means another language, or whose text has several."""
     model = train_languages(rows, lang_codes, id_col=id_col, text_col=text_col, label_col=label_col, rule=rule)
     meaning = lang_codes.select(F.col("code").alias(label_col), F.col("lang").alias("meant")).distinct()
-    kept = rows.join(F.broadcast(meaning), label_col, "left").select(F.struct(F.col(id_col).alias("id"), F.col("meant")).alias("key"), F.col(text_col).alias("text"))
+    kept = rows.join(broadcast_below(meaning, 100_000), label_col, "left").select(F.struct(F.col(id_col).alias("id"), F.col("meant")).alias("key"), F.col(text_col).alias("text"))
     found = label_languages(kept, model, id_col="key", text_col="text")
     wrong = F.col("key.meant").isNull() | (F.col("key.meant") != F.col("lang")) | (F.col("segments") > 1)
     return found.where(wrong).select(F.col("key.id").alias(id_col), "seg_no", "lang").distinct()

@@ -33,7 +33,8 @@ class NearDuplicateRule:
 
     With similarity s, a segment of m components has at most one that differs with
     probability s^m + m (1-s) s^(m-1), and a pair is missed when all segments fail:
-    at the defaults 0.2 % of pairs at exactly 0.7, 0.03 % at 0.75.
+    at the defaults 0.2 % of pairs at exactly 0.7, 0.03 % at 0.75.  More than
+    about `together` classes under one variant are compared in several tasks.
     """
 
     words: int = 3
@@ -43,6 +44,7 @@ class NearDuplicateRule:
     components: int = 4
     sketch_distance: int = 20
     long_sketch_distance: int = 36
+    together: int = 5_000
     seed: int = 20_011
 
 
@@ -166,6 +168,36 @@ def _verified(candidates: DataFrame, rule: NearDuplicateRule) -> DataFrame:
     return candidates.mapInArrow(run, ", ".join(f"{k} long" for k in keys))
 
 
+_SAMPLED = 64  # keys are hashes: one in so many is a fair sample
+
+
+def _met(indexed: DataFrame, rule: NearDuplicateRule) -> DataFrame:
+    """(c_hi_a, c_hi_b): the pairs of (c_hi, s1, variant) that share a variant and are near by s1, each once.
+
+    A variant with many classes is cut into parts by a second hash, and each two
+    parts meet in a task of their own, so that no task sees them all.  Which
+    variants that concerns is told by a sample; the pairs don't depend on it.
+    """
+    near = F.bit_count(F.col("a.s1").bitwiseXOR(F.col("b.s1"))) <= rule.sketch_distance
+
+    def pairs(joined: DataFrame) -> DataFrame:
+        return joined.select(F.least("a.c_hi", "b.c_hi").alias("c_hi_a"), F.greatest("a.c_hi", "b.c_hi").alias("c_hi_b"))
+
+    sampled = indexed.where(F.pmod("c_hi", F.lit(_SAMPLED)) == 0).groupBy("variant").agg((F.count("*") * _SAMPLED).alias("n"))
+    hot = cut(sampled.where(F.col("n") > rule.together).select("variant", F.ceil(F.col("n") / rule.together).cast("int").alias("parts")))
+    some = hot.limit(1).count() > 0
+    cold = indexed.join(broadcast_below(hot, 100_000), "variant", "left_anti") if some else indexed
+    a, b = cold.alias("a"), cold.alias("b")  # unrenamed, so that both sides read one exchange
+    met = pairs(a.join(b, (F.col("a.variant") == F.col("b.variant")) & (F.col("a.c_hi") < F.col("b.c_hi")) & near))
+    if some:
+        parted = indexed.join(broadcast_below(hot, 100_000), "variant").withColumn("part", F.pmod(F.xxhash64(F.lit("part"), "c_hi"), F.col("parts")).cast("int"))
+        a = parted.withColumn("other", F.explode(F.sequence("part", F.col("parts") - 1))).alias("a")
+        b = parted.withColumn("other", F.explode(F.sequence(F.lit(0), "part"))).alias("b")
+        cell = (F.col("a.variant") == F.col("b.variant")) & (F.col("a.part") == F.col("b.other")) & (F.col("a.other") == F.col("b.part"))
+        met = met.unionByName(pairs(a.join(b, cell & ((F.col("a.part") < F.col("b.part")) | (F.col("a.c_hi") < F.col("b.c_hi"))) & near)))
+    return met.distinct()
+
+
 def _class_links(prepared: DataFrame, rule: NearDuplicateRule) -> DataFrame:
     """(c_hi_a, c_lo_a, c_hi_b, c_lo_b): links between classes of equal sets, each once."""
     classes = cut(prepared.groupBy("c_hi", "c_lo").agg(*[F.first(c).alias(c) for c in ("signature", "s1", "s2")]))
@@ -175,10 +207,7 @@ def _class_links(prepared: DataFrame, rule: NearDuplicateRule) -> DataFrame:
             kept = [F.col("signature")[s * rule.components + j] for j in range(rule.components) if j != out]
             variants.append(F.xxhash64(F.lit(s), F.lit(out), *kept))
     indexed = classes.select("c_hi", "s1", F.explode(F.array(*variants)).alias("variant"))
-    a, b = indexed.alias("a"), indexed.alias("b")  # unrenamed, so that both sides read one exchange
-    near = F.bit_count(F.col("a.s1").bitwiseXOR(F.col("b.s1"))) <= rule.sketch_distance
-    joined = a.join(b, (F.col("a.variant") == F.col("b.variant")) & (F.col("a.c_hi") < F.col("b.c_hi")) & near)
-    met = joined.select(F.col("a.c_hi").alias("c_hi_a"), F.col("b.c_hi").alias("c_hi_b")).distinct()
+    met = _met(indexed, rule)
     for x in "ab":
         met = met.join(classes.select(*[F.col(c).alias(f"{c}_{x}") for c in ("c_hi", "c_lo", "s1", "s2")]), f"c_hi_{x}")
     distance = F.bit_count(F.col("s1_a").bitwiseXOR(F.col("s1_b"))) + F.bit_count(F.col("s2_a").bitwiseXOR(F.col("s2_b")))
@@ -201,8 +230,9 @@ def near_duplicate_pairs(rows: DataFrame, *, id_col: str = "source_id", text_col
     """
     rule = rule or NearDuplicateRule()
     prepared = _kept(_prepared(rows, id_col, text_col, rule))
-    members = prepared.select("id", "c_hi", "c_lo").distinct()
+    members = cut(prepared.select("id", "c_hi", "c_lo").distinct())
     links = _class_links(prepared, rule)
+    prepared.unpersist()
     own = members.groupBy("c_hi", "c_lo").count().where("count > 1").select(*[F.col(c).alias(f"{c}_{x}") for x in "ab" for c in ("c_hi", "c_lo")])
     return expand_class_pairs(links.unionByName(own), members, ["c_hi", "c_lo"], id_col).distinct()
 
@@ -216,9 +246,10 @@ def near_duplicate_groups(rows: DataFrame, *, id_col: str = "source_id", text_co
     """
     rule = rule or NearDuplicateRule()
     prepared = _kept(_prepared(rows, id_col, text_col, rule))
-    members = prepared.select("id", "c_hi", "c_lo").distinct()
+    members = cut(prepared.select("id", "c_hi", "c_lo").distinct())
     names = members.groupBy("c_hi", "c_lo").agg(F.min("id").alias("name"))
     links = _class_links(prepared, rule)
+    prepared.unpersist()
     for x in "ab":
         links = links.join(names.select(*[F.col(c).alias(f"{c}_{x}") for c in ("c_hi", "c_lo")], F.col("name").alias(x)), [f"c_hi_{x}", f"c_lo_{x}"])
     edges = links.select("a", "b")

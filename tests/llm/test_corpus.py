@@ -56,6 +56,17 @@ def test_near_duplicates_against_brute_force(spark, documents):
     assert groups == {k: root(k) for k in sets}
 
 
+@pytest.mark.parametrize("together", [5_000, 400, 7])
+def test_a_hot_variant_is_split(spark, together):
+    draw = random.Random(4)
+    rows = [(draw.getrandbits(63) * draw.choice([1, -1]), draw.getrandbits(20), 5 if i % 3 else i % 50) for i in range(1500)]
+    indexed = spark.createDataFrame(rows, "c_hi long, s1 long, variant long")
+    rule = near_duplicates.NearDuplicateRule(sketch_distance=6, together=together)
+    expected = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[2] == b[2] and (a[1] ^ b[1]).bit_count() <= 6}
+    got = [tuple(r) for r in near_duplicates._met(indexed, rule).collect()]
+    assert len(got) == len(set(got)) and set(got) == expected
+
+
 def test_a_hot_group_of_copies(spark, documents):
     hot = [(f"h{i:04d}", documents[0][1]) for i in range(300)]
     rows = spark.createDataFrame(documents[:1] + hot, "source_id string, text string")
