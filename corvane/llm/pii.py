@@ -23,7 +23,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.canonical import IGNORABLE_RANGES, canonical
@@ -153,6 +153,7 @@ class _Classes(dict):
 
 
 _DIGIT = re.compile(r"\d")
+_TOKENS = re.compile(r"\S+")
 _PLAIN_MAIL = re.compile(r"[\w+.-]+@[\w.-]+\.\w{2,}")
 _CAP = r"[^\W\d_a-zß-öø-ÿ][^\W\d_]+"
 _BROAD = re.compile(rf"(?<![\w.+/#-])(?:{_NUMBER},? (?P<after>{_CAP}(?: {_CAP}){{0,2}})|(?P<before>{_CAP}(?: {_CAP}){{0,2}}) {_NUMBER}(?![\w./%-]))")
@@ -204,7 +205,8 @@ class Finder:
         whatever stands capitalised beside a number: `broad`.  Of persons every word
         of a run is a row; flags say that a sentence begins before it (1), that the
         run can't go on after it (2), that no other word stands before the one before
-        it in its sentence (4), and that it is small (8).
+        it in its sentence (4), that it is small (8), and that it follows a listed name
+        part (16) or an initial (32) of its run.
         """
         tokens = folded.split()
         classes = "".join(map(self.classes.__getitem__, tokens))
@@ -217,11 +219,7 @@ class Finder:
 
         def place(k: int) -> int:
             if not places:
-                at = 0
-                for t in tokens:
-                    at = folded.index(t, at)
-                    places.append(at)
-                    at += len(t)
+                places.extend(m.start() for m in _TOKENS.finditer(folded))
             return places[k]
 
         def around(start: int) -> tuple[str, str]:
@@ -269,7 +267,7 @@ class Finder:
                         continue
                     bare = token.strip(_EDGE).rstrip(".").removesuffix("'s").removesuffix("’s").casefold()
                     alone = k <= 1 or self.ends_sentence(tokens[k - 2])
-                    flags = (1 if begins and k == first else 0) | (2 if k + 1 == after else 0) | (4 if alone else 0) | (8 if folded[start : start + 1].islower() else 0)
+                    flags = (1 if begins and k == first else 0) | (2 if k + 1 == after else 0) | (4 if alone else 0) | (8 if folded[start : start + 1].islower() else 0) | ({"N": 16, "i": 32}.get(classes[k - 1], 0) if k > first else 0)
                     yield "person", start, end, bare, *self.contexts(tokens, k, False), classes[k], flags, run
 
     @staticmethod
@@ -320,11 +318,11 @@ def _candidates(rows: DataFrame, id_col: str, text_col: str, names: set[str]) ->
 
 @dataclass(frozen=True)
 class PiiScores:
-    """contexts (target, context, s, u): the score of a context and what it could at most be; instances (target, instance, s).
+    """contexts (target, context, s) and instances (target, instance, s) with their scores.
 
     Only contexts that say something are kept: those with s of 0.3 or more, and
-    those of numbers and streets whose u is under 0.1, which keep others out;
-    only instances with s of 0.3 or more.
+    those of numbers and streets that could at most have 0.1, which keep others
+    out; only instances with s of 0.3 or more.
     """
 
     contexts: DataFrame
@@ -347,34 +345,46 @@ def _graph(found: DataFrame) -> DataFrame:
         "person": (["person"], name),
     }
     of = F.explode(F.filter(F.array(*[F.when(F.col("kind").isin(kinds), F.struct(F.lit(t).alias("target"), seed.alias("seed"))) for t, (kinds, seed) in seeds.items()]), lambda x: x.isNotNull()))
-    in_run = Window.partitionBy("text_no", "run").orderBy("start_pos")
-    sides = found.where("kind = 'person'").select("instance", "class", F.lag("class").over(in_run).alias("left"))
-    beside = sides.where(F.col("class").isin("N", "C") & F.col("left").isin("N", "i")).select(F.lit("person").alias("target"), F.concat(F.lit("<"), "left").alias("context"), "instance", name.alias("seed"))
-    told = (F.col("kind") != "person") | (F.col("class").isin("N", "C") & (F.col("flags").bitwiseAND(1) == 0))
-    before = found.where(told).select(of.alias("t"), "two", "one", "instance").select("t.target", F.explode(F.array("two", "one")).alias("context"), "instance", "t.seed")
-    return cut(before.unionByName(beside).groupBy("target", "context", "instance", "seed").agg(F.count("*").alias("n")))
+    flag = lambda bit: F.col("flags").bitwiseAND(bit) != 0
+    left = F.when(flag(16), "<N").when(flag(32), "<i")
+    words = F.col("class").isin("N", "C")
+    contexts = F.filter(F.array(F.when(~flag(1), F.col("two")), F.when(~flag(1), F.col("one")), left), lambda x: x.isNotNull())
+    told = (F.col("kind") != "person") | words
+    edges = found.where(told).select(of.alias("t"), contexts.alias("contexts"), "instance").select("t.target", F.explode("contexts").alias("context"), "instance", "t.seed")
+    return cut(edges.groupBy("target", "context", "instance", "seed").agg(F.count("*").alias("n")))
 
 
-def score(found: DataFrame, *, rounds: int = 4) -> PiiScores:
+def score(found: DataFrame, *, rounds: int = 4, least: float = 0.05) -> PiiScores:
     """Scores of contexts and instances, from seeds outwards, in rounds over the graph of all candidates.
 
     A context's score is the share of its candidates, weighted by their
     instances' scores; an instance's is that share over its contexts, seeds keep
     1.  Both are damped by one unseen case that speaks against them; what a
     context could at most be counts that case for it, so that few cases never
-    settle that a context keeps others out.
+    settle that a context keeps others out.  Scores under `least` aren't passed
+    on, so each round meets the graph with few scores, not with all its nodes.
     """
     graph = _graph(found)
-    instances = graph.groupBy("target", "instance").agg(F.max("seed").cast("double").alias("s"))
-    contexts = None
+    of_context = cut(graph.groupBy("target", "context").agg(F.sum("n").alias("of")))
+    of_instance = cut(graph.groupBy("target", "instance").agg(F.sum("n").alias("of"), F.max("seed").alias("seed")))
+    seeds = of_instance.where("seed").select("target", "instance", F.lit(1.0).alias("s"))
+    instances, contexts = seeds, None
+
+    def passed(scored: DataFrame, scored_by: str, to: str, totals: DataFrame) -> DataFrame:
+        """(target, to, s): what reaches the other side of the graph from scores large enough to be passed on."""
+        met = graph.join(broadcast_below(scored.where(F.col("s") >= least), 200_000), ["target", scored_by])
+        mass = cut(met.groupBy("target", to).agg(F.sum(F.col("n") * F.col("s")).alias("mass")))
+        return cut(totals.join(broadcast_below(mass, 200_000), ["target", to]).select("target", to, (F.col("mass") / (F.col("of") + 1)).alias("s")))
+
     for _ in range(rounds):
-        weighed = graph.join(instances, ["target", "instance"])
-        mass = F.sum(F.col("n") * F.col("s"))
-        contexts = weighed.groupBy("target", "context").agg((mass / (F.sum("n") + 1)).alias("s"), ((mass + 1) / (F.sum("n") + 1)).alias("u"))
-        back = graph.join(contexts.select("target", "context", "s"), ["target", "context"])
-        instances = back.groupBy("target", "instance").agg(F.when(F.max("seed"), 1.0).otherwise(F.sum(F.col("n") * F.col("s")) / (F.sum("n") + 1)).alias("s"))
-    weak = F.col("target").isin("phone", "id_number", "address") & (F.col("u") < 0.1)
-    return PiiScores(cut(contexts.where((F.col("s") >= 0.3) | weak)), cut(instances.where("s >= 0.3")))
+        contexts = passed(instances, "instance", "context", of_context)
+        found_ = passed(contexts, "context", "instance", of_instance).join(broadcast_below(seeds.select("target", "instance"), 200_000), ["target", "instance"], "left_anti")
+        instances = cut(found_.unionByName(seeds))
+    strong = contexts.where("s >= 0.3")
+    settled = of_context.where(F.col("target").isin("phone", "id_number", "address") & (F.col("of") >= 9)).join(contexts, ["target", "context"], "left")
+    least_s = F.coalesce("s", F.lit(0.0))
+    weak = settled.where(least_s + 1 / (F.col("of") + 1) < 0.1).select("target", "context", least_s.alias("s"))
+    return PiiScores(cut(strong.unionByName(weak)), cut(instances.where("s >= 0.3")))
 
 
 def _with_scores(found: DataFrame, scores: PiiScores, target: str) -> DataFrame:
@@ -395,9 +405,9 @@ def _people(tokens: DataFrame, accept: float = 0.5, lone: float = 0.85) -> DataF
     with a name or, where the context before it is strong, with another word;
     right before a name less strength is needed.
     """
-    packed = tokens.groupBy("id", "text_no", "run").agg(F.array_sort(F.collect_list(F.struct("start_pos", "end_pos", "class", "flags", "s_two", "s_one", "f", (F.col("flags").bitwiseAND(8) != 0).alias("low")))).alias("w"))
-    hopeful = F.exists("w", lambda x: (x["class"] == "N") | (F.coalesce(x.f, F.lit(0.0)) >= accept) | (F.coalesce(x.s_two, x.s_one, F.lit(0.0)) >= accept))
-
+    hopeful = (F.col("class") == "N") | (F.coalesce("f", "s_two", "s_one") >= accept) | (F.coalesce("s_two", "s_one") >= accept)
+    runs = cut(tokens.where(hopeful).select("text_no", "run").distinct())
+    packed = tokens.join(broadcast_below(runs, 500_000), ["text_no", "run"], "left_semi").groupBy("id", "text_no", "run").agg(F.array_sort(F.collect_list(F.struct("start_pos", "end_pos", "class", "flags", "s_two", "s_one", "f", (F.col("flags").bitwiseAND(8) != 0).alias("low")))).alias("w"))
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             owner, spans = [], []
@@ -428,7 +438,7 @@ def _people(tokens: DataFrame, accept: float = 0.5, lone: float = 0.85) -> DataF
             yield pa.RecordBatch.from_arrays([b.column(0).take(taken), b.column(1).take(taken), *(pa.array([s[j] for s in spans], pa.int32()) for j in (0, 1))], ["id", "text_no", "start_pos", "end_pos"])
 
     kind = tokens.schema["id"].dataType.simpleString()
-    return packed.where(hopeful).select("id", "text_no", "w").mapInArrow(run, f"id {kind}, text_no long, start_pos int, end_pos int")
+    return packed.select("id", "text_no", "w").mapInArrow(run, f"id {kind}, text_no long, start_pos int, end_pos int")
 
 
 def _decided(found: DataFrame, scores: PiiScores, accept: float = 0.5) -> DataFrame:

@@ -167,6 +167,37 @@ def test_personal_information_is_found(found):
     assert hits / sum(map(len, got.values())) > 0.97
 
 
+def test_what_no_list_names(spark):
+    """Names, streets and numbers that occur nowhere in the code or the list are found by their contexts, once these are learned."""
+    draw = random.Random(9)
+    syllables = ["zor", "mek", "tal", "vin", "quo", "bru", "nek", "lau", "pim", "gos"]
+    names = sorted({"".join(draw.sample(syllables, 2)).capitalize() for _ in range(60)})
+    listed, hidden = names[::2], names[1::2]
+    texts, truth = [], {}
+
+    def add(text, **cases):
+        key = f"u{len(texts):04d}"
+        texts.append((key, text))
+        truth[key] = {(k, text.index(v)) for k, v in cases.items()}
+
+    for i in range(300):
+        name = draw.choice(listed if i % 3 else hidden)
+        add(f"Fine so far. {draw.choice(['They sent me to', 'please ask for', 'many thanks to'])} {name} yesterday", person=name)
+        add(f"The {draw.choice(['Screen', 'Battery', 'Update'])} of my {draw.choice(['Flixo', 'Wanpo', 'Kerbo'])} is fine")
+        street = f"{draw.randrange(1, 99)} {draw.choice(names)} {draw.choice(['Lane', 'Street', 'Lane', 'Wynd'])}"
+        add(f"we live at {street}, {draw.choice(['Marlow', 'Dunby'])} and wait", address=street)
+        number = draw.choice(["+44 7700 900{:03d}", "{:03d}*55*{:03d}", "0{:03d} 55{:03d}"]).format(draw.randrange(100, 999), draw.randrange(100, 999))
+        if "*" not in number:
+            add(f"my number to call is {number} after six", phone=number)
+    rows = spark.createDataFrame(texts, "source_id string, text string")
+    got = {k: set() for k, _ in texts}
+    for r in pii.find_personal_information(rows, spark.createDataFrame([(n, "given") for n in listed], "name_part string, part_kind string")).collect():
+        got[r.source_id].add((r.pii_kind, r.start_pos))
+    hits = sum(len(truth[k] & got[k]) for k, _ in texts)
+    assert hits / sum(map(len, truth.values())) > 0.95
+    assert hits / sum(map(len, got.values())) > 0.95
+
+
 def test_positions_survive_odd_characters():
     text = "x​​é ﬁ… mail Jo＠example．org!"
     folded, at = pii.fold(text)
