@@ -168,6 +168,7 @@ def _verified(candidates: DataFrame, rule: NearDuplicateRule) -> DataFrame:
     return candidates.mapInArrow(run, ", ".join(f"{k} long" for k in keys))
 
 
+_ROWS_PER_TASK = 500_000
 _SAMPLED = 64  # keys are hashes: one in so many is a fair sample
 
 
@@ -207,6 +208,9 @@ def _class_links(prepared: DataFrame, rule: NearDuplicateRule) -> DataFrame:
             kept = [F.col("signature")[s * rule.components + j] for j in range(rule.components) if j != out]
             variants.append(F.xxhash64(F.lit(s), F.lit(out), *kept))
     indexed = classes.select("c_hi", "s1", F.explode(F.array(*variants)).alias("variant"))
+    tasks = classes.count() * len(variants) // _ROWS_PER_TASK
+    if tasks > int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        indexed = indexed.repartition(tasks, "variant")  # the session's number of partitions would make them too large
     met = _met(indexed, rule)
     for x in "ab":
         met = met.join(classes.select(*[F.col(c).alias(f"{c}_{x}") for c in ("c_hi", "c_lo", "s1", "s2")]), f"c_hi_{x}")
