@@ -26,15 +26,17 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{_OWN['dir']}"
 
 
-def cut(rows: DataFrame) -> DataFrame:
+def cut(rows: DataFrame, *, by: str | None = None) -> DataFrame:
     """rows written as Parquet to the shared folder and read again: the lineage ends there.
 
+    With `by`, a column of few values, reads that ask for some of them skip the rest.
+
     The table lasts as long as this process, since plans read it lazily; on file
     systems other than a mounted one the folder's owner clears it.
     """
     spark = rows.sparkSession
     path = f"{shared_folder(spark)}/corvane-{uuid.uuid4().hex}"
-    rows.write.parquet(path)
+    rows.write.parquet(path, partitionBy=by)
     if path.startswith("file://"):
         atexit.register(shutil.rmtree, path.removeprefix("file://"), ignore_errors=True)
     return spark.read.schema(rows.schema).parquet(path)

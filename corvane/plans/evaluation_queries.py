@@ -255,6 +255,8 @@ best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s
 calls AS (SELECT qid, count(*) AS calls FROM ({asked} UNION ALL SELECT qid FROM mixed) GROUP BY qid)"""
 
 
+REWRITTEN_SQL = """asked AS (SELECT DISTINCT id, question, CASE WHEN regexp_matches(question, '(?i)(battery|charg)') THEN 'battery life of the phone' WHEN regexp_matches(question, '(?i)camera') THEN 'camera in the dark' END AS rewritten FROM golden_items),
+qs AS (SELECT id || '#0' AS qid, question FROM asked UNION ALL SELECT id || '#1', rewritten FROM asked WHERE rewritten IS NOT NULL)"""
 _CORRECTIVE_SQL = f"WITH {BASE_SQL}, {dense_sql(CORRECTIVE.deepest)}, {PAIR_SQL}, {corrective_sql(CORRECTIVE)}"
 _TURNS = range(CORRECTIVE.correction_rounds + 1)
 _BAR, _FLOOR = RetrievalConfig().cosine_relevant, RetrievalConfig().cosine_incorrect
@@ -286,6 +288,16 @@ FROM q LEFT JOIN a USING (qid) LEFT JOIN m USING (qid)""",
     ),
     "corrective_contexts": f"{_CORRECTIVE_SQL} SELECT qid, chunk_id, score, rank, chunk_id IS NULL AS refused FROM (SELECT DISTINCT qid FROM qs) LEFT JOIN best USING (qid)",
     "corrective_calls": f"{_CORRECTIVE_SQL} SELECT qid, coalesce(calls, 0) AS calls FROM (SELECT DISTINCT qid FROM qs) LEFT JOIN calls USING (qid)",
+    "corrective_rewrite": f"""WITH {BASE_SQL.replace("qs AS (SELECT DISTINCT id AS qid, question FROM golden_items)", REWRITTEN_SQL)}, {dense_sql(2 * CORRECTIVE.rerank_candidates)},
+g0 AS (SELECT id, question, rewritten, chunk_id, score, rank, score >= {CORRECTIVE.cosine_relevant} AS rel, score > {CORRECTIVE.cosine_incorrect} AS above FROM asked JOIN dense ON qid = id || '#0' WHERE rank < {CORRECTIVE.rerank_candidates}),
+a0 AS (SELECT id, CASE WHEN bool_or(rel) THEN 'CORRECT' WHEN NOT bool_or(above) THEN 'INCORRECT' ELSE 'AMBIGUOUS' END AS action FROM g0 GROUP BY id),
+g1 AS (SELECT id, coalesce(rewritten, question) AS question, chunk_id, score, rank, score >= {CORRECTIVE.cosine_relevant} - (CASE WHEN rewritten IS NULL THEN CAST({CORRECTIVE.relax_step} AS DOUBLE) ELSE 0 END) AS rel, score > {CORRECTIVE.cosine_incorrect} AS above
+  FROM asked JOIN a0 USING (id) JOIN dense ON qid = id || (CASE WHEN rewritten IS NULL THEN '#0' ELSE '#1' END) WHERE action <> 'CORRECT' AND rank < (CASE WHEN rewritten IS NULL THEN 2 ELSE 1 END) * {CORRECTIVE.rerank_candidates}),
+a1 AS (SELECT id, CASE WHEN bool_or(rel) THEN 'CORRECT' WHEN NOT bool_or(above) THEN 'INCORRECT' ELSE 'AMBIGUOUS' END AS action FROM g1 GROUP BY id),
+rounds AS (SELECT 0 AS round_idx, id, question, rewritten, chunk_id, rank, action, CASE action WHEN 'CORRECT' THEN rel WHEN 'AMBIGUOUS' THEN above ELSE false END AS kept FROM g0 JOIN a0 USING (id)
+  UNION ALL SELECT 1, id, question, NULL, chunk_id, rank, action, CASE action WHEN 'CORRECT' THEN rel WHEN 'AMBIGUOUS' THEN above ELSE false END FROM g1 JOIN a1 USING (id))
+SELECT id AS qid, CAST(round_idx AS BIGINT) AS round_idx, question AS query, count(*) AS n_candidates, false AS reranked, action, coalesce(string_agg(chunk_id, ',' ORDER BY rank) FILTER (WHERE kept), '') AS kept, count(*) FILTER (WHERE kept) AS n_kept,
+  CASE WHEN round_idx = 0 AND action <> 'CORRECT' THEN CASE WHEN any_value(rewritten) IS NULL THEN 'widen' ELSE 'reformulate' END END AS correction FROM rounds GROUP BY round_idx, id, question, action""",
     "prompt_build": f"""WITH q AS (SELECT DISTINCT id AS qid, question FROM golden_items), c AS (SELECT DISTINCT qid, text, rank FROM ranked WHERE rank < 3),
 s AS (SELECT qid, string_agg('[' || (rank + 1) || '] ' || text, chr(10) ORDER BY rank, text) AS sources FROM c GROUP BY qid)
 SELECT qid, '{generation.HEADER.replace("'", "''")}' || chr(10) || chr(10) || 'Sources:' || chr(10) || coalesce(sources, '') || chr(10) || chr(10) || 'Question: ' || coalesce(question, '') || chr(10) || 'Answer:' AS prompt FROM q LEFT JOIN s USING (qid)""",

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from corvane import experiment, models, tools
 from corvane.config import RetrievalConfig
 from corvane.engine import Engine
+from corvane.functions.text import TOKEN
 from corvane.models import ScriptedTurns
-from corvane.operators import chunking, corrective
+from corvane.operators import chunking, corrective, generation
 from corvane.operators.durable import cut
 from corvane.operators.ranking import rounded
 from corvane.plans.corpus_queries import DOCUMENTS_SQL
@@ -198,6 +199,13 @@ SELECT threshold, count(*) FILTER (WHERE is_refuse) AS n_refuse, round(coalesce(
     "gate_result": f"""{_ARMS_SQL}, floors AS (SELECT * FROM (VALUES {_FLOORS_SQL}) t(arm, metric, floor)),
 reached AS (UNPIVOT (SELECT arm, recall_1 AS "recall@1", recall_3 AS "recall@3", recall_5 AS "recall@5", recall_10 AS "recall@10", mrr, ndcg AS "ndcg@10" FROM met) ON "recall@1", "recall@3", "recall@5", "recall@10", mrr, "ndcg@10" INTO NAME metric VALUE got)
 SELECT arm, metric, floor, got, coalesce(got >= floor, false) AS passed FROM floors LEFT JOIN reached USING (arm, metric)""",
+    "generation_means": f"""{_ARMS_SQL},
+told AS (SELECT arm, qid, string_agg(text, chr(10) ORDER BY rank) AS context, regexp_extract(max(text) FILTER (WHERE rank = 0), '^[^\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}]*') AS first FROM lists JOIN ch USING (chunk_id) GROUP BY arm, qid),
+t AS (SELECT a.arm, list_distinct(regexp_extract_all(lower(coalesce(question, '')), '{TOKEN}', 1)) AS q,
+    list_distinct(regexp_extract_all(lower(CASE WHEN first IS NULL THEN '{generation.REFUSAL.replace("'", "''")}' ELSE first END), '{TOKEN}', 1)) AS a, regexp_extract_all(lower(coalesce(context, '')), '{TOKEN}', 1) AS c
+  FROM (SELECT arm, qid FROM arms, answerable WHERE arm IN ('baseline', 'crag')) a JOIN qs USING (qid) LEFT JOIN told USING (arm, qid)),
+j AS (SELECT arm, round(coalesce(len(list_intersect(a, c)) / nullif(len(a), 0), 0.0), 6) AS f, round(coalesce(len(list_intersect(q, a)) / nullif(len(q), 0), 0.0), 6) AS r FROM t)
+SELECT arm, count(*) AS judged, round(avg(f), 6) AS faithfulness, round(avg(r), 6) AS answer_relevancy FROM j GROUP BY arm""",
     "tool_agent_trace": f"""WITH {BASE_SQL.replace("SELECT DISTINCT id AS qid, question FROM golden_items", "SELECT 'q' AS qid, 'charging brick barely lasts' AS question")}, {sparse_sql(3)},
 once AS (SELECT * FROM (SELECT chunk_id, coalesce(source_ids, []) AS s, coalesce(text, '') AS t, row_number() OVER (PARTITION BY chunk_id ORDER BY coalesce(source_ids, []), coalesce(text, '')) AS n FROM chunks) WHERE n = 1),
 steps AS (SELECT 0 AS step, 0 AS call_no, 'search_corpus' AS tool, substring(string_agg('[' || chunk_id || '] ' || t, chr(10) ORDER BY rank), 1, 800) AS output FROM sparse JOIN once USING (chunk_id)
