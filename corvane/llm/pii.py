@@ -21,6 +21,7 @@ from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -170,13 +171,12 @@ class Finder:
     def __init__(self, names: set[str]):
         self.classes, self.norms = _Classes(names), _Norms()
 
-    def contexts(self, tokens: list[str], k: int, inside: bool) -> tuple[str, str]:
-        """The last two words before token k, and the last one; with inside, token k itself opens with a bracket that counts as a word."""
+    def context(self, tokens: list[str], k: int, inside: bool) -> str:
+        """The last two words before token k; with inside, token k itself opens with a bracket that counts as a word."""
         left = [self.norms[t] for t in tokens[max(0, k - 2) : k]]
         if inside:
-            left = [*left, tokens[k][0]]
-        left = ["", "", *left][-2:]
-        return " ".join(left).strip(), "~" + left[1]
+            left = [*left[-1:], tokens[k][0]]
+        return " ".join(left)
 
     @staticmethod
     def ends_sentence(token: str) -> bool:
@@ -199,14 +199,17 @@ class Finder:
                 yield first, k, not first or self.ends_sentence(tokens[first - 1])
 
     def candidates(self, folded: str) -> Iterator[tuple]:
-        """(kind, start, end, instance, two words before, one word before, class, flags, run) of every candidate.
+        """(kind, start, end, instance, the two words before, flags, run) of every candidate.
+
+        Before a word of a person it is one word, marked ~, where that begins the
+        sentence.
 
         Those of mail, listed streets and numbers don't overlap.  A street is also
         whatever stands capitalised beside a number: `broad`.  Of persons every word
         of a run is a row; flags say that a sentence begins before it (1), that the
-        run can't go on after it (2), that no other word stands before the one before
-        it in its sentence (4), that it is small (8), and that it follows a listed name
-        part (16) or an initial (32) of its run.
+        run can't go on after it (2), that it is small (8), that it follows a listed name part
+        (16) or an initial (32) of its run, and what it is: a listed name part (64), an
+        initial (128), a small word beside a name part (256), or none of these.
         """
         tokens = folded.split()
         classes = "".join(map(self.classes.__getitem__, tokens))
@@ -214,24 +217,20 @@ class Finder:
         street, number, person, broad = "S" in classes, _LONG_NUMBER.search(classes), "N" in classes or "C" in classes, _BROAD_CLASSES.search(classes)
         if not (mail or street or number or person):
             return
-        places: list[int] = []
+        ends = list(accumulate(map(len, tokens)))
+        even = ends[-1] + len(tokens) - 1 == len(folded)  # one blank between tokens, none around them
+        places = [e - len(t) + k for k, (e, t) in enumerate(zip(ends, tokens))] if even else [m.start() for m in _TOKENS.finditer(folded)]
         taken: list[tuple[int, int]] = []
 
-        def place(k: int) -> int:
-            if not places:
-                places.extend(m.start() for m in _TOKENS.finditer(folded))
-            return places[k]
-
-        def around(start: int) -> tuple[str, str]:
-            place(0)
+        def around(start: int) -> str:
             k = bisect_right(places, start) - 1
-            return self.contexts(tokens, k, places[k] < start)
+            return self.context(tokens, k, places[k] < start)
 
         if mail:
             for m in EMAIL.finditer(folded):
                 taken.append(m.span())
                 form = "plain" if _PLAIN_MAIL.fullmatch(m.group()) else "brackets" if "[" in m.group() or "(" in m.group() else "spaced" if "@" in m.group() else "said"
-                yield "email", m.start(), m.end(), form, *around(m.start()), "", 0, 0
+                yield "email", m.start(), m.end(), form, around(m.start()), 0, 0
         if street:
             at = 0
             while m := ADDRESS.search(folded, at):
@@ -241,17 +240,17 @@ class Finder:
                 start = self._street_start(folded, m)
                 tail = "tailed" if _ADDRESS_TAIL.match(folded, m.end()) else "bare"
                 taken.append((start, m.end()))
-                yield "address", start, m.end(), f"{tail} {'number first' if folded[start].isdigit() else 'name first'}", *around(start), "", 0, 0
+                yield "address", start, m.end(), f"{tail} {'number first' if folded[start].isdigit() else 'name first'}", around(start), 0, 0
         if number:
             for m in NUMBER.finditer(folded):
                 if sum(c.isdigit() for c in m.group()) >= 6 and not any(a < m.end() and m.start() < z for a, z in taken):
                     taken.append(m.span())
-                    yield "number", m.start(), m.end(), shape(m.group())[:40], *around(m.start()), "", 0, 0
+                    yield "number", m.start(), m.end(), shape(m.group())[:40], around(m.start()), 0, 0
         if broad:
             for m in _BROAD.finditer(folded):
                 if not any(a < m.end() and m.start() < z for a, z in taken):
                     word = (m["after"] or m["before"]).split()
-                    yield "broad", m.start(), m.end(), word[-1].casefold(), *around(m.start()), "", 0, 0
+                    yield "broad", m.start(), m.end(), word[-1].casefold(), around(m.start()), 0, 0
         if person:
             if "N" in classes:
                 classes = "".join("l" if c == "-" and "N" in classes[max(0, k - 1) : k + 2] and tokens[k].strip(_EDGE).rstrip(".").isalpha() else c for k, c in enumerate(classes))
@@ -260,15 +259,19 @@ class Finder:
                     continue  # a capital at the begin of a sentence says nothing
                 for k in range(first, after):
                     token = tokens[k]
-                    start, end = place(k) + len(token) - len(token.lstrip(_EDGE)), place(k) + len(token.rstrip(_EDGE + "."))
+                    if token.isalpha():
+                        bare, start, end = token.casefold(), places[k], places[k] + len(token)
+                    else:
+                        bare = token.strip(_EDGE).rstrip(".").removesuffix("'s").removesuffix("’s").casefold()
+                        start, end = places[k] + len(token) - len(token.lstrip(_EDGE)), places[k] + len(token.rstrip(_EDGE + "."))
                     if classes[k] == "i":
                         end = max(end, start + 1)
-                    if any(a < end and start < z for a, z in taken):
+                    if taken and any(a < end and start < z for a, z in taken):
                         continue
-                    bare = token.strip(_EDGE).rstrip(".").removesuffix("'s").removesuffix("’s").casefold()
                     alone = k <= 1 or self.ends_sentence(tokens[k - 2])
-                    flags = (1 if begins and k == first else 0) | (2 if k + 1 == after else 0) | (4 if alone else 0) | (8 if folded[start : start + 1].islower() else 0) | ({"N": 16, "i": 32}.get(classes[k - 1], 0) if k > first else 0)
-                    yield "person", start, end, bare, *self.contexts(tokens, k, False), classes[k], flags, run
+                    flags = (1 if begins and k == first else 0) | (2 if k + 1 == after else 0) | (8 if folded[start : start + 1].islower() else 0) | ({"N": 16, "i": 32}.get(classes[k - 1], 0) if k > first else 0)
+                    before = "~" + self.norms[tokens[k - 1]] if alone and k else self.context(tokens, k, False)
+                    yield "person", start, end, bare, before, flags | _CLASS_FLAGS.get(classes[k], 0), run
 
     @staticmethod
     def _street_start(folded: str, m: re.Match) -> int:
@@ -287,11 +290,21 @@ class Finder:
 _LEADS = set("to at in an a en the der die das dem den up: auf zu nach von em na no al bei it".split())
 
 
-_CANDIDATE = "kind string, start_pos int, end_pos int, instance string, two string, one string, class string, flags int, run int"
+_CLASS_FLAGS = {"N": 64, "i": 128, "l": 256}
+_CANDIDATE = "kind string, start_pos int, end_pos int, instance string, two string, flags int, run int"
+
+
+def _flag(bit: int) -> Column:
+    return F.col("flags").bitwiseAND(bit) != 0
+
+
+def _one() -> Column:
+    """The last word before as a context of its own."""
+    return F.concat(F.lit("~"), F.substring_index("two", " ", -1))
 
 
 def _candidates(rows: DataFrame, id_col: str, text_col: str, names: set[str]) -> DataFrame:
-    """(id, text_no, kind, start_pos, end_pos, instance, two, one, class, flags, run): all candidates, positions in the original text.
+    """(id, text_no, kind, start_pos, end_pos, instance, two, flags, run): all candidates, positions in the original text.
 
     text_no numbers the input's rows, so that repeated ids don't mix.
     """
@@ -305,15 +318,15 @@ def _candidates(rows: DataFrame, id_col: str, text_col: str, names: set[str]) ->
                 for c in finder.candidates(folded):
                     owner.append(i)
                     found.append(c if at is None else (c[0], at[c[1]], at[c[2] - 1] + 1, *c[3:]))
-            columns = list(zip(*found)) or [()] * 9
-            kinds = (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32())
+            columns = list(zip(*found)) or [()] * 7
+            kinds = (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32())
             taken = pa.array(owner, pa.int32())
-            names_ = ["id", "text_no", "kind", "start_pos", "end_pos", "instance", "two", "one", "class", "flags", "run"]
+            names_ = ["id", "text_no", "kind", "start_pos", "end_pos", "instance", "two", "flags", "run"]
             yield pa.RecordBatch.from_arrays([b.column(0).take(taken), b.column(1).take(taken), *(pa.array(c, k) for c, k in zip(columns, kinds))], names_)
 
     kind = rows.schema[id_col].dataType.simpleString()
     needed = rows.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("text_no"), F.col(text_col).alias("text"))
-    return cut(needed.mapInArrow(run, f"id {kind}, text_no long, {_CANDIDATE}"))
+    return cut(needed.mapInArrow(run, f"id {kind}, text_no long, {_CANDIDATE}"), by="kind")
 
 
 @dataclass(frozen=True)
@@ -335,7 +348,7 @@ def _graph(found: DataFrame) -> DataFrame:
     Listed streets are seeds of the contexts that broad candidates stand in; to
     follow a listed name part or an initial is a context too.
     """
-    instance, name = F.col("instance"), F.col("class") == "N"
+    instance, name = F.col("instance"), _flag(64)
     seeds = {
         "email": (["email"], instance.isin("plain", "brackets")),
         "phone": (["number"], instance.rlike(f"^(?:{PHONE_SEED.pattern})$")),
@@ -345,11 +358,9 @@ def _graph(found: DataFrame) -> DataFrame:
         "person": (["person"], name),
     }
     of = F.explode(F.filter(F.array(*[F.when(F.col("kind").isin(kinds), F.struct(F.lit(t).alias("target"), seed.alias("seed"))) for t, (kinds, seed) in seeds.items()]), lambda x: x.isNotNull()))
-    flag = lambda bit: F.col("flags").bitwiseAND(bit) != 0
-    left = F.when(flag(16), "<N").when(flag(32), "<i")
-    words = F.col("class").isin("N", "C")
-    contexts = F.filter(F.array(F.when(~flag(1), F.col("two")), F.when(~flag(1), F.col("one")), left), lambda x: x.isNotNull())
-    told = (F.col("kind") != "person") | words
+    left = F.when(_flag(16), "<N").when(_flag(32), "<i")
+    contexts = F.filter(F.array(F.when(~_flag(1), F.col("two")), F.when(F.col("kind") != "person", _one()), left), lambda x: x.isNotNull())
+    told = (F.col("kind") != "person") | ~(_flag(128) | _flag(256))
     edges = found.where(told).select(of.alias("t"), contexts.alias("contexts"), "instance").select("t.target", F.explode("contexts").alias("context"), "instance", "t.seed")
     return cut(edges.groupBy("target", "context", "instance", "seed").agg(F.count("*").alias("n")))
 
@@ -387,27 +398,39 @@ def score(found: DataFrame, *, rounds: int = 4, least: float = 0.05) -> PiiScore
     return PiiScores(cut(strong.unionByName(weak)), cut(instances.where("s >= 0.3")))
 
 
-def _with_scores(found: DataFrame, scores: PiiScores, target: str) -> DataFrame:
-    """found with c, the score of the longer context that says something, weak, whether it keeps others out, and f, the instance's score."""
+def _scored(found: DataFrame, scores: PiiScores, target: str) -> DataFrame:
+    """found with s_two and s_one, the scores of its contexts, and f, that of its instance; null where they say nothing."""
     known = scores.contexts.where(F.col("target") == target)
-    for name in ("two", "one"):
-        found = found.join(broadcast_below(known.select(F.col("context").alias(name), F.col("s").alias(f"s_{name}")), 200_000), name, "left")
+    if target == "person":
+        found = found.withColumn("s_one", F.lit(None).cast("double"))
+    else:
+        ones = known.select(F.col("context").alias("one"), F.col("s").alias("s_one"))
+        found = found.withColumn("one", _one()).join(broadcast_below(ones, 200_000), "one", "left")
+    found = found.join(broadcast_below(known.select(F.col("context").alias("two"), F.col("s").alias("s_two")), 200_000), "two", "left")
     own = scores.instances.where(F.col("target") == target).select("instance", F.col("s").alias("f"))
-    c = F.coalesce("s_two", "s_one")
-    told = found.join(broadcast_below(own, 200_000), "instance", "left")
+    return found.join(broadcast_below(own, 200_000), "instance", "left")
+
+
+def _with_scores(found: DataFrame, scores: PiiScores, target: str) -> DataFrame:
+    """found with c, the score of the longer context that says something, weak, whether it keeps others out, and f, the instance's score."""
+    told, c = _scored(found, scores, target), F.coalesce("s_two", "s_one")
     return told.select(*[x for x in told.columns if x not in ("f", "s_two", "s_one")], F.coalesce(c, F.lit(0.0)).alias("c"), F.coalesce(c < 0.1, F.lit(False)).alias("weak"), F.coalesce("f", F.lit(0.0)).alias("f"))
 
 
-def _people(tokens: DataFrame, accept: float = 0.5, lone: float = 0.85) -> DataFrame:
-    """(id, text_no, start_pos, end_pos) of persons, from the words of runs with the scores of their contexts (s_two, s_one) and of themselves (f).
+def _people(tokens: DataFrame, scores: PiiScores, accept: float = 0.5, lone: float = 0.85) -> DataFrame:
+    """(id, text_no, start_pos, end_pos) of persons, from the words of runs, the scores of their contexts (s_two) and of themselves (f).
 
     A run's words are listed or found names, initials, and others.  A name begins
     with a name or, where the context before it is strong, with another word;
     right before a name less strength is needed.
     """
-    hopeful = (F.col("class") == "N") | (F.coalesce("f", "s_two", "s_one") >= accept) | (F.coalesce("s_two", "s_one") >= accept)
-    runs = cut(tokens.where(hopeful).select("text_no", "run").distinct())
-    packed = tokens.join(broadcast_below(runs, 500_000), ["text_no", "run"], "left_semi").groupBy("id", "text_no", "run").agg(F.array_sort(F.collect_list(F.struct("start_pos", "end_pos", "class", "flags", "s_two", "s_one", "f", (F.col("flags").bitwiseAND(8) != 0).alias("low")))).alias("w"))
+    hopeful = _flag(64) | (F.coalesce("f", F.lit(0.0)) >= accept) | (F.coalesce("s_two", F.lit(0.0)) >= accept)
+    runs = cut(_scored(tokens.select("text_no", "run", "instance", "two", "flags"), scores, "person").where(hopeful).select("text_no", "run").distinct())
+    told = _scored(tokens.join(broadcast_below(runs, 500_000), ["text_no", "run"], "left_semi"), scores, "person")
+    kind = F.when(_flag(64), "N").when(_flag(128), "i").when(_flag(256), "l").otherwise("C")
+    words = F.array_sort(F.collect_list(F.struct("start_pos", "end_pos", kind.alias("class"), "flags", "s_two", "f", _flag(8).alias("low"))))
+    packed = told.groupBy("id", "text_no", "run").agg(words.alias("w"))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             owner, spans = [], []
@@ -417,7 +440,7 @@ def _people(tokens: DataFrame, accept: float = 0.5, lone: float = 0.85) -> DataF
                 while k < len(words):
                     first, w = k, words[k]
                     following = kinds[k + 1] if k + 1 < len(words) and not w["flags"] & 2 else ""
-                    strength = max(w["s_two"] or 0.0, (w["s_one"] or 0.0) if w["flags"] & 4 else 0.0)
+                    strength = w["s_two"] or 0.0
                     told = ""
                     if kinds[k] == "l" or (kinds[k] == "C" and (w["flags"] & 1 or strength < (accept if following in ("N", "i") else lone))):
                         k += 1
@@ -437,8 +460,8 @@ def _people(tokens: DataFrame, accept: float = 0.5, lone: float = 0.85) -> DataF
             taken = pa.array(owner, pa.int32())
             yield pa.RecordBatch.from_arrays([b.column(0).take(taken), b.column(1).take(taken), *(pa.array([s[j] for s in spans], pa.int32()) for j in (0, 1))], ["id", "text_no", "start_pos", "end_pos"])
 
-    kind = tokens.schema["id"].dataType.simpleString()
-    return packed.select("id", "text_no", "w").mapInArrow(run, f"id {kind}, text_no long, start_pos int, end_pos int")
+    key = tokens.schema["id"].dataType.simpleString()
+    return packed.select("id", "text_no", "w").mapInArrow(run, f"id {key}, text_no long, start_pos int, end_pos int")
 
 
 def _decided(found: DataFrame, scores: PiiScores, accept: float = 0.5) -> DataFrame:
@@ -454,12 +477,7 @@ def _decided(found: DataFrame, scores: PiiScores, accept: float = 0.5) -> DataFr
     broad = _with_scores(found.where("kind = 'broad'"), scores, "broad").where((F.col("c") >= 0.8) & (F.col("f") >= 0.75))
     parts.append(broad.select(*place, F.lit("address").alias("pii_kind"), (F.col("c") + F.col("f")).alias("value"), F.lit(1).alias("order")))
     strong = reduce(DataFrame.unionByName, parts).where(F.col("value") >= accept)
-    tokens = found.where("kind = 'person'")
-    known = scores.contexts.where("target = 'person'")
-    for name in ("two", "one"):
-        tokens = tokens.join(broadcast_below(known.select(F.col("context").alias(name), F.col("s").alias(f"s_{name}")), 200_000), name, "left")
-    own = scores.instances.where("target = 'person'").select("instance", F.col("s").alias("f"))
-    people = _people(tokens.join(broadcast_below(own, 200_000), "instance", "left"), accept)
+    people = _people(found.where("kind = 'person'"), scores, accept)
     every = strong.unionByName(people.select(*place, F.lit("person").alias("pii_kind"), F.lit(1.0).alias("value"), F.lit(2).alias("order")))
     # Of several that overlap the first in order stands: listed forms, then the higher score.
     grouped = every.groupBy("id", "text_no").agg(F.array_sort(F.collect_list(F.struct("order", (-F.col("value")).alias("less"), "start_pos", "end_pos", "pii_kind"))).alias("all"))
