@@ -360,12 +360,12 @@ def _train(model: SubjectModel, words: _Vocabulary, given: list[dict], joined: D
         return rows, parameters
 
     start = (model.embeddings, model.outputs, model.bias)
-    if joined is None:
+    whole = joined.agg(F.sum("weight")).first()[0] if joined is not None else None
+    if not whole:
         rows, (moving, model.outputs, model.bias) = moved(start, [_Block(r) for r in given], [], 1.0)
         model.embeddings[rows] = moving
         return
     sent = joined.sparkSession.sparkContext.broadcast((start, given))
-    whole = joined.agg(F.sum("weight")).first()[0] or 1.0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [row for b in batches for row in b.to_pylist()]
@@ -378,14 +378,14 @@ def _train(model: SubjectModel, words: _Vocabulary, given: list[dict], joined: D
             change = np.concatenate([embeddings.ravel(), *((x - y).ravel() for x, y in zip(after[1:], first[1:]))]).astype(np.float64) * own
             change = np.concatenate([change, np.zeros(-len(change) % _SLICE)])
             bounds, numbers = np.arange(0, len(change) + 1, _SLICE, dtype=np.int32), np.arange(len(change) // _SLICE, dtype=np.int32)
-            lists = [pa.ListArray.from_arrays(bounds, pa.array(x)) for x in (change, np.where(change != 0, own, 0.0))]
+            lists = [pa.ListArray.from_arrays(bounds, pa.array(x.astype(np.float32))) for x in (change, np.where(change != 0, own, 0.0))]
             yield pa.RecordBatch.from_arrays([pa.array(numbers), *lists], ["at", "change", "weight"])
 
     def averaged(key: tuple, rows: pa.Table) -> pa.Table:
-        change, weight = (rows.column(c).combine_chunks().flatten().to_numpy().reshape(-1, _SLICE).sum(0) for c in ("change", "weight"))
+        change, weight = (rows.column(c).combine_chunks().flatten().to_numpy().reshape(-1, _SLICE).sum(0, dtype=float) for c in ("change", "weight"))
         return pa.table({"at": pa.array([key[0].as_py()], pa.int32()), "change": pa.array([change / np.maximum(weight, 1e-9)], pa.list_(pa.float64()))})
 
-    parts = joined.mapInArrow(run, "at int, change array<double>, weight array<double>").groupBy("at").applyInArrow(averaged, "at int, change array<double>").toArrow()
+    parts = joined.mapInArrow(run, "at int, change array<float>, weight array<float>").groupBy("at").applyInArrow(averaged, "at int, change array<double>").toArrow()
     sent.destroy()
     parts = parts.sort_by("at")
     flat, at, found = parts.column("change").combine_chunks().flatten().to_numpy(), 0, []
